@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 100_000
+MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 1000
 
 
 def word_count(text: Column) -> Column:
