@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one unit that are numbered in one task.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 1000
 
 _CAPACITY = """
 aggregate(sequence(1, 63), named_struct('lo', lowest, 'hi', highest), (b, i) ->
