@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,28 +130,27 @@ def _compared(sorted_rows: DataFrame, least: int) -> DataFrame:
             now = _Run.of(batch)
             first = first or now.slice(0, 1)
             whole = held.plus(now) if held else now
-            yield from batches(((d, s, e, o, None, None, None, None, None) for d, s, e, o in whole.matches(least)), schema)
+            yield from batches(((d, s, e, o, None, None, None) for d, s, e, o in whole.matches(least)), schema)
             starts = np.nonzero(np.diff(whole.doc))[0]
             held = whole.slice(int(starts[-1]) if len(starts) else 0, len(whole.doc))  # the last document's suffixes and the one before them
         if held and first:
-            at = TaskContext.get().partitionId()
-            for k, x in ((0, first), (1, held.slice(len(held.doc) - 1, len(held.doc)))):
-                yield from batches(iter([(int(x.doc[0]), int(x.pos[0]), None, None, at * 2 + k, int(x.key[0]), x.right[0].tobytes(), x.left[0].tobytes(), None)]), schema)
+            for x in (first, held.slice(len(held.doc) - 1, len(held.doc))):
+                yield from batches(iter([(int(x.doc[0]), int(x.pos[0]), None, None, int(x.key[0]), x.right[0].tobytes(), x.left[0].tobytes())]), schema)
 
-    schema = pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64()), ("edge", pa.int64()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("none", pa.int64())])
-    return sorted_rows.mapInArrow(part, "id long, begin long, end long, partner long, edge long, key long, right binary, left binary, none long")
+    schema = pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
+    return sorted_rows.mapInArrow(part, "id long, begin long, end long, partner long, key long, right binary, left binary")
 
 
 def _edges(edges: DataFrame, least: int) -> DataFrame:
-    """Matches across partitions, from two suffixes of each."""
+    """Matches across partitions, from their first and last suffixes: two rows a partition, in one sorted task."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [b for b in rows if b.num_rows]
         if every:
-            batch = pa.Table.from_batches(every).sort_by("edge").combine_chunks().to_batches()[0]
-            found = list(_Run.of(batch).matches(least))
+            found = list(_Run.of(pa.Table.from_batches(every).combine_chunks().to_batches()[0]).matches(least))
             yield from batches(iter(found), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64())]))
 
-    return edges.select("key", "right", "left", "id", F.col("begin").cast("int").alias("pos"), "edge").coalesce(1).mapInArrow(part, "id long, begin long, end long, partner long")
+    edges = edges.select("key", "right", "left", "id", F.col("begin").cast("int").alias("pos"))
+    return edges.repartition(1).sortWithinPartitions("key", "right", "left", "id", "pos").mapInArrow(part, "id long, begin long, end long, partner long")
 
 
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -184,7 +182,7 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     suffixes = written(suffixes, "suffixes")
     sorted_rows = suffixes.repartitionByRange(parts, "key", "right", "left", "id", "pos").sortWithinPartitions("key", "right", "left", "id", "pos")
     compared = written(_compared(sorted_rows, least), "compared")
-    found = compared.where("edge IS NULL").select("id", "begin", "end", "partner").unionByName(_edges(compared.where("edge IS NOT NULL"), least))
+    found = compared.where("key IS NULL").select("id", "begin", "end", "partner").unionByName(_edges(compared.where("key IS NOT NULL"), least))
     names = first.select(F.col("h1").alias("partner"), F.col("id").alias("partner_id")).groupBy("partner").agg(F.min("partner_id").alias("partner_id"))
     found = found.join(names, "partner")
     spans = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "partner_id"))).alias("s"))  # one text's own matches
