@@ -63,7 +63,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     found = _all_seeds(hashed, ["doc_id", "row"], every).join(marks, "seed").select(
         "doc_id", "row", "item_id", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     found = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("item_id").alias("i"), "item_row", "shift")
-    aligned = docs.dropDuplicates(["doc_id", "row"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    aligned = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
     aligned = aligned.select("doc_id", "row", "i", "item_row", "shift", token_hashes(F.col("text")).alias("h"))
     its = items.select(F.col("item_id").alias("its_id"), F.col("item_row").alias("its_row"), F.col("h").alias("g"))
     aligned = aligned.join(its, F.col("i").eqNullSafe(F.col("its_id")) & (F.col("item_row") == F.col("its_row")))
