@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df in at most eight partitions for each core, without a shuffle: a table of many tiny files costs more to write and list than its rows."""
+    return df.coalesce(max(8, 8 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    narrow(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, folder, written
+from .common import ASCII_SPACE, ascii_lower, folder, narrow, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 
@@ -30,43 +30,32 @@ def line_hashes(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, docs, last), each sorted by hash, in levels; FANOUT runs of a level become one of the next.
+    """Runs of (h1, h2, docs, last), each sorted by hash, in levels; `fanout` runs of a level become one of the next.
 
-    docs counts the rows that hold a line, last is the largest doc_id among them. A run is a Parquet
-    folder in the shared directory; adding a batch writes one run of level 0 and reads nothing else;
-    a compaction merges whole runs with one grouped aggregation. seen() is the merged view.
+    docs counts the rows that hold a line, last is the largest doc_id among them. A run is a batch of a Parquet
+    folder in the shared directory, in which files are sorted by batch and hash; adding batches writes level 0 and reads no
+    other run; a compaction merges whole runs with one grouped aggregation. seen() is the merged view.
     """
 
+    SCHEMA = "batch int, h1 long, h2 long, docs long, last long"
+
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.path, self.fanout = spark, path or folder(spark, "line-runs"), fanout
-        self.levels: list[list[str]] = [[]]
+        self.levels: list[list[tuple[str, int]]] = [[]]
         self.made = 0
 
-    SCHEMA = "h1 long, h2 long, docs long, last long"
-
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, level: int, batches: int) -> None:
         self.made += 1
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path := f"{self.path}/level-{level}/run-{self.made}")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
-
-    def add(self, hashes: DataFrame) -> None:
-        """One more batch's (doc_id, h1, h2) as a run of its own."""
-        self._write(hashes.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), 0)
-        self.compact()
-
-    def add_batches(self, hashes: DataFrame, batches: int) -> None:
-        """Many batches at first load, each a run, from one scan: batch is a column of the aggregation."""
-        rows = hashes.groupBy(F.pmod("row", F.lit(batches)).alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        self.made += 1
-        top = f"{self.path}/level-0/load-{self.made}"
-        rows.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(top)
-        found = {r[0] for r in self.spark.read.schema(self.SCHEMA + ", batch int").parquet(top).select("batch").distinct().collect()}  # at most `batches` numbers
-        self.levels[0] += [f"{top}/batch={b}" for b in sorted(found)]
+        path = f"{self.path}/level-{level}/{self.made}"
+        narrow(rows.sortWithinPartitions("batch", "h1", "h2")).write.parquet(path)
+        self.levels[level] += [(path, b) for b in range(batches)]
+
+    def add(self, hashes: DataFrame, batches: int = 1) -> None:
+        """(doc_id, row, h1, h2) as so many more runs, from one scan: the batch of a row is a column of the aggregation."""
+        rows = hashes.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
+        self._write(rows, 0, batches)
         self.compact()
 
     def compact(self) -> None:
@@ -74,17 +63,26 @@ class LineRuns:
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
                 runs, self.levels[level] = self.levels[level], []
-                self._write(self._merged(runs), level + 1)
+                self._write(self._merged(runs).withColumn("batch", F.lit(0)).select("batch", "h1", "h2", "docs", "last"), level + 1, 1)
             level += 1
 
-    def _merged(self, runs: list[str]) -> DataFrame:
+    def _read(self, runs: list[tuple[str, int]]) -> DataFrame:
+        """The runs' rows; files are sorted by batch, so that a filter on it skips row groups."""
+        paths = list(dict.fromkeys(path for path, _ in runs))
+        found = None
+        for path in paths:
+            rows = self.spark.read.schema(self.SCHEMA).parquet(path).where(F.col("batch").isin([b for p, b in runs if p == path]))
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
+    def _merged(self, runs: list[tuple[str, int]]) -> DataFrame:
         return self._read(runs).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def seen(self) -> DataFrame:
         runs = [r for level in self.levels for r in level]
         if not runs:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self._read(runs) if len(runs) == 1 else self._merged(runs)
+            return self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
+        return self._read(runs).drop("batch") if len(runs) == 1 else self._merged(runs)
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """The batch's rows whose lines no run holds: the merge anti join of an incremental load."""
@@ -109,7 +107,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     spark = documents.sparkSession
     runs = runs or LineRuns(spark)
     hashes = line_hashes(documents, min_chars)
-    runs.add_batches(hashes, batches)
+    runs.add(hashes, batches)
     often = written(runs.seen().where(F.col("docs") >= min_docs).select("h1", "h2", "last"), "frequent-lines")
     gone = hashes.join(often, ["h1", "h2"]).where(F.col("last").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.struct("h1", "h2").alias("k")).groupBy("_id", "_row").agg(F.collect_set("k").alias("_gone"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, language_id, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from .common import narrow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def _narrowed(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return functools.wraps(query)(lambda spark, sf_dir: narrow(query(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _narrowed(f)
     for f in (op1_length_buckets, op2_suffix_dedup, op3_ngram_jaccard, op4_minimax_shards, op5_html_text, op6_language_id, op7_toxicity, op8_line_dedup, op9_quality_rules, op10_decontamination)
 }
 
