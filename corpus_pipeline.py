@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.llm import decontam, language_id, line_dedup, ngram_join, packing
-from inkfold.llm.common import written
+from inkfold.llm.common import narrow, written
 
 #: None: learnt language profiles can't be said in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (operator 6)."""
-    return language_id.keep_identified(docs)
+    return narrow(language_id.keep_identified(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +22,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     out = out.where(~changed | (F.btrim("new_text") != ""))
-    return out.select(*[F.when(changed, F.col("new_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return narrow(out.select(*[F.when(changed, F.col("new_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles stays (operator 3)."""
-    return ngram_join.keep_one(docs, words=5, percent=80)
+    return narrow(ngram_join.keep_one(docs, words=5, percent=80))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark go (operator 10)."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return narrow(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token left, in batches of length buckets (operator 1)."""
-    return packing.pack(docs)
+    return narrow(packing.pack(docs))
 
 
 STAGES = [
