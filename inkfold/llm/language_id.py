@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import held_out
 
 #: Places of a vector; letter classes (0 is what stands between words); seed of the letters' vectors.
-DIM, CLASSES, SEED = 1024, 64, 17
+DIM, CLASSES, SEED = 512, 64, 17
 SHARPNESS = 24.0
 
 
