@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mixed, utf8, windows, written
 from .graph import connected_components
 
-WORDS, PERCENT, GROUPS = 4, 85, 32
+WORDS, PERCENT, GROUPS = 4, 85, 128
 #: Buckets of the shingle counts, those that a task reports at most, and those that are put last.
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
 #: Points of a leaf; points of one tree (a larger signature is dealt out in pairs of blocks).
@@ -42,8 +42,16 @@ def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.n
     return np.unique(windows(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def point(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def point(found: np.ndarray) -> bytes:
+    """The counts by group, in two bytes each, or four where one needs them."""
+    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    if all(len(p) == 2 * GROUPS for p in points):
+        return np.frombuffer(b"".join(points), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    return np.array([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in points], np.int32).reshape(-1, GROUPS)
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -114,7 +122,7 @@ def _sets(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _signatures(documents: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """key, doc_id, n, signatures. last: sorted buckets of the shingles that come last."""
+    """key, doc_id, n, point, sigs. last: buckets of the shingles that come last."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, late = WordHashes(), np.zeros(BUCKETS, bool)
         late[last] = True
@@ -126,44 +134,55 @@ def _signatures(documents: DataFrame, last: np.ndarray, words: int, percent: int
                     take = len(s) - -(-percent * len(s) // 100) + 1
                     order = (mixed(s) >> np.uint64(1)) | (late[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
                     first = np.argpartition(order, take - 1)[:take] if take < len(s) else slice(None)
-                    out.append((xxhash.xxh128_digest(s.tobytes()), doc_id, len(s), s[first].view(np.int64)))
+                    out.append((xxhash.xxh128_digest(s.tobytes()), doc_id, len(s), point(s), s[first].view(np.int64)))
             if out:
-                key, ids, n, sigs = zip(*out, strict=True)
+                key, ids, n, points, sigs = zip(*out, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))], names=["key", "doc_id", "n", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))], names=["key", "doc_id", "n", "point", "sigs"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "key binary, doc_id long, n long, sigs array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "key binary, doc_id long, n long, point binary, sigs array<long>")
 
 
 def _full(documents: DataFrame, words: int) -> DataFrame:
-    """id, n, point, items (the sorted set as bytes) of each document."""
+    """id and items (the sorted set as bytes) of each document."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
-            found = [shingles(t, hashes, words) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([point(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "point", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["id", "items"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(part, "id long, items binary")
+
+
+def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and the sum of the smaller counts allow. Sizes first: points travel only with what they leave."""
+    def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            p, q = counts_of(batch.column(4).to_pylist()), counts_of(batch.column(5).to_pylist())
+            ok = np.minimum(p, q).sum(1) >= least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(part, "id long, n long, point binary, items binary")
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    sized = pairs.join(one.drop("pa"), "a").join(two.drop("pb"), "b")
+    sized = sized.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
+    return sized.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(part, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: size, then the sum of smaller counts, then the sets themselves."""
+def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by the sets themselves; only the pairs' texts are read again."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = []
-            for p, q, x, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 need = least_overlap(len(s), len(t), percent)
-                ok = need <= min(len(s), len(t)) and int(np.minimum(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)).sum()) >= need
-                keep.append(bool(ok and len(np.intersect1d(s, t, assume_unique=True)) >= need))
+                keep.append(need <= min(len(s), len(t)) and len(np.intersect1d(s, t, assume_unique=True)) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("items").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("items").alias("sb"))
-    sized = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent).select("a", "b")
-    both = sized.join(one.drop("na"), "a").join(two.drop("nb"), "b").select("a", "b", "pa", "pb", "sa", "sb")
-    return both.mapInArrow(part, "a long, b long")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(_full(documents.join(ids, "doc_id", "left_semi"), words), "full-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long").distinct(), "links")
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +200,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         def searched(table: pa.Table) -> None:
             c = {x: table.column(x).to_numpy() for x in ("sig", "i", "j", "id", "n", "component", "block")}
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
+            points = counts_of(table.column("point").to_pylist())
             new = np.nonzero((np.diff(c["sig"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0))[0] + 1
             for a, b in zip([0, *new], [*new, len(points)], strict=True):
                 if b - a > 1:
@@ -218,25 +237,25 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     often = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "bucket").limit(FREQUENT)
     last = np.array([r[0] for r in often.select("bucket").collect()], np.int64)  # at most FREQUENT numbers, for the order only
     members = scanned.where("n IS NOT NULL").select("doc_id", "n", "key")
-    chosen = written(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")), "signatures")
+    chosen = written(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sigs").alias("sigs")), "signatures")
     each = chosen.select("id", F.explode("sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1 ").select("sig", "least")
-    rows = written(each.join(written(shared, "shared"), "sig"), "shared-rows")
+    shared = written(each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1"), "shared")
+    rows = written(each.join(shared, "sig").select("sig", "id", "least", "sets"), "shared-rows")
     stars = written(rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    near = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    sets = written(_full(documents.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["id", "items"]), "full-sets")
-    edges = written(_verified(stars, sets, percent), "links")
-
-    comp = connected_components(edges)
-    known = written(sets.select("id", "n", "point").dropDuplicates(["id"]).join(comp, "id", "left").select("id", "n", "point", F.coalesce("component", "id").alias("component")), "components")
-    rows = written(rows.select("sig", "id").join(known.select("id", "component"), "id"), "rows-components")
-    mixed_up = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    rest = rows.join(written(mixed_up.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "mixed"), "sig")
+    texts, known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("id", "n", "point")
+    edges = _verified(written(_bounded(stars, known, percent), "star-pairs"), texts, words, percent)
+
+    # a signature of two sets has no pair but its star; of the others, those in one component are done
+    comp = connected_components(edges).withColumnRenamed("id", "node")
+    rows = rows.where("sets > 2").select("sig", "id").join(comp, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+    rows = written(rows, "rows-components")
+    open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+    rest = rows.join(written(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(known.select("id", "n", "point"), "id")
+    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(known, "id")
     rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = _tree_pairs(rest, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(_verified(written(more, "tree-pairs"), sets, percent), "tree-links"))
+    more = written(_tree_pairs(rest, percent).distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
+    edges = edges.unionByName(_verified(more, texts, words, percent))
     return members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", "id"), connected_components(edges)
 
 
