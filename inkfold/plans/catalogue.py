@@ -1,6 +1,262 @@
-"""The registered queries over Markdown, and SQL that computes the same from the columns."""
+"""The registered queries over Markdown, and SQL that computes the same from the columns.
+
+The tables hold no Markdown, so each query builds it from columns, parses it, and asks the nodes; the SQL
+answers from the columns alone.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import udfs
+from ..operators import analysis, parse
+from ..streaming.prefixes import prefixes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def md(df: DataFrame, key: str, template: str) -> DataFrame:
+    """doc_id and md, built by a SQL expression."""
+    return df.select(F.col(key).alias("doc_id"), F.expr(template).alias("md"))
+
+
+@query("SELECT c_mktsegment AS segment, lower(c_mktsegment) AS slug, count(*) AS n FROM customer GROUP BY ALL")
+def heading_slugs(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('# ', c_name, '\n\n## ', c_mktsegment, '\n')")
+    return parse.nodes(docs, kinds=["heading"]).where("level = 2").groupBy(F.col("content").alias("segment"), F.col("id").alias("slug")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 1 + p_size % 6 AS level, count(*) AS n FROM part GROUP BY 1")
+def heading_levels(spark, d):
+    docs = md(table(spark, d, "part"), "p_partkey", "concat(repeat('#', 1 + p_size % 6), ' ', p_name)")
+    return parse.nodes(docs, kinds=["heading"]).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey, regexp_replace(lower(replace(o_orderpriority, ' ', '-')), '[^a-z0-9-]', '', 'g') || CASE WHEN k = 1 THEN '' ELSE '-' || (k - 1) END AS slug
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM orders)""")
+def heading_dup_ids(spark, d):
+    orders = table(spark, d, "orders")
+    docs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("o"))
+    docs = docs.select("doc_id", F.expr(r"array_join(transform(o, x -> concat('## ', x.o_orderpriority, '\n\n', x.o_orderkey)), '\n\n')").alias("md"))
+    found = analysis.sections(parse.nodes(docs, kinds=["heading", "paragraph"]).withColumn("content", F.when(F.col("type") == "heading", F.col("id")).otherwise(F.col("content"))))
+    return found.where("type = 'paragraph'").select("doc_id", F.col("content").cast("long").alias("o_orderkey"), F.col("section").alias("slug"))
+
+
+@query("SELECT n_nationkey AS doc_id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END AS level FROM nation")
+def setext_headings(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", r"concat(n_name, '\n', if(n_nationkey % 2 = 0, '=====', '---'), '\n')")
+    return parse.nodes(docs, kinds=["heading"]).select("doc_id", F.col("content").alias("name"), "level")
+
+
+@query("SELECT n_regionkey AS doc_id, count(*) - 1 AS rules, count(*) AS paragraphs FROM nation GROUP BY 1")
+def thematic_breaks(spark, d):
+    docs = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.expr(r"array_join(collect_list(n_name), '\n\n* * *\n\n')").alias("md"))
+    return parse.nodes(docs).groupBy("doc_id").agg(F.count_if(F.col("type") == "breakThematic").alias("rules"), F.count_if(F.col("type") == "paragraph").alias("paragraphs"))
+
+
+@query("SELECT n_regionkey AS doc_id, count(*) - 1 AS breaks FROM nation GROUP BY 1")
+def hard_breaks(spark, d):
+    docs = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.expr(r"array_join(collect_list(n_name), '  \n')").alias("md"))
+    return parse.nodes(docs, kinds=["breakLine"]).groupBy("doc_id").agg(F.count("*").alias("breaks"))
+
+
+@query("SELECT event_type AS lang, count(*) AS n, sum(length(props)) AS chars FROM events GROUP BY 1")
+def fence_langs(spark, d):
+    docs = md(table(spark, d, "events"), "event_id", r"concat('```', event_type, '\n', props, '\n```\n')")
+    return parse.nodes(docs, kinds=["codeBlock"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name || chr(10) || p_type AS code FROM part")
+def indented_code(spark, d):
+    docs = md(table(spark, d, "part"), "p_partkey", r"concat('    ', p_name, '\n\t', p_type, '\n')")
+    return parse.nodes(docs, kinds=["codeBlock"]).select("doc_id", F.col("text").alias("code"))
+
+
+@query("SELECT n_nationkey AS doc_id, 2 + n_nationkey % 3 AS quotes FROM nation")
+def blockquote_depth(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", "concat(repeat('> ', 2 + n_nationkey % 3), n_name)")
+    return parse.nodes(docs, kinds=["blockQuote"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("quotes"))
+
+
+@query("SELECT upper(event_type) AS alert, count(*) AS n FROM events WHERE regexp_full_match(event_type, '[A-Za-z]+') GROUP BY 1")
+def alerts(spark, d):
+    events = table(spark, d, "events").where(F.col("event_type").rlike("^[A-Za-z]+$"))
+    return parse.nodes(md(events, "event_id", r"concat('> [!', event_type, ']\n> ', event_id)"), kinds=["blockQuote"]).groupBy("alert").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, count(*) AS items FROM nation GROUP BY 1")
+def list_items(spark, d):
+    docs = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.expr(r"array_join(collect_list(concat('- ', n_name)), '\n')").alias("md"))
+    return parse.nodes(docs).where("role = 'item'").groupBy("doc_id").agg(F.count_distinct("item_no").alias("items"))
+
+
+@query("SELECT r_name AS region, count(*) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def nested_lists(spark, d):
+    both = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    docs = both.groupBy("r_regionkey", "r_name").agg(F.expr(r"concat('- ', r_name, '\n', array_join(collect_list(concat('  - ', n_name)), '\n'))").alias("md")).withColumnRenamed("r_regionkey", "doc_id")
+    found = parse.nodes(docs, kinds=["text"])
+    outer = found.where("depth = 1").select("doc_id", F.col("text").alias("region"))
+    return found.where("depth = 2").join(outer, "doc_id").groupBy("region").agg(F.count("*").alias("nations"))
+
+
+@query("SELECT o_orderkey AS doc_id, (o_orderkey % 9999)::INT AS start FROM orders")
+def ordered_start(spark, d):
+    return parse.nodes(md(table(spark, d, "orders"), "o_orderkey", r"concat(o_orderkey % 9999, '. ', o_orderpriority, '\n')"), kinds=["orderedList"]).select("doc_id", "start")
+
+
+@query("SELECT o_custkey AS doc_id, count(*) AS tasks, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1")
+def task_items(spark, d):
+    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.expr(r"array_join(collect_list(concat('- [', if(o_orderstatus = 'F', 'x', ' '), '] ', o_orderkey)), '\n')").alias("md"))
+    return parse.nodes(docs, kinds=["gfmTask"]).groupBy("doc_id").agg(F.count("*").alias("tasks"), F.count_if(F.col("completed")).alias("done"))
+
+
+@query("SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS row_no, n_nationkey AS k, n_name AS name FROM nation")
+def table_cells(spark, d):
+    docs = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    docs = docs.select("doc_id", F.expr(r"concat('| k | name |\n|--:|:--|\n', array_join(transform(r, x -> concat('| ', x.n_nationkey, ' | ', x.n_name, ' |')), '\n'))").alias("md"))
+    return parse.table_cells(docs).where("NOT is_header").groupBy("doc_id", "row_no").pivot("col_no", [0, 1]).agg(F.first("text")).select("doc_id", "row_no", F.col("0").cast("int").alias("k"), F.col("1").alias("name"))
+
+
+@query("SELECT n_nationkey AS doc_id, ['right', 'left', 'center', NULL] AS align FROM nation")
+def table_align(spark, d):
+    return parse.nodes(md(table(spark, d, "nation"), "n_nationkey", r"concat('a | b | c | d\n-: | :- | :-: | -\n', n_name)"), kinds=["table"]).select("doc_id", "align")
+
+
+@query("SELECT c_custkey AS doc_id, '[' || lower(c_mktsegment) || ']' AS label, CASE WHEN c_nationkey % 2 = 0 THEN 'https://x.test/' || c_nationkey END AS target FROM customer")
+def ref_join(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('see [', c_mktsegment, '][K', c_nationkey, ']\n\n', if(c_nationkey % 2 = 0, concat('[k', c_nationkey, ']: https://x.test/', c_nationkey, ' \"t\"'), ''))")
+    links = parse.nodes(docs, kinds=["link"]).select("doc_id", "target")
+    return docs.join(links, "doc_id", "left").select("doc_id", F.lower(F.regexp_extract("md", r"(\[[^\]]*\])", 1)).alias("label"), "target")
+
+
+@query("SELECT count(*) FILTER (c_nationkey % 2 = 1) AS unresolved, count(*) FILTER (c_nationkey % 2 = 0) AS resolved FROM customer")
+def unresolved_refs(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('[a][k', c_nationkey, ']\n\n', if(c_nationkey % 2 = 0, concat('[k', c_nationkey, ']: /u'), ''))")
+    defined = parse.refs(docs).select("doc_id").distinct()
+    return docs.join(defined.withColumn("has", F.lit(1)), "doc_id", "left").agg(F.count_if(F.col("has").isNull()).alias("unresolved"), F.count_if(F.col("has").isNotNull()).alias("resolved"))
+
+
+@query("SELECT s_suppkey AS doc_id, '^s' || s_suppkey AS label, s_name AS note FROM supplier")
+def footnotes(spark, d):
+    docs = md(table(spark, d, "supplier"), "s_suppkey", r"concat('x[^S', s_suppkey, ']\n\n[^S', s_suppkey, ']: ', s_name)")
+    return parse.refs(docs).where("is_footnote").select("doc_id", "label", F.col("target").alias("note"))
+
+
+@query("SELECT p_partkey AS doc_id, p_brand AS brand, p_size::VARCHAR AS size FROM part")
+def frontmatter_keys(spark, d):
+    found = parse.nodes(md(table(spark, d, "part"), "p_partkey", r"concat('---\nbrand: ', p_brand, '\nsize: ', p_size, '\n---\n\n', p_name)"), kinds=["frontmatter"])
+    return found.select("doc_id", F.regexp_extract("text", r"(?m)^brand: (.*)$", 1).alias("brand"), F.regexp_extract("text", r"(?m)^size: (.*)$", 1).alias("size"))
+
+
+@query("SELECT page_id AS doc_id, url AS link, url AS image, url AS auto FROM pages")
+def links_images(spark, d):
+    found = parse.nodes(md(table(spark, d, "pages"), "page_id", "concat('[a](', url, ') ![b](', url, ') <', url, '>')"), kinds=["link", "image"])
+    return found.groupBy("doc_id").agg(F.min_by("target", "node_id").alias("link"), F.max(F.when(F.col("type") == "image", F.col("target"))).alias("image"), F.max_by("target", "node_id").alias("auto"))
+
+
+@query("""SELECT page_id AS doc_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'data:image/png;' || page_id END AS url FROM pages""")
+def sanitize_urls(spark, d):
+    raw = F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('JavaScript:', page_id) WHEN 2 THEN concat('java%73cript:', page_id) ELSE concat('data:image/png;', page_id) END")
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), X.sanitize_url(raw).alias("url"))
+
+
+@query("SELECT page_id AS doc_id, page_id % 4 IN (1, 2) AS rejected FROM pages")
+def rejected_targets(spark, d):
+    docs = md(table(spark, d, "pages"), "page_id", "concat('[x](', CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('JavaScript:', page_id) WHEN 2 THEN concat('java%73cript:', page_id) ELSE concat('data:image/png;', page_id) END, ')')")
+    return parse.nodes(docs, kinds=["link"]).select("doc_id", F.col("target_rejected").alias("rejected"))
+
+
+@query("SELECT CASE p_size % 4 WHEN 0 THEN 'em' WHEN 1 THEN 'strong' WHEN 2 THEN 'del' ELSE 'mark' END AS tag, count(*) AS n FROM part GROUP BY 1")
+def emphasis_tags(spark, d):
+    docs = md(table(spark, d, "part"), "p_partkey", "concat('a ', element_at(array('*', '**', '~~', '=='), p_size % 4 + 1), p_name, element_at(array('*', '**', '~~', '=='), p_size % 4 + 1), ' z')")
+    return parse.nodes(docs, kinds=["textFormatted"]).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS doc_id, p_type AS code FROM part")
+def code_spans(spark, d):
+    return parse.nodes(md(table(spark, d, "part"), "p_partkey", "concat('x `` ', p_type, ' `` y')"), kinds=["codeInline"]).select("doc_id", F.col("text").alias("code"))
+
+
+@query("SELECT n_nationkey AS doc_id, 'http://www.' || lower(replace(n_name, '_', '')) || '.test/a' AS target FROM nation")
+def bare_urls(spark, d):
+    return parse.nodes(md(table(spark, d, "nation"), "n_nationkey", "concat('go www.', lower(replace(n_name, '_', '')), '.test/a, now')"), kinds=["link"]).select("doc_id", "target")
+
+
+@query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!.*?>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY ALL")
+def html_tags(spark, d):
+    return parse.html_tags(table(spark, d, "pages")).where("NOT closing").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, regexp_replace(html, '<(/?)(title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext)(\s|>|/)', '&lt;\1\2\3', 'gi') AS html FROM pages")
+def tagfilter(spark, d):
+    return table(spark, d, "pages").select("page_id", X.tagfilter(F.col("html")).alias("html"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html FROM pages""")
+def escape_html(spark, d):
+    return table(spark, d, "pages").select("page_id", X.escape_html(F.col("html")).alias("html"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(replace(p_type, ' ', '-')), '[^a-z0-9-]', '', 'g') AS slug FROM part")
+def slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.slugify(F.col("p_type")).alias("slug"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), '|') AS text FROM documents")
+def normalize_crlf(spark, d):
+    raw = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    return table(spark, d, "documents").select("doc_id", F.replace(X.normalize_input(raw), F.lit("\n"), F.lit("|")).alias("text"))
+
+
+@query("SELECT c_custkey AS doc_id, '<div><h1 id=\"customer' || lpad(c_custkey::VARCHAR, 9, '0') || '\">' || c_name || '</h1><p>in <strong>' || c_mktsegment || '</strong></p></div>' AS html FROM customer")
+def md_to_html(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('# ', c_name, '\n\nin **', c_mktsegment, '**')")
+    return docs.select("doc_id", udfs.md_to_html("md").alias("html"))
+
+
+@query("SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || chr(10) || '- **' || c_mktsegment || '**' || chr(10) || '- ' || c_nationkey AS md FROM customer")
+def md_normalize(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat(c_name, '\n====\n\n* __', c_mktsegment, '__\n* ', c_nationkey)")
+    return docs.select("doc_id", udfs.md_normalize("md").alias("md"))
+
+
+@query("SELECT 'div' AS tag, count(*) AS n FROM nation UNION ALL SELECT 'h2', count(*) FROM nation UNION ALL SELECT 'p', count(*) FROM nation UNION ALL SELECT 'em', count(*) FROM nation")
+def element_tree(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", r"concat('## ', n_name, '\n\nin *', n_regionkey, '*')")
+    return parse.element_tree(docs, "react").where("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prefix FROM conversations")
+def stream_prefix(spark, d):
+    return prefixes(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "prefix")
+
+
+@query("SELECT type, n FROM (SELECT 'heading' AS type, count(*) AS n FROM customer UNION ALL SELECT 'paragraph', count(*) FROM customer UNION ALL SELECT 'text', 2 * count(*) FROM customer UNION ALL SELECT NULL, 4 * count(*) FROM customer)")
+def rollup_node_types(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('# ', c_name, '\n\n', c_mktsegment)")
+    return parse.nodes(docs).rollup("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS doc_id, c_mktsegment AS section, c_name AS paragraph FROM customer")
+def doc_outline(spark, d):
+    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('## ', c_mktsegment, '\n\n', c_name)")
+    return analysis.sections(parse.nodes(docs, kinds=["heading", "paragraph"])).where("type = 'paragraph'").select("doc_id", "section", F.col("content").alias("paragraph"))
