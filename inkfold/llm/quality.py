@@ -16,7 +16,7 @@ from .linear import fit, platt, presence, sample, sigmoid
 from .toxicity import Model
 
 #: Features in each half (words, characters); training texts of each label; least probability of a kept row.
-DIM, SAMPLE, KEEP, SEED = 1 << 16, 3000, 0.5, 9
+DIM, SAMPLE, KEEP, SEED = 1 << 16, 1500, 0.5, 9
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
