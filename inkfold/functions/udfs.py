@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernels import blocks, html, inline, markdown, rows
 from ..kernels import scalars as S
@@ -14,7 +15,7 @@ from ..kernels.model import Options
 
 
 def _text_udf(one):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def udf(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else one(t))
 
