@@ -34,6 +34,8 @@ WORDS, PERCENT, GROUPS = 4, 85, 128
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
 #: Points of a leaf; points of one tree (a larger signature is dealt out in pairs of blocks).
 LEAF, TREE = 16, 512
+#: Ids (8 bytes each) of documents in surviving pairs up to which they are broadcast to fetch the texts.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -48,6 +50,24 @@ def point(found: np.ndarray) -> bytes:
     return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
 
 
+def fine_point(found: np.ndarray) -> bytes | None:
+    """The counts in so many groups (a power of two) that each has eight shingles or fewer on average; None where GROUPS are that many."""
+    bits = max(0, (len(found) - 1) // 8).bit_length()
+    if 1 << bits <= GROUPS:
+        return None
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
+def bound(p: bytes, q: bytes, fine_p: bytes | None, fine_q: bytes | None) -> int:
+    """The sum of the smaller counts, in the groups of the coarser point: groups are ranges of hashes, so finer ones add up to them."""
+    if fine_p is None or fine_q is None:
+        a, b = counts_of([p, q])
+        return int(np.minimum(a, b).sum())
+    a, b = np.frombuffer(fine_p, np.uint16).astype(np.int64), np.frombuffer(fine_q, np.uint16).astype(np.int64)
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
+
+
 def counts_of(points: list[bytes]) -> np.ndarray:
     if all(len(p) == 2 * GROUPS for p in points):
         return np.frombuffer(b"".join(points), np.uint16).reshape(-1, GROUPS).astype(np.int32)
@@ -122,7 +142,7 @@ def _sets(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _signatures(documents: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """key, doc_id, n, point, sigs. last: buckets of the shingles that come last."""
+    """key, doc_id, n, point, fine, sigs. last: buckets of the shingles that come last."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, late = WordHashes(), np.zeros(BUCKETS, bool)
         late[last] = True
@@ -134,13 +154,13 @@ def _signatures(documents: DataFrame, last: np.ndarray, words: int, percent: int
                     take = len(s) - -(-percent * len(s) // 100) + 1
                     order = (mixed(s) >> np.uint64(1)) | (late[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
                     first = np.argpartition(order, take - 1)[:take] if take < len(s) else slice(None)
-                    out.append((xxhash.xxh128_digest(s.tobytes()), doc_id, len(s), point(s), s[first].view(np.int64)))
+                    out.append((xxhash.xxh128_digest(s.tobytes()), doc_id, len(s), point(s), fine_point(s), s[first].view(np.int64)))
             if out:
-                key, ids, n, points, sigs = zip(*out, strict=True)
+                key, ids, n, points, fine, sigs = zip(*out, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))], names=["key", "doc_id", "n", "point", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))], names=["key", "doc_id", "n", "point", "fine", "sigs"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "key binary, doc_id long, n long, point binary, sigs array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "key binary, doc_id long, n long, point binary, fine binary, sigs array<long>")
 
 
 def _full(documents: DataFrame, words: int) -> DataFrame:
@@ -157,15 +177,15 @@ def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and the sum of the smaller counts allow. Sizes first: points travel only with what they leave."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            p, q = counts_of(batch.column(4).to_pylist()), counts_of(batch.column(5).to_pylist())
-            ok = np.minimum(p, q).sum(1) >= least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            need = least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            ok = [bound(*x) >= y for x, y in zip(zip(*[batch.column(k).to_pylist() for k in range(4, 8)], strict=True), need, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    sized = pairs.join(one.drop("pa"), "a").join(two.drop("pb"), "b")
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("fine").alias("fa"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("fine").alias("fb"))
+    sized = pairs.join(one.drop("pa", "fa"), "a").join(two.drop("pb", "fb"), "b")
     sized = sized.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
-    return sized.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(part, "a long, b long").distinct()
+    return sized.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "b", "na", "nb", "pa", "pb", "fa", "fb").mapInArrow(part, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
@@ -180,6 +200,9 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = written(ids, "pair-ids")
+    if ids.count() <= BROADCAST_IDS:  # beyond, the texts are shuffled; Spark puts a Bloom filter before that on its own
+        ids = F.broadcast(ids)
     sets = written(_full(documents.join(ids, "doc_id", "left_semi"), words), "full-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
     return written(both.select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long").distinct(), "links")
@@ -237,12 +260,12 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     often = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "bucket").limit(FREQUENT)
     last = np.array([r[0] for r in often.select("bucket").collect()], np.int64)  # at most FREQUENT numbers, for the order only
     members = scanned.where("n IS NOT NULL").select("doc_id", "n", "key")
-    chosen = written(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sigs").alias("sigs")), "signatures")
+    chosen = written(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.first("sigs").alias("sigs")), "signatures")
     each = chosen.select("id", F.explode("sigs").alias("sig"))
     shared = written(each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1"), "shared")
     rows = written(each.join(shared, "sig").select("sig", "id", "least", "sets"), "shared-rows")
     stars = written(rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    texts, known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("id", "n", "point")
+    texts, known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("id", "n", "point", "fine")
     edges = _verified(written(_bounded(stars, known, percent), "star-pairs"), texts, words, percent)
 
     # a signature of two sets has no pair but its star; of the others, those in one component are done
@@ -252,10 +275,10 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
     rest = rows.join(written(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(known, "id")
+    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(known.drop("fine"), "id")
     rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     more = written(_tree_pairs(rest, percent).distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
-    edges = edges.unionByName(_verified(more, texts, words, percent))
+    edges = edges.unionByName(_verified(written(_bounded(more, known, percent), "bounded-pairs"), texts, words, percent))
     return members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", "id"), connected_components(edges)
 
 
