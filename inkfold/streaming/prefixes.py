@@ -20,8 +20,11 @@ def prefixes(pieces: DataFrame, key: str, order: str, column: str, joiner: str =
 
 
 class _Prefix(StatefulProcessor):
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.prefix = handle.getValueState("prefix", "text string", ttlDurationMs=86_400_000)
+        self.prefix = handle.getValueState("prefix", "text string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         text = self.prefix.get()[0] if self.prefix.exists() else ""
@@ -34,10 +37,10 @@ class _Prefix(StatefulProcessor):
         pass
 
 
-def live_html(stream: DataFrame) -> DataFrame:
+def live_html(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A stream (id long, ord long, piece string) -> (id, prefix, html) after each micro-batch.
 
-    The state is one text for each id; it goes a day after its last piece, so that it does not grow for ever. Needs
-    the RocksDB state store.
+    The state is one text for each id. With ttl_ms it goes so long after its last piece, so that it does not grow
+    for ever; Spark then wakes by the clock, and an availableNow trigger does not end. Needs the RocksDB state store.
     """
-    return stream.groupBy("id").transformWithStateInPandas(statefulProcessor=_Prefix(), outputStructType="id long, prefix string, html string", outputMode="Update", timeMode="ProcessingTime")
+    return stream.groupBy("id").transformWithStateInPandas(statefulProcessor=_Prefix(ttl_ms), outputStructType="id long, prefix string, html string", outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
