@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mixed, utf8, windows, written
 from .graph import connected_components
 
-WORDS, PERCENT, GROUPS = 4, 85, 128
+#: Upper nodes of a tree have COARSE groups, each of several of the GROUPS of a point; both are powers of two.
+WORDS, PERCENT, GROUPS, COARSE = 4, 85, 512, 128
 #: Buckets of the shingle counts, those that a task reports at most, and those that are put last.
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
 #: Points of a leaf; points of one tree (a larger signature is dealt out in pairs of blocks).
@@ -45,9 +46,9 @@ def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.n
 
 
 def point(found: np.ndarray) -> bytes:
-    """The counts by group, in two bytes each, or four where one needs them."""
-    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
-    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+    """The counts by group, in one byte each, or two or four where one needs them."""
+    counts = np.bincount((found >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
 
 
 def fine_point(found: np.ndarray) -> bytes | None:
@@ -62,16 +63,19 @@ def bound(p: bytes, q: bytes, fine_p: bytes | None, fine_q: bytes | None) -> int
     """The sum of the smaller counts, in the groups of the coarser point: groups are ranges of hashes, so finer ones add up to them."""
     if fine_p is None or fine_q is None:
         a, b = counts_of([p, q])
-        return int(np.minimum(a, b).sum())
+        return int(np.minimum(a, b).sum(dtype=np.int64))
     a, b = np.frombuffer(fine_p, np.uint16).astype(np.int64), np.frombuffer(fine_q, np.uint16).astype(np.int64)
     n = min(len(a), len(b))
     return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
 
 
 def counts_of(points: list[bytes]) -> np.ndarray:
-    if all(len(p) == 2 * GROUPS for p in points):
-        return np.frombuffer(b"".join(points), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-    return np.array([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in points], np.int32).reshape(-1, GROUPS)
+    """The points' counts, in one type that holds them all."""
+    widths = [len(p) // GROUPS for p in points]
+    kind = f"u{max(widths, default=1)}"
+    if len(set(widths)) < 2:
+        return np.frombuffer(b"".join(points), kind).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(p, f"u{w}") for p, w in zip(points, widths, strict=True)], kind)
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -82,37 +86,45 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.
 class RTree:
     """Points packed by size and then by their counts into leaves; upper nodes hold FAN nodes each.
 
-    A node has the largest count of each group and the smallest and largest size below it.
+    A node has the largest count of each coarse group and the smallest and largest size below it; coarse
+    groups are cheap to search by, and the points that they leave are bounded by all groups.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> None:
         n = len(sizes)
         slabs = max(1, int(np.sqrt(n / leaf)))
         slab = (np.argsort(np.argsort(sizes, kind="stable"), kind="stable") * slabs) // max(1, n)
-        self.order = np.lexsort((points[:, 1] if n else sizes, points[:, 0] if n else sizes, slab))
-        self.points, self.sizes, self.leaf = points[self.order], sizes[self.order], leaf
+        coarse = self.coarser(points)
+        self.order = np.lexsort((coarse[:, 1] if n else sizes, coarse[:, 0] if n else sizes, slab))
+        self.points, self.coarse, self.sizes, self.leaf = points[self.order], coarse[self.order], sizes[self.order], leaf
         self.levels = []
-        top, low, high = self.points, self.sizes, self.sizes
+        top, low, high = self.coarse, self.sizes, self.sizes
         while len(low) > 1 or not self.levels:
             starts = np.arange(0, len(low), leaf)
             top, low, high = np.maximum.reduceat(top, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
             self.levels.append((top, low, high))
 
+    @staticmethod
+    def coarser(points: np.ndarray) -> np.ndarray:
+        """Groups are ranges of hashes, so neighbouring ones add up to coarse ones."""
+        return points.reshape(len(points), COARSE, GROUPS // COARSE).sum(2, dtype=np.int32)
+
     def search(self, at: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Positions (in the given order) of the points that the bound allows as partners."""
-        nodes = np.arange(len(self.levels[-1][0]))
+        nodes, wide = np.arange(len(self.levels[-1][0])), self.coarser(at[None])[0]
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             ok = (high[nodes] * 100 >= size * percent) & (low[nodes] * percent <= size * 100)
             nodes = nodes[ok]
-            bound = np.minimum(top[nodes], at).sum(1)
+            bound = np.minimum(top[nodes], wide).sum(1)
             least = np.maximum(low[nodes], -(-size * percent // 100))
             nodes = nodes[bound >= least_overlap(size, least, percent)]
             below = len(self.levels[depth - 1][0]) if depth else len(self.sizes)
             nodes = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
             nodes = nodes[nodes < below]
-        ok = np.minimum(self.points[nodes], at).sum(1) >= least_overlap(size, self.sizes[nodes], percent)
-        return self.order[nodes[ok]]
+        for points, point in ((self.coarse, wide), (self.points, at)):
+            nodes = nodes[np.minimum(points[nodes], point).sum(1, dtype=np.int64) >= least_overlap(size, self.sizes[nodes], percent)]
+        return self.order[nodes]
 
 
 def _sets(documents: DataFrame, words: int) -> DataFrame:
