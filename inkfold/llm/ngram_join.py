@@ -14,6 +14,9 @@ only the order depends on them, never the result), and by hash otherwise.
 Groups of near copies would still make trees with quadratic results, so each signature first offers
 only the pairs of every set with its smallest one. What these link is one component already; trees
 are searched only where a signature's sets lie in several components, and only for pairs across them.
+A pair would come from the tree of each signature that both sets have. So each set names OWNERS of its
+signatures, those with the smallest values, and where two sets name a common one, only the tree of the
+smallest such signature gives the pair.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ WORDS, PERCENT, GROUPS, COARSE = 4, 85, 512, 128
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
 #: Points of a leaf; points of one tree (a larger signature is dealt out in pairs of blocks).
 LEAF, TREE = 16, 512
+#: Signatures that a set names, so that a pair comes from one tree.
+OWNERS = 8
 #: Ids (8 bytes each) of documents in surviving pairs up to which they are broadcast to fetch the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -221,13 +226,18 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (sig, i, j, id, n, component, point, block), sorted by sig, i, j -> pairs that a tree's bound allows."""
-    def pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, points: np.ndarray, one: bool) -> Iterator[tuple[int, int]]:
+    """rows (sig, i, j, id, n, component, point, owners, block), sorted by sig, i, j -> pairs that a tree's bound allows.
+
+    A pair whose sets name a common owner is left to the tree of the smallest one: both are in it, and its bound is the
+    same; where all of that signature's sets are one component or only these two, the pair needs no tree.
+    """
+    def pairs(sig: int, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, points: np.ndarray, owners: list[list[int]], one: bool) -> Iterator[tuple[int, int]]:
         tree = RTree(points, n)
         for k in range(len(ids)):
             for m in tree.search(points[k], int(n[k]), percent):
                 if ids[k] < ids[m] and comp[k] != comp[m] and (one or block[k] != block[m]):
-                    yield int(ids[k]), int(ids[m])
+                    if min(set(owners[k]).intersection(owners[m]), default=sig) == sig:
+                        yield int(ids[k]), int(ids[m])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,12 +245,12 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         def searched(table: pa.Table) -> None:
             c = {x: table.column(x).to_numpy() for x in ("sig", "i", "j", "id", "n", "component", "block")}
-            points = counts_of(table.column("point").to_pylist())
+            points, owners = counts_of(table.column("point").to_pylist()), table.column("owners").to_pylist()
             new = np.nonzero((np.diff(c["sig"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0))[0] + 1
             for a, b in zip([0, *new], [*new, len(points)], strict=True):
                 if b - a > 1:
                     s = slice(a, b)
-                    found.update(pairs(c["id"][s], c["n"][s], c["component"][s], c["block"][s], points[s], c["i"][a] == c["j"][a]))
+                    found.update(pairs(int(c["sig"][a]), c["id"][s], c["n"][s], c["component"][s], c["block"][s], points[s], owners[s], c["i"][a] == c["j"][a]))
 
         def out() -> pa.RecordBatch:
             x = np.array(sorted(found), np.int64).reshape(-1, 2)
@@ -263,7 +273,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             searched(pa.Table.from_batches(held))
         yield out()
 
-    return rows.select("sig", "i", "j", "id", "n", "component", "point", "block").mapInArrow(part, "a long, b long")
+    return rows.select("sig", "i", "j", "id", "n", "component", "point", "owners", "block").mapInArrow(part, "a long, b long")
 
 
 def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -287,9 +297,10 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
     rest = rows.join(written(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(known.drop("fine"), "id")
+    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
     rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = written(_tree_pairs(rest, percent).distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
+    # repeats go before the join; Spark would push it below them
+    more = written(written(_tree_pairs(rest, percent).distinct(), "tree-pairs").join(stars, ["a", "b"], "left_anti"), "new-pairs")
     edges = edges.unionByName(_verified(written(_bounded(more, known, percent), "bounded-pairs"), texts, words, percent))
     return members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", "id"), connected_components(edges)
 
