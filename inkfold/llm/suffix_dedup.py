@@ -1,15 +1,15 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by the windows of LEAST words that begin sparse suffixes.
 
-Suffixes are kept only where they begin at a minimiser: the position whose GRAM words hash lowest in some
+Suffixes are sampled at minimisers: the position whose GRAM words hash lowest in some
 window of WINDOW positions. Two copies of a passage of LEAST words choose the same positions in it, since it holds a whole
-window. Suffixes whose first GRAM words occur once are dropped; the others, with RIGHT words to the right and LEFT words to the left,
-are sorted across the cluster, compared with their neighbours, and the match is extended to both sides.
-The union of a document's matches gives its repeated passages, of any length, since the minimisers of a
-long passage lie closer together than RIGHT words.
+window. So only windows of LEAST words whose minimisers all occur in several texts can be repeated; the hash of each of these
+is sorted across the cluster, and every one that two texts hold is found, whatever stands around it.
+The union of a document's windows gives its repeated passages, of any length.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import WordHashes, batches, mixed, utf8, windows, written
 
 LEAST, GRAM, WINDOW = 50, 8, 32
-RIGHT, LEFT = 56, 44
 
 
 def word_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -54,103 +53,112 @@ def _anchors(documents: DataFrame, least: int) -> DataFrame:
     return documents.select("id", "text").mapInArrow(part, "id long, key long")
 
 
-def _suffixes(documents: DataFrame) -> DataFrame:
-    """key, right, left, id, pos of the anchors named by keys; contexts are 32-bit word hashes, left ones reversed, padded with 0."""
+def _windows(documents: DataFrame, least: int) -> DataFrame:
+    """gram, id, pos: the hash of each window of least words whose minimisers are all named by keys; a window that two texts share always is one."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        inner = least - GRAM - WINDOW + 2  # windows of the minimisers in one of least words
+        for batch in rows:
+            for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                g = mixed(windows(word_hashes(text, hashes), GRAM))
+                lowest = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1)
+                named = np.concatenate([[0], np.cumsum(np.isin(g[lowest].view(np.int64), np.array(keys, np.int64)))])
+                at = np.nonzero(named[inner:] - named[:-inner] == inner)[0]
+                gram = np.zeros(len(at), np.uint64)
+                for k in (*range(0, least - GRAM, GRAM), least - GRAM):
+                    gram = mixed(gram * np.uint64(0x9E3779B97F4A7C15) + g[at + k])
+                for k in range(0, len(at), 50_000):
+                    some = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[some].view(np.int64)), pa.array(np.full(len(at[some]), doc, np.int64)), pa.array(at[some])], names=["gram", "id", "pos"])
+
+    return documents.select("id", "text", "keys").mapInArrow(part, "gram long, id long, pos long")
+
+
+def _compared(sorted_rows: DataFrame) -> DataFrame:
+    """id, pos, partner of the windows that another text holds too, by rows sorted by gram and id.
+
+    The first and last gram of a partition may go on in others: their rows come with gram and no partner, and
+    once more without pos for the two lowest ids of each.
+    """
+    def rows_of(doc: np.ndarray, pos: np.ndarray | None, partner: np.ndarray | None, gram: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x) for x in (doc, pos, partner, gram)], names=["id", "pos", "partner", "gram"])
+
+    def inside(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        group = np.concatenate([[0], np.cumsum(np.diff(gram) != 0)])
+        low = doc[np.concatenate([[0], np.nonzero(np.diff(gram))[0] + 1])]
+        other = np.nonzero(doc != low[group])[0]
+        shared, at = np.unique(group[other], return_index=True)
+        following, several = np.zeros(len(low), np.int64), np.zeros(len(low), bool)
+        following[shared], several[shared] = doc[other[at]], True
+        k = several[group]
+        return rows_of(doc[k], pos[k], np.where(doc == low[group], following[group], low[group])[k], None)
+
+    def border(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield rows_of(doc, pos, None, gram)
+        lowest = np.unique(doc)[:2]
+        yield rows_of(lowest, None, None, np.full(len(lowest), gram[0]))
 
-        def every() -> Iterator[tuple]:
-            for batch in rows:
-                for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                    h = word_hashes(text, hashes)
-                    g = mixed(windows(h, GRAM))
-                    at = minimisers(g)
-                    at = at[np.isin(g[at].view(np.int64), np.array(keys, np.int64))]
-                    short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    padded = np.concatenate([np.zeros(LEFT, np.uint32), short, np.zeros(RIGHT, np.uint32)])
-                    for p in at.tolist():
-                        yield int(g[p].view(np.int64)), padded[p + LEFT : p + LEFT + RIGHT].tobytes(), padded[p : p + LEFT][::-1].tobytes(), doc, p
-
-        yield from batches(every(), schema, 4000)
-
-    schema = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("id", pa.int64()), ("pos", pa.int32())])
-    return documents.select("id", "text", "keys").mapInArrow(part, "key long, right binary, left binary, id long, pos int")
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words of each row of a and b are alike; 0 is beyond a text's end."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
-
-
-class _Run:
-    """Sorted suffixes, compared with the next ones of another document before and after them."""
-
-    def __init__(self, key: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
-        self.key, self.right, self.left, self.doc, self.pos = key, right, left, doc, pos
-
-    @staticmethod
-    def of(batch: pa.RecordBatch) -> _Run:
-        both = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (1, 2)]
-        return _Run(batch.column(0).to_numpy(), *both, batch.column(3).to_numpy(), batch.column(4).to_numpy())
-
-    def slice(self, a: int, b: int) -> _Run:
-        return _Run(*[x[a:b] for x in (self.key, self.right, self.left, self.doc, self.pos)])
-
-    def plus(self, other: _Run) -> _Run:
-        return _Run(*[np.concatenate(x) for x in zip((self.key, self.right, self.left, self.doc, self.pos), (other.key, other.right, other.left, other.doc, other.pos), strict=True)])
-
-    def matches(self, least: int) -> Iterator[tuple[int, int, int, int]]:
-        """doc, start, end, partner."""
-        n = len(self.doc)
-        if n < 2:
-            return
-        change = np.nonzero(np.diff(self.doc))[0] + 1
-        begin, end = np.concatenate([[0], change]), np.concatenate([change, [n]])
-        run = np.searchsorted(begin, np.arange(n), "right") - 1
-        for other, ok in ((begin[run] - 1, begin[run] > 0), (end[run], end[run] < n)):
-            i = np.nonzero(ok)[0]
-            j = other[i]
-            same = self.key[i] == self.key[j]
-            i, j = i[same], j[same]
-            r, left = common(self.right[i], self.right[j]), common(self.left[i], self.left[j])
-            for k in np.nonzero((r >= GRAM) & (r + left >= least))[0].tolist():
-                p = int(self.pos[i[k]])
-                yield int(self.doc[i[k]]), p - int(left[k]), p + int(r[k]), int(self.doc[j[k]])
-
-
-def _compared(sorted_rows: DataFrame, least: int) -> DataFrame:
-    """Matches of neighbours in each partition, and each partition's first and last suffixes (kind edge)."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: _Run | None = None
-        first: _Run | None = None
+        held: list[tuple[np.ndarray, ...]] = []  # of the gram that may go on
+        first = True
         for batch in rows:
             if not batch.num_rows:
                 continue
-            now = _Run.of(batch)
-            first = first or now.slice(0, 1)
-            whole = held.plus(now) if held else now
-            yield from batches(((d, s, e, o, None, None, None) for d, s, e, o in whole.matches(least)), schema)
-            starts = np.nonzero(np.diff(whole.doc))[0]
-            held = whole.slice(int(starts[-1]) if len(starts) else 0, len(whole.doc))  # the last document's suffixes and the one before them
-        if held and first:
-            for x in (first, held.slice(len(held.doc) - 1, len(held.doc))):
-                yield from batches(iter([(int(x.doc[0]), int(x.pos[0]), None, None, int(x.key[0]), x.right[0].tobytes(), x.left[0].tobytes())]), schema)
-
-    schema = pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
-    return sorted_rows.mapInArrow(part, "id long, begin long, end long, partner long, key long, right binary, left binary")
-
-
-def _edges(edges: DataFrame, least: int) -> DataFrame:
-    """Matches across partitions, from their first and last suffixes: two rows a partition, in one sorted task."""
+            now = tuple(batch.column(k).to_numpy() for k in range(3))
+            if held and held[0][0][0] == now[0][-1]:
+                held.append(now)
+                continue
+            gram, doc, pos = (np.concatenate(x) for x in zip(*held, now, strict=True))
+            change = np.nonzero(np.diff(gram))[0] + 1
+            begin, end = 0, int(change[-1]) if len(change) else 0
+            if first and end:
+                begin, first = int(change[0]), False
+                yield from border(gram[:begin], doc[:begin], pos[:begin])
+            if begin < end:
+                yield inside(gram[begin:end], doc[begin:end], pos[begin:end])
+            held = [(gram[end:], doc[end:], pos[end:])]
+        if held:
+            yield from border(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return sorted_rows.mapInArrow(part, "id long, pos long, partner long, gram long")
+
+
+def _across(windows_: DataFrame, seams: list[tuple[int, int, int]]) -> DataFrame:
+    """id, pos, partner of the windows at the seams: each once, by the two lowest ids of its gram; seams are at most two grams a partition."""
+    keys, low, following = (np.array(x, np.int64) for x in (zip(*seams, strict=True) if seams else ([], [], [])))
+
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [b for b in rows if b.num_rows]
-        if every:
-            found = list(_Run.of(pa.Table.from_batches(every).combine_chunks().to_batches()[0]).matches(least))
-            yield from batches(iter(found), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64())]))
+        for batch in rows:
+            doc, gram = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            at = np.searchsorted(keys, gram)
+            k = np.nonzero(np.isin(gram, keys))[0]
+            at = at[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k)), pa.array(np.where(doc[k] == low[at], following[at], low[at]))], names=["id", "pos", "partner"])
+
+    return windows_.mapInArrow(part, "id long, pos long, partner long")
+
+
+def _merged(found: DataFrame, least: int) -> DataFrame:
+    """id, begin, end, partner: the windows that meet or overlap as one, once for each partner; rows are sorted by id and pos."""
+    def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def every() -> Iterator[tuple]:
+            doc, begin, end, partners = None, 0, 0, set()
+            for batch in rows:
+                if not batch.num_rows:
+                    continue
+                i, p, o = (batch.column(k).to_numpy() for k in range(3))
+                starts = np.concatenate([[0], np.nonzero((np.diff(i) != 0) | (np.diff(p) > least))[0] + 1, [len(i)]])
+                for a, b in itertools.pairwise(starts.tolist()):
+                    if doc != i[a] or p[a] > end:
+                        yield from ((doc, begin, end, x) for x in partners)
+                        doc, begin, partners = int(i[a]), int(p[a]), set()
+                    end = int(p[b - 1]) + least
+                    partners.update(np.unique(o[a:b]).tolist())
+            yield from ((doc, begin, end, x) for x in partners)
+
+        yield from batches(every(), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64())]))
 
-    edges = edges.select("key", "right", "left", "id", F.col("begin").cast("int").alias("pos"))
-    return edges.repartition(1).sortWithinPartitions("key", "right", "left", "id", "pos").mapInArrow(part, "id long, begin long, end long, partner long")
+    return found.mapInArrow(part, "id long, begin long, end long, partner long")
 
 
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -163,8 +171,8 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     Null or empty texts, texts under `least` words, and rows with a null doc_id give none; so does an empty table.
 
     Equal texts meet once, by their 128-bit hash, so groups of copies cost no more than their rows. The sort is by range over
-    (key, right, left, id), so that even equal suffixes of many documents are dealt out; the seams between
-    partitions are compared from two suffixes of each. `least` is 50 at least.
+    (gram, id, pos), so that even one window of many documents is dealt out; what lies at the seams between
+    partitions meets by its gram, so the result does not depend on where they are. `least` is 40 at least.
     """
     if least < GRAM + WINDOW:
         raise ValueError(f"least is {GRAM + WINDOW} at least")
@@ -177,27 +185,22 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     # the first row of each text stands for all of them, so each text is met once
     wanted = wanted.join(first.select(F.col("h1").alias("id"), F.col("id").alias("doc_id")), "id")
     texts = docs.withColumn("h1", F.xxhash64("text")).join(wanted.withColumnRenamed("id", "h1"), ["doc_id", "h1"])
-    suffixes = _suffixes(texts.select(F.col("h1").alias("id"), "text", "keys"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = written(suffixes, "suffixes")
-    sorted_rows = suffixes.repartitionByRange(parts, "key", "right", "left", "id", "pos").sortWithinPartitions("key", "right", "left", "id", "pos")
-    compared = written(_compared(sorted_rows, least), "compared")
-    found = compared.where("key IS NULL").select("id", "begin", "end", "partner").unionByName(_edges(compared.where("key IS NOT NULL"), least))
-    names = first.select(F.col("h1").alias("partner"), F.col("id").alias("partner_id")).groupBy("partner").agg(F.min("partner_id").alias("partner_id"))
-    found = found.join(names, "partner")
-    spans = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "partner_id"))).alias("s"))  # one text's own matches
-    merged = F.expr("""
-        aggregate(s, cast(array() as array<struct<begin:bigint,end:bigint,partner_id:bigint>>), (a, x) ->
-          CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.begin
-               THEN concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end), 'partner_id', least(element_at(a, -1).partner_id, x.partner_id))))
-               ELSE array_append(a, x) END)""")
-    spans = written(spans.select("id", merged.alias("s")), "spans")
+    grams = written(_windows(texts.select(F.col("h1").alias("id"), "text", "keys"), least), "windows")
+    compared = written(_compared(grams.repartitionByRange(parts, "gram", "id", "pos").sortWithinPartitions("gram", "id", "pos")), "compared")
+    seams = compared.where("pos IS NULL").groupBy("gram").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)  # a few rows of each partition
+    seams = seams.select("gram", F.col("ids")[0].alias("low"), F.col("ids")[1].alias("following"))
+    across = _across(compared.where("gram IS NOT NULL AND pos IS NOT NULL").select("id", "pos", "gram"), [tuple(r) for r in seams.orderBy("gram").collect()])
+    found = compared.where("gram IS NULL").select("id", "pos", "partner").unionByName(across)
+    found = _merged(found.repartition(parts, "id").sortWithinPartitions("id", "pos"), least)  # one text's own windows
+    names = first.groupBy(F.col("h1").alias("partner")).agg(F.min("id").alias("partner_id"))
+    spans = written(found.join(names, "partner").groupBy("id", "begin", "end").agg(F.min("partner_id").alias("partner")), "spans")
     whole = first.where("other <> id")
     copied = same.join(whole.select("h1", "h2", "id", "other"), ["h1", "h2"]).select("doc_id", "h1", "h2", F.when(F.col("doc_id") == F.col("id"), F.col("other")).otherwise(F.col("id")).alias("partner"))
     sized = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("n")).where(F.col("n") >= least).distinct()
     whole_rows = copied.join(sized, ["doc_id", "h1"]).select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), F.col("n").alias("n_words"), "partner")
     single = same.join(first.where("other = id").select("h1", "h2"), ["h1", "h2"]).select("doc_id", F.col("h1").alias("id"))
-    parts_rows = single.join(spans, "id").select("doc_id", F.explode("s").alias("x")).select("doc_id", "x.begin", "x.end", (F.col("x.end") - F.col("x.begin")).alias("n_words"), F.col("x.partner_id").alias("partner"))
+    parts_rows = single.join(spans, "id").select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "partner")
     return whole_rows.unionByName(parts_rows)
 
 

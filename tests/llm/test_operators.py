@@ -97,6 +97,31 @@ def test_passages_equal_brute_force(spark):
         assert (got == expected).all(), i
 
 
+def missed_and_added(spark, rows):
+    """Words that brute force finds in repeated passages and passages() does not, and the other way round."""
+    text = {i: t.lower().split() for i, t in rows}
+    grams = {}
+    for i, t in text.items():
+        for k in range(len(t) - 49):
+            grams.setdefault(tuple(t[k : k + 50]), set()).add(i)
+    expected = {(i, w) for i, t in text.items() for k in range(len(t) - 49) if len(grams[tuple(t[k : k + 50])]) > 1 for w in range(k, k + 50)}
+    got = {(r.doc_id, w) for r in suffix_dedup.passages(docs(spark, rows)).collect() for w in range(r.begin, r.end)}
+    return len(expected), len(expected - got), len(got - expected)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 33])
+def test_passages_of_a_text_that_repeats_itself(spark, partitions):
+    rng = random.Random(7)
+    shared = words(rng, 80)
+    rows = [(1, " ".join([shared] * 300)), (2, f"{words(rng, 30)} {shared} {words(rng, 30)}")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert missed_and_added(spark, rows) == (300 * 80 + 80, 0, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
