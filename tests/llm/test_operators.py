@@ -122,6 +122,20 @@ def test_passages_of_a_text_that_repeats_itself(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_passages_of_near_copies(spark):
+    rng = random.Random(8)
+    rows = []
+    for copies in (3, 10, 100):
+        base = words(rng, 300).split()
+        for _ in range(copies):
+            copy = list(base)
+            for k in rng.sample(range(300), rng.randrange(6, 13)):
+                copy[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    n, missed, added = missed_and_added(spark, rows)
+    assert n > 5000 and (missed, added) == (0, 0)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
