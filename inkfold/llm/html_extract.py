@@ -26,7 +26,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 #: Never part of an article.
 DROP = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "svg", "canvas", "object", "applet", "audio", "video", "dialog", "menu", "search", "map"}
 DROP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar", "tablist"}
-#: Whole words of class or id that mark what is no article, unless the element holds most of the page's paragraphs.
+#: Whole words of class or id that mark what is no article, unless the element is spared (_spare).
 BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|advertising|banner|banners|breadcrumb|breadcrumbs|byline-share|combx|comment|comments|commentlist|community|consent|cookie|cookies|cookiebar|copyright|disqus|disclaimer|footer|foot|footnav|gdpr|header-?nav|masthead|menu|menus|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pager|pagination|paywall|popup|promo|promoted|promotion|related|recommended|recommendations|remark|replies|reply|respond|responses|rss|search|share|sharing|shoutbox|sidebar|sidenav|side|signup|site-?header|site-?footer|skip|social|sponsor|sponsored|sponsors|subscribe|subscription|tagcloud|tags|taboola|toc|toolbar|topbar|trending|widget|widgets|alert|feedback|discussion|login|teaser|teasers)(?=$|[\s_\d-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|articles|article-?body|body|content|entry|entry-?content|hentry|main|page|post|post-?body|post-?content|story|story-?body|text|blog|prose)(?=$|[\s_\d-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -37,10 +37,11 @@ HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("bad", "children", "link", "parent", "points", "size", "tag", "weight")
+    __slots__ = ("bad", "children", "link", "named", "parent", "points", "size", "tag", "weight")
 
     def __init__(self, tag: str, parent: Node | None, weight: float = 0.0, bad: bool = False) -> None:
         self.tag, self.parent, self.weight, self.bad = tag, parent, weight, bad
+        self.named = False
         self.children: list[Node | str] = []
         self.points = self.size = self.link = 0.0
 
@@ -71,7 +72,7 @@ def tree(source: str) -> Node:
                 node.children.append(Node("p", node))
             continue
         attrs = found[3]
-        weight, bad = 0.0, tag in DROP
+        weight, bad, named_bad = 0.0, tag in DROP, False
         if attrs and "=" in attrs or "hidden" in attrs:
             named = {}
             for a in ATTR.finditer(attrs):
@@ -86,7 +87,7 @@ def tree(source: str) -> Node:
                 weight = 25.0 * good
                 if BAD.search(marks):
                     weight -= 25
-                    bad = bad or not good and tag not in ("html", "body", "article", "main")
+                    named_bad = not good and tag not in ("html", "body", "article", "main")
         if tag in ("html", "body"):
             continue
         if tag == "header" and not any(x in ("article", "main") for x in lineage(node)):
@@ -105,16 +106,50 @@ def tree(source: str) -> Node:
                 up = up.parent
             if up.tag in CLOSES[tag]:
                 node = up.parent or root
-        new = Node(tag, node, weight, bad)
+        new = Node(tag, node, weight, bad or named_bad)
+        new.named = named_bad and not bad
         node.children.append(new)
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*[^>]*>|\Z", re.I).search(source, at)
             at = end.end()
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
             node = new
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Lifts the mark of a bad word from elements that hold most of the page's article text (that of its article elements, or else
+    its main elements, or else its paragraphs), and from headings and sections inside such an article or main element.
+    What is bad by its tag, role or style stays so, with all in it."""
+    order: list[tuple[Node, frozenset[str]]] = []
+    todo = [(root, frozenset())]
+    tags: set[str] = set()
+    marked = False
+    while todo:
+        x, above = todo.pop()
+        if x.bad and not x.named:
+            continue
+        marked |= x.named
+        tags.add(x.tag)
+        order.append((x, above))
+        if x.tag in ("article", "main", "p", "pre") and x.tag not in above:
+            above |= {x.tag}
+        todo += [(c, above) for c in x.children if isinstance(c, Node)]
+    if not marked:
+        return
+    scope = "article" if "article" in tags else "main" if "main" in tags else ""
+    held = dict.fromkeys((x for x, _ in order), 0)
+    for x, above in reversed(order):
+        if above & {scope} or x.tag == scope or not scope and (above & {"p", "pre"} or x.tag in ("p", "pre")):
+            held[x] += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        if x.parent:
+            held[x.parent] += held[x]
+    for x, above in order:
+        if x.named and (2 * held[x] > held[root] or scope in above and (x.tag in HEADS or x.tag == "section")):
+            x.bad, x.weight = False, max(x.weight, 0.0)
+
+
 def lineage(node: Node | None) -> Iterator[str]:
     while node:
         yield node.tag

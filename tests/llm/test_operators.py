@@ -213,6 +213,17 @@ def test_html_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
 
 
+def test_html_spares_what_holds_the_page():
+    one, two = "First paragraph, which is long enough, and has commas, to be found.", "Second one, with more text to read, for everyone who likes it."
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments"):
+        assert html_extract.main_text(f"<div class='{name}'><p>{one}</p><p>{two}</p></div><div class='comments'><p>I do not agree.</p></div>") == f"{one}\n\n{two}"
+        assert html_extract.main_text(f"<div class='{name}'><article><p>{one}</p><p>{two}</p></article></div>") == f"{one}\n\n{two}"
+    page = f"<article><p>{one}</p><h2 id='related-work'>Related work</h2><section id='discussion'><p>{two}</p></section><h2 id='feedback'>Feedback</h2><p>{two}</p><div class='ad'><p>Buy it.</p></div></article>"
+    assert html_extract.main_text(page) == f"{one}\n\nRelated work\n\n{two}\n\nFeedback\n\n{two}"
+    assert html_extract.main_text(f"<main><article><p>{one}</p><p>{two}</p></article><section id='comments'><article><p>I do not agree.</p></article></section></main>") == f"{one}\n\n{two}"
+    assert html_extract.main_text(f"<nav class='menu'><article><p>{two}</p></article></nav><div><p>{one}</p></div>") == one
+
+
 def test_language_and_toxicity_hold_out(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
