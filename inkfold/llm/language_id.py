@@ -21,21 +21,25 @@ from .common import held_out
 #: Places of a vector; letter classes (0 is what stands between words); seed of the letters' vectors.
 DIM, CLASSES, SEED = 512, 64, 17
 SHARPNESS = 24.0
+#: Below three times the noise of DIM places a cosine says nothing; a text that shares no trigram with a prototype seldom comes above it.
+LEAST_COSINE = 3 * DIM**-0.5
 
 
 def letters(dim: int = DIM, seed: int = SEED) -> np.ndarray:
     return (np.random.default_rng(seed).integers(0, 2, (CLASSES, dim)) * 2 - 1).astype(np.float32)
 
 
+def letter_class(x: str) -> int:
+    """a-z take 1-26, other letters 27-63 by a rule, the rest 0."""
+    if not x.isalpha():
+        return 0
+    y = x.lower()
+    return ord(y) - 96 if len(y) == 1 and "a" <= y <= "z" else 27 + (ord(y[0]) * 2654435761 >> 7) % 37
+
+
 def letter_classes() -> np.ndarray:
-    """Class of every code point of the first plane: a-z take 1-26, other letters 27-63 by a rule, the rest 0."""
-    out = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if x.isalpha():
-            y = x.lower()
-            out[c] = ord(y) - 96 if len(y) == 1 and "a" <= y <= "z" else 27 + (ord(y[0]) * 2654435761 >> 7) % 37
-    return out
+    """Class of every code point of the first plane."""
+    return np.array([letter_class(chr(c)) for c in range(0x10000)], np.uint8)
 
 
 class Profiler:
@@ -49,6 +53,10 @@ class Profiler:
         """Codes of the trigrams of a whole text and their counts; runs of other than letters count as one space."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         c = self.classes[np.where(points < 0x10000, points, 0)]
+        beyond = np.nonzero(points >= 0x10000)[0]
+        if len(beyond):
+            found, at = np.unique(points[beyond], return_inverse=True)
+            c[beyond] = np.array([letter_class(chr(x)) for x in found.tolist()], np.uint8)[at]
         if not c.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         keep = (c > 0) | (np.concatenate([[1], c[:-1]]) > 0)
@@ -98,7 +106,7 @@ def tag(documents: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     """(doc, lang_pred, score, cosine) of every row; doc is a struct of the row's own columns, whatever their names.
 
     score is the softmax of the cosines (times SHARPNESS) at the language chosen: 0 to 1. A text that is
-    null, empty or without a letter of the first plane is `und` with score 0, and so is every text if there is no prototype.
+    null, empty or without a letter is `und` with score 0, and so is every text if there is no prototype.
     Ties go to the language that sorts first. Whole texts count; repeated rows come out each. No shuffle.
     """
     names = sorted(prototypes)
@@ -142,7 +150,7 @@ def identify(documents: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFram
     return tagged.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score", "cosine")
 
 
-def keep_identified(documents: DataFrame, least_cosine: float = 0.02) -> DataFrame:
+def keep_identified(documents: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """The documents with a language, with all their columns: `und` goes, and what no prototype comes near."""
     tagged = tag(documents, learn(documents))
     return tagged.where((F.col("lang_pred") != "und") & (F.col("cosine") >= least_cosine)).select("doc.*")

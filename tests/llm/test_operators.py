@@ -235,6 +235,21 @@ def test_language_and_toxicity_hold_out(spark):
     assert q > 0.97
 
 
+def test_unlearnt_scripts_go_and_letters_of_every_plane_count(spark):
+    rng = random.Random(9)
+    known = [(k, " ".join(rng.choice(["the", "house", "stands", "near", "water", "and", "people", "walk"]) for _ in range(60)), "en") for k in range(40)]
+
+    def foreign(first, n):
+        return " ".join("".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(2, 9))) for _ in range(80))
+
+    strange = [(100 + k, foreign(0x1200, 64), None) for k in range(100)]
+    gothic = (300, foreign(0x10330, 20), None)
+    d = spark.createDataFrame([*known, *strange, gothic], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_identified(d).collect()}
+    assert {k for k, _, _ in known} <= kept and len(kept - set(range(40))) <= 3
+    assert language_id.identify(d).where("doc_id = 300").first().lang_pred == "en"
+
+
 def test_counterfactual_penalty_equalises_groups():
     words_ = {"the", "gay", "man"}
     assert {"the", "lesbian", "man"} in list(toxicity.counterfactuals(words_))
