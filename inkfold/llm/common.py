@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,39 +10,76 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract here: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of a narrow table up to which it is broadcast, after they are counted.
+BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, one of our own on a single machine (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inkfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """df in at most eight partitions for each core, without a shuffle: a table of many tiny files costs more to write and list than its rows."""
-    return df.coalesce(max(8, 8 * df.sparkSession.sparkContext.defaultParallelism))
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
-    narrow(df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = folder(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables that no later table needs."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_at
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+
+
+def small(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df as a written table that is broadcast to what it is joined with, if it has no more than so many rows (of some 40 bytes); beyond, the join shuffles."""
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= (BROADCAST_ROWS if most is None else most) else out
+
+
+def parts_for(table: DataFrame, rows: int) -> int:
+    """Partitions for a sort of a written table: Spark's number of them, or more if that would give each over so many rows."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
+def rows_as(df: DataFrame, name: str = "doc") -> DataFrame:
+    """One column, a struct of df's own, so that no name of theirs can clash with another."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def before(counts: DataFrame, key: list[str], block: str, rows: str = "rows", wide: int = 1000) -> DataFrame:
+    """counts with `before`: the sum of rows of the key's lower blocks.
+
+    Two levels, so that a key's blocks are not all in one task: the sums of every `wide` blocks first.
+    """
+    tall = counts.withColumn("_tall", F.floor(F.col(block) / wide))
+    sums = tall.groupBy(*key, "_tall").agg(F.sum(rows).alias("_sum"))
+    lower = sums.withColumn("_lower", F.sum("_sum").over(Window.partitionBy(*key).orderBy("_tall")) - F.col("_sum")).drop("_sum")
+    inner = tall.withColumn("_inner", F.sum(rows).over(Window.partitionBy(*key, "_tall").orderBy(block)) - F.col(rows))
+    return inner.join(lower, [*key, "_tall"]).withColumn("before", F.col("_lower") + F.col("_inner")).drop("_tall", "_lower", "_inner")
 
 
 def ascii_lower(text: Column) -> Column:

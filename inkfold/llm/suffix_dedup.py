@@ -1,15 +1,17 @@
-"""Repeated passages by the windows of LEAST words that begin sparse suffixes.
-
-Suffixes are sampled at minimisers: the position whose GRAM words hash lowest in some
-window of WINDOW positions. Two copies of a passage of LEAST words choose the same positions in it, since it holds a whole
-window. So only windows of LEAST words whose minimisers all occur in several texts can be repeated; the hash of each of these
-is sorted across the cluster, and every one that two texts hold is found, whatever stands around it.
+"""Repeated passages by a sparse suffix array.
+
+Suffixes are retained where the text itself says so, at minimisers: the position whose GRAM words hash lowest
+in some window of WINDOW positions. Two copies of a passage of LEAST words choose the same positions in it, so only suffixes
+whose minimisers other texts have too can lie in a repeat. These are sorted by their words across the cluster, and
+those that come to stand together are compared and extended: with o words to the left and LEAST - o to the right, for each o
+for which the suffix is the lowest of its window, so that every window of LEAST words belongs to one suffix.
+What the neighbours leave open (a text in between may share more to the right and less to the left) meets again by
+its hash, so that every window that two texts hold is found, wherever partitions are cut.
 The union of a document's windows gives its repeated passages, of any length.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, mixed, utf8, windows, written
+from .common import WordHashes, batches, mixed, parts_for, removed, utf8, windows, written
 
 LEAST, GRAM, WINDOW = 50, 8, 32
+#: Suffix rows (some 400 bytes each) that one task sorts, about.
+SORTED_ROWS = 250_000
 
 
 def word_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -53,126 +57,107 @@ def _anchors(documents: DataFrame, least: int) -> DataFrame:
     return documents.select("id", "text").mapInArrow(part, "id long, key long")
 
 
-def _windows(documents: DataFrame, least: int) -> DataFrame:
-    """gram, id, pos: the hash of each window of least words whose minimisers are all named by keys; a window that two texts share always is one."""
+def _suffixes(documents: DataFrame, least: int) -> DataFrame:
+    """key, lead, rest, id, at, begin, grams: the suffix at word `at` (its first GRAM words' hash, and those that follow up to
+    `least` as a number and as bytes that sort like them), and the hash of each window of least words from `begin` on whose lowest
+    minimiser it is and whose minimisers are all named by keys; a window that two texts share always is one."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         inner = least - GRAM - WINDOW + 2  # windows of the minimisers in one of least words
-        for batch in rows:
-            for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                g = mixed(windows(word_hashes(text, hashes), GRAM))
-                lowest = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1)
-                named = np.concatenate([[0], np.cumsum(np.isin(g[lowest].view(np.int64), np.array(keys, np.int64)))])
-                at = np.nonzero(named[inner:] - named[:-inner] == inner)[0]
-                gram = np.zeros(len(at), np.uint64)
-                for k in (*range(0, least - GRAM, GRAM), least - GRAM):
-                    gram = mixed(gram * np.uint64(0x9E3779B97F4A7C15) + g[at + k])
-                for k in range(0, len(at), 50_000):
-                    some = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[some].view(np.int64)), pa.array(np.full(len(at[some]), doc, np.int64)), pa.array(at[some])], names=["gram", "id", "pos"])
-
-    return documents.select("id", "text", "keys").mapInArrow(part, "gram long, id long, pos long")
-
-
-def _compared(sorted_rows: DataFrame) -> DataFrame:
-    """id, pos, partner of the windows that another text holds too, by rows sorted by gram and id.
-
-    The first and last gram of a partition may go on in others: their rows come with gram and no partner, and
-    once more without pos for the two lowest ids of each.
-    """
-    def rows_of(doc: np.ndarray, pos: np.ndarray | None, partner: np.ndarray | None, gram: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x) for x in (doc, pos, partner, gram)], names=["id", "pos", "partner", "gram"])
-
-    def inside(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        group = np.concatenate([[0], np.cumsum(np.diff(gram) != 0)])
-        low = doc[np.concatenate([[0], np.nonzero(np.diff(gram))[0] + 1])]
-        other = np.nonzero(doc != low[group])[0]
-        shared, at = np.unique(group[other], return_index=True)
-        following, several = np.zeros(len(low), np.int64), np.zeros(len(low), bool)
-        following[shared], several[shared] = doc[other[at]], True
-        k = several[group]
-        return rows_of(doc[k], pos[k], np.where(doc == low[group], following[group], low[group])[k], None)
-
-    def border(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield rows_of(doc, pos, None, gram)
-        lowest = np.unique(doc)[:2]
-        yield rows_of(lowest, None, None, np.full(len(lowest), gram[0]))
 
+        def every() -> Iterator[tuple]:
+            for batch in rows:
+                for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    h = word_hashes(text, hashes)
+                    g = mixed(windows(h, GRAM))
+                    lowest = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1)
+                    named = np.concatenate([[0], np.cumsum(np.isin(g[lowest].view(np.int64), np.array(keys, np.int64)))])
+                    at = np.nonzero(named[inner:] - named[:-inner] == inner)[0]
+                    if not len(at):
+                        continue
+                    gram = np.zeros(len(at), np.uint64)
+                    for k in (*range(0, least - GRAM, GRAM), least - GRAM):
+                        gram = mixed(gram * np.uint64(0x9E3779B97F4A7C15) + g[at + k])
+                    anchor = (np.lib.stride_tricks.sliding_window_view(g, least - GRAM + 1).argmin(1) + np.arange(len(h) - least + 1))[at]
+                    cut = np.nonzero((np.diff(at) != 1) | (np.diff(anchor) != 0))[0] + 1
+                    words = (h >> np.uint64(32)).astype(">u4").tobytes()
+                    gram, g = gram.view(np.int64), g.view(np.int64)
+                    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+                        a = int(anchor[i])
+                        rest = words[4 * (a + GRAM) : 4 * (a + least)]
+                        yield int(g[a]), int.from_bytes(rest[:8].ljust(8, b"\0")) - (1 << 63), rest, doc, a, int(at[i]), gram[i:j]
+
+        yield from batches(every(), pa.schema([("key", pa.int64()), ("lead", pa.int64()), ("rest", pa.binary()), ("id", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("grams", pa.list_(pa.int64()))]))
+
+    return documents.select("id", "text", "keys").mapInArrow(part, "key long, lead long, rest binary, id long, at long, begin long, grams array<long>")
+
+
+def _compared(suffixes: DataFrame, least: int) -> DataFrame:
+    """gram, id, begin, end, partner, by sorted suffixes, of three kinds: with end, what a suffix shares with one of another text
+    that stands near it (gram: its first window); with begin alone, a window that no neighbour shares; with
+    partner, the lowest and highest id of neighbours that share a window.
+    """
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # of the gram that may go on
-        first = True
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            now = tuple(batch.column(k).to_numpy() for k in range(3))
-            if held and held[0][0][0] == now[0][-1]:
-                held.append(now)
-                continue
-            gram, doc, pos = (np.concatenate(x) for x in zip(*held, now, strict=True))
-            change = np.nonzero(np.diff(gram))[0] + 1
-            begin, end = 0, int(change[-1]) if len(change) else 0
-            if first and end:
-                begin, first = int(change[0]), False
-                yield from border(gram[:begin], doc[:begin], pos[:begin])
-            if begin < end:
-                yield inside(gram[begin:end], doc[begin:end], pos[begin:end])
-            held = [(gram[end:], doc[end:], pos[end:])]
-        if held:
-            yield from border(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        def made(gram: np.ndarray, doc: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None, partner: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (gram, doc, begin, end, partner)], names=["gram", "id", "begin", "end", "partner"])
 
-    return sorted_rows.mapInArrow(part, "id long, pos long, partner long, gram long")
-
-
-def _across(windows_: DataFrame, seams: list[tuple[int, int, int]]) -> DataFrame:
-    """id, pos, partner of the windows at the seams: each once, by the two lowest ids of its gram; seams are at most two grams a partition."""
-    keys, low, following = (np.array(x, np.int64) for x in (zip(*seams, strict=True) if seams else ([], [], [])))
-
-    def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            doc, gram = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            at = np.searchsorted(keys, gram)
-            k = np.nonzero(np.isin(gram, keys))[0]
-            at = at[k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k)), pa.array(np.where(doc[k] == low[at], following[at], low[at]))], names=["id", "pos", "partner"])
-
-    return windows_.mapInArrow(part, "id long, pos long, partner long")
-
-
-def _merged(found: DataFrame, least: int) -> DataFrame:
-    """id, begin, end, partner: the windows that meet or overlap as one, once for each partner; rows are sorted by id and pos."""
+            grams = batch.column(2)
+            many = np.diff(grams.offsets.to_numpy())
+            gram = grams.flatten().to_numpy()
+            if not len(gram):
+                continue
+            row = np.repeat(np.arange(len(many)), many)
+            doc = batch.column(0).to_numpy()[row]
+            begin = batch.column(1).to_numpy()[row] + np.arange(len(gram)) - np.repeat(np.cumsum(many) - many, many)
+            order = np.argsort(gram, kind="stable")  # what agrees to the left and right stands together
+            starts = np.concatenate([[0], np.nonzero(np.diff(gram[order]))[0] + 1])
+            low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+            yield made(gram[order][starts][low != high], low[low != high], None, None, high[low != high])
+            shared = np.empty(len(gram), bool)
+            shared[order] = np.repeat(low != high, np.diff(np.append(starts, len(gram))))
+            yield made(gram[~shared], doc[~shared], begin[~shared], None, None)
+            k = np.nonzero(shared)[0]
+            if len(k):
+                new = np.concatenate([[0], np.nonzero((np.diff(k) != 1) | (np.diff(row[k]) != 0))[0] + 1])
+                last = np.append(new[1:], len(k)) - 1
+                yield made(gram[k[new]], doc[k[new]], begin[k[new]], begin[k[last]] + least, None)
+
+    return suffixes.select("id", "begin", "grams").mapInArrow(part, "gram long, id long, begin long, end long, partner long")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """id, begin, end, gram: what meets or overlaps as one, with its first window; rows (id, begin, end, gram) are sorted by id and begin."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[tuple]:
-            doc, begin, end, partners = None, 0, 0, set()
+            doc, begin, end, gram = None, 0, 0, 0
             for batch in rows:
-                if not batch.num_rows:
-                    continue
-                i, p, o = (batch.column(k).to_numpy() for k in range(3))
-                starts = np.concatenate([[0], np.nonzero((np.diff(i) != 0) | (np.diff(p) > least))[0] + 1, [len(i)]])
-                for a, b in itertools.pairwise(starts.tolist()):
-                    if doc != i[a] or p[a] > end:
-                        yield from ((doc, begin, end, x) for x in partners)
-                        doc, begin, partners = int(i[a]), int(p[a]), set()
-                    end = int(p[b - 1]) + least
-                    partners.update(np.unique(o[a:b]).tolist())
-            yield from ((doc, begin, end, x) for x in partners)
+                for i, b, e, g in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                    if i != doc or b > end:
+                        if doc is not None:
+                            yield doc, begin, end, gram
+                        doc, begin, end, gram = i, b, e, g
+                    end = max(end, e)
+            if doc is not None:
+                yield doc, begin, end, gram
 
-        yield from batches(every(), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("partner", pa.int64())]))
+        yield from batches(every(), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())]))
 
-    return found.mapInArrow(part, "id long, begin long, end long, partner long")
+    return found.mapInArrow(part, "id long, begin long, end long, gram long")
 
 
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, begin, end, n_words, partner): the passages of at least `least` words that another document holds too.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; begin and end count them in the whole text. partner is one
-    document that holds some of the passage, the smallest that was compared. Passages that meet or overlap are one.
+    document that holds the passage's first `least` words. Passages that meet or overlap are one.
     A text of at least `least` words that other rows repeat whole is one passage. Repeats within one text are not
     reported. Rows that share doc_id and text are one document; rows with one doc_id and other texts are searched each by itself.
     Null or empty texts, texts under `least` words, and rows with a null doc_id give none; so does an empty table.
 
     Equal texts meet once, by their 128-bit hash, so groups of copies cost no more than their rows. The sort is by range over
-    (gram, id, pos), so that even one window of many documents is dealt out; what lies at the seams between
-    partitions meets by its gram, so the result does not depend on where they are. `least` is 40 at least.
+    the suffix and its place, so that even one passage of many documents is dealt out; a window's holders are counted with a
+    partial aggregation. Neither the passages nor their partners depend on how the rows are dealt. `least` is 40 at least.
     """
     if least < GRAM + WINDOW:
         raise ValueError(f"least is {GRAM + WINDOW} at least")
@@ -180,21 +165,25 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     same = written(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct(), "texts")
     first = written(same.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other")), "first-texts")
     anchors = written(_anchors(docs.select(F.xxhash64("text").alias("id"), "text"), least), "anchors")
-    often = anchors.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    wanted = anchors.join(written(often, "shared-keys"), "key").groupBy("id").agg(F.collect_set("key").alias("keys"))  # one text's own anchors
+    often = written(anchors.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "shared-keys")
+    wanted = anchors.join(often, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))  # one text's own anchors
     # the first row of each text stands for all of them, so each text is met once
     wanted = wanted.join(first.select(F.col("h1").alias("id"), F.col("id").alias("doc_id")), "id")
     texts = docs.withColumn("h1", F.xxhash64("text")).join(wanted.withColumnRenamed("id", "h1"), ["doc_id", "h1"])
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = written(_windows(texts.select(F.col("h1").alias("id"), "text", "keys"), least), "windows")
-    compared = written(_compared(grams.repartitionByRange(parts, "gram", "id", "pos").sortWithinPartitions("gram", "id", "pos")), "compared")
-    seams = compared.where("pos IS NULL").groupBy("gram").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)  # a few rows of each partition
-    seams = seams.select("gram", F.col("ids")[0].alias("low"), F.col("ids")[1].alias("following"))
-    across = _across(compared.where("gram IS NOT NULL AND pos IS NOT NULL").select("id", "pos", "gram"), [tuple(r) for r in seams.orderBy("gram").collect()])
-    found = compared.where("gram IS NULL").select("id", "pos", "partner").unionByName(across)
-    found = _merged(found.repartition(parts, "id").sortWithinPartitions("id", "pos"), least)  # one text's own windows
+    suffixes = written(_suffixes(texts.select(F.col("h1").alias("id"), "text", "keys"), least), "suffixes")
+    removed(anchors, often)
+    ordered = suffixes.repartitionByRange(parts_for(suffixes, SORTED_ROWS), "key", "lead", "id", "at").sortWithinPartitions("key", "lead", "rest", "id", "at")
+    compared = written(_compared(ordered, least), "compared")
+    removed(suffixes)
+    holders = compared.where("end IS NULL").groupBy("gram").agg(F.min("id").alias("low"), F.max(F.coalesce("partner", "id")).alias("high"))
+    holders = written(holders.where("low <> high"), "holders")
+    left = compared.where("end IS NULL AND begin IS NOT NULL").join(holders.select("gram"), "gram").select("id", "begin", (F.col("begin") + least).alias("end"), "gram")
+    found = compared.where("end IS NOT NULL").select("id", "begin", "end", "gram").unionByName(left)
+    found = _merged(found.repartition("id").sortWithinPartitions("id", "begin", "end"))  # one text's own windows
+    found = found.join(holders, "gram").select("id", "begin", "end", F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner"))
     names = first.groupBy(F.col("h1").alias("partner")).agg(F.min("id").alias("partner_id"))
-    spans = written(found.join(names, "partner").groupBy("id", "begin", "end").agg(F.min("partner_id").alias("partner")), "spans")
+    spans = written(found.join(names, "partner").select("id", "begin", "end", F.col("partner_id").alias("partner")), "spans")
+    removed(compared, holders)
     whole = first.where("other <> id")
     copied = same.join(whole.select("h1", "h2", "id", "other"), ["h1", "h2"]).select("doc_id", "h1", "h2", F.when(F.col("doc_id") == F.col("id"), F.col("other")).otherwise(F.col("id")).alias("partner"))
     sized = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("n")).where(F.col("n") >= least).distinct()
