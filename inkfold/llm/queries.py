@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, language_id, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
-from .common import narrow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +56,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
 
 
-def _narrowed(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return functools.wraps(query)(lambda spark, sf_dir: narrow(query(spark, sf_dir)))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _narrowed(f)
+    f.__name__: f
     for f in (op1_length_buckets, op2_suffix_dedup, op3_ngram_jaccard, op4_minimax_shards, op5_html_text, op6_language_id, op7_toxicity, op8_line_dedup, op9_quality_rules, op10_decontamination)
 }
 
@@ -131,27 +125,24 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law,
 FROM docs JOIN walk ON docs.unit = walk.unit, capacity
 """
 
+# Every alignment in which enough tokens are alike is tried; no seed and no mask.
 ORACLE["op10_decontamination"] = """
 WITH toks AS (
   SELECT 'd' AS kind, doc_id AS id, hash(text) AS r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, 0, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') FROM benchmark),
-kept AS (SELECT DISTINCT * FROM toks WHERE kind = 'd' OR len(w) >= 5),
-masks AS (
-  SELECT 0 AS m, 8 AS span, [0, 1, 3, 6, 7] AS p UNION ALL SELECT 1, 7, [0, 1, 2, 4, 6]
-  UNION ALL SELECT DISTINCT 1 + len(w), len(w), range(len(w)) FROM kept WHERE kind = 'b' AND len(w) < 8),
-seeds AS (
-  SELECT kind, id, r, m, pos, list_transform(p, lambda i: w[pos + i + 1]) AS seed
-  FROM (SELECT kind, id, r, m, span, p, w, unnest(range(len(w) - span + 1)) AS pos FROM kept, masks WHERE len(w) >= span)),
+  SELECT 'b', item_id, hash(text), list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') FROM benchmark),
+kept AS (SELECT DISTINCT * FROM toks WHERE len(w) > 0),
+each AS (SELECT kind, id, r, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS pos FROM kept),
 shifts AS (
-  SELECT DISTINCT d.id AS doc_id, d.r, b.id AS item_id, d.pos - b.pos AS shift
-  FROM seeds d JOIN seeds b ON d.kind = 'd' AND b.kind = 'b' AND d.m = b.m AND d.seed = b.seed),
+  SELECT d.id AS doc_id, d.r, b.id AS item_id, b.r AS s, d.pos - b.pos AS shift
+  FROM each d JOIN each b ON d.kind = 'd' AND b.kind = 'b' AND d.t = b.t
+  GROUP BY ALL HAVING count(*) >= ceil(least(13, any_value(b.n)) * 80 / 100.0)),
 hits AS (
   SELECT s.doc_id, s.r, s.item_id, s.shift, least(13, len(b.w)) AS n,
     list_transform(range(len(b.w)), lambda k: CASE WHEN k + s.shift >= 0 AND k + s.shift < len(d.w) AND d.w[k + s.shift + 1] = b.w[k + 1] THEN 1 ELSE 0 END) AS h
-  FROM shifts s JOIN kept d ON d.kind = 'd' AND d.id = s.doc_id AND d.r = s.r JOIN kept b ON b.kind = 'b' AND b.id = s.item_id),
+  FROM shifts s JOIN kept d ON d.kind = 'd' AND d.id = s.doc_id AND d.r = s.r JOIN kept b ON b.kind = 'b' AND b.id = s.item_id AND b.r = s.s),
 best AS (SELECT *, list_max(list_transform(range(len(h) - n + 1), lambda k: list_sum(h[k + 1 : k + n]))) AS matched FROM hits),
-good AS (SELECT * FROM best WHERE matched >= CASE WHEN n < 8 THEN n ELSE ceil(n * 80 / 100.0) END)
+good AS (SELECT * FROM best WHERE matched >= ceil(n * 80 / 100.0))
 SELECT doc_id, item_id, matched::BIGINT AS n_matched, n::BIGINT AS n_tokens, shift::BIGINT AS doc_start
 FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, r, item_id ORDER BY matched DESC, n DESC, shift) = 1
 """
