@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, folder, narrow, written
+from .common import ASCII_SPACE, ascii_lower, folder, removed, rows_as, written
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
+MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 6, 4
 
 
 def line_key(line: Column) -> Column:
@@ -30,66 +32,94 @@ def line_hashes(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, docs, last), each sorted by hash, in levels; `fanout` runs of a level become one of the next.
+    """Runs of (h1, h2, docs, last), sorted by hash, in levels; `fanout` runs of a level become one of the next.
 
-    docs counts the rows that hold a line, last is the largest doc_id among them. A run is a batch of a Parquet
-    folder in the shared directory, in which files are sorted by batch and hash; adding batches writes level 0 and reads no
-    other run; a compaction merges whole runs with one grouped aggregation. seen() is the merged view.
+    docs counts the rows that hold a line, last is the largest doc_id among them. A run is a table in the shared folder, bucketed
+    and sorted by hash, so a batch dealt out the same way meets it bucket by bucket, by merging, and no run is ever shuffled for that.
+    load() anti-joins a batch with every run: what none holds is its own run, on level 0; what some run holds is kept apart, as
+    repeats. So each line is in one run, a compaction has nothing to add up, and only lines that came again are counted again.
     """
 
-    SCHEMA = "batch int, h1 long, h2 long, docs long, last long"
-
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
-        self.spark, self.path, self.fanout = spark, path or folder(spark, "line-runs"), fanout
-        self.levels: list[list[tuple[str, int]]] = [[]]
-        self.made = 0
-
-    def _write(self, rows: DataFrame, level: int, batches: int) -> None:
-        self.made += 1
-        while len(self.levels) <= level:
-            self.levels.append([])
-        path = f"{self.path}/level-{level}/{self.made}"
-        narrow(rows.sortWithinPartitions("batch", "h1", "h2")).write.parquet(path)
-        self.levels[level] += [(path, b) for b in range(batches)]
-
-    def add(self, hashes: DataFrame, batches: int = 1) -> None:
-        """(doc_id, row, h1, h2) as so many more runs, from one scan: the batch of a row is a column of the aggregation."""
-        rows = hashes.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        self._write(rows, 0, batches)
+    KEY = ("h1", "h2")
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.repeats: list[DataFrame] = []
+        self.places: dict[str, str] = {}
+
+    def table(self, rows: DataFrame, *by: str) -> str:
+        """rows as a table in buckets of sorted hashes, in folders by the columns `by`; its name."""
+        path = folder(self.spark, "line-run")
+        name = "inkfold_" + path.rpartition("-")[2]
+        out = rows.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", path)
+        (out.partitionBy(*by) if by else out).saveAsTable(name)
+        self.places[name] = path
+        return name
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            gone = self.spark.table(name)
+            gone.written_at = self.places.pop(name)
+            self.spark.sql(f"DROP TABLE {name}")
+            removed(gone)
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The batch's rows whose lines no run holds: a merge anti join with each run."""
+        for run in self.runs():
+            batch = batch.join(run.select(*self.KEY).hint("merge"), list(self.KEY), "left_anti")
+        return batch
+
+    def load(self, batch: DataFrame) -> None:
+        """A batch (h1, h2, docs, last), each line once."""
+        before = bool(self.runs())
+        own = self.table(self.unseen(batch).select("h1", "h2", "docs", "last"))
+        if before:
+            self.repeats.append(written(batch.join(self.spark.table(own).select(*self.KEY).hint("merge"), list(self.KEY), "left_anti").select("h1", "h2", "docs", "last"), "line-repeats"))
+        self.levels[0].append(own)
         self.compact()
 
     def compact(self) -> None:
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                runs, self.levels[level] = self.levels[level], []
-                self._write(self._merged(runs).withColumn("batch", F.lit(0)).select("batch", "h1", "h2", "docs", "last"), level + 1, 1)
+                old, self.levels[level] = self.levels[level], []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                rows = functools.reduce(DataFrame.unionByName, [self.spark.table(name) for name in old])
+                self.levels[level + 1].append(self.table(rows.repartition(self.buckets, *self.KEY)))
+                self.drop(*old)
             level += 1
 
-    def _read(self, runs: list[tuple[str, int]]) -> DataFrame:
-        """The runs' rows; files are sorted by batch, so that a filter on it skips row groups."""
-        paths = list(dict.fromkeys(path for path, _ in runs))
-        found = None
-        for path in paths:
-            rows = self.spark.read.schema(self.SCHEMA).parquet(path).where(F.col("batch").isin([b for p, b in runs if p == path]))
-            found = rows if found is None else found.unionByName(rows)
-        return found
-
-    def _merged(self, runs: list[tuple[str, int]]) -> DataFrame:
-        return self._read(runs).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-
-    def seen(self) -> DataFrame:
-        runs = [r for level in self.levels for r in level]
-        if not runs:
+    def counts(self, least: int = 1) -> DataFrame:
+        """h1, h2, docs, last of the lines that at least so many rows hold."""
+        if not self.runs():
             return self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
-        return self._read(runs).drop("batch") if len(runs) == 1 else self._merged(runs)
+        if not self.repeats:
+            return functools.reduce(DataFrame.unionByName, self.runs()).where(F.col("docs") >= least)
+        again = functools.reduce(DataFrame.unionByName, self.repeats).groupBy(*self.KEY).agg(F.sum("docs").alias("more"), F.max("last").alias("later"))
+        again = written(again, "line-repeats")
+        found = [run.join(again, list(self.KEY), "left").select(*self.KEY, (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("last", "later").alias("last")) for run in self.runs()]
+        return functools.reduce(DataFrame.unionByName, found).where(F.col("docs") >= least)
+
+    def close(self) -> None:
+        """Deletes the runs."""
+        self.drop(*[name for level in self.levels for name in level])
+        removed(*self.repeats)
+        self.levels, self.repeats = [[]], []
+
 
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """The batch's rows whose lines no run holds: the merge anti join of an incremental load."""
-        return hashes.join(self.seen(), ["h1", "h2"], "left_anti")
+def batched(runs: LineRuns, hashes: DataFrame, batches: int) -> str:
+    """(doc_id, row, h1, h2) as a table of so many batches (h1, h2, docs, last, batch), from one scan; its name."""
+    rows = hashes.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
+    return runs.table(rows.select("h1", "h2", "docs", "last", "batch").repartition(runs.buckets, *runs.KEY), "batch")
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """documents with its own columns and new_text, n_lines, n_dropped.
 
     A line's key has `[\\x20\\x09-\\x0D]` stripped and A-Z lower-cased. A key of min_chars code
@@ -99,23 +129,27 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     A null or empty text is one empty line, and an empty text comes out. Tables without rows and
     columns of any other name pass through.
 
-    The loads are runs (see LineRuns). Frequent keys come from the merged run, a written table, and
-    meet the lines by hash, so both sides of that join are plain exchanges whose large partitions
+    The documents are loaded into runs (see LineRuns) in so many batches, by the hash of the text. Frequent keys are a written
+    table and meet the lines by hash, so both sides of that join are plain exchanges whose large partitions
     Spark splits: a line that a third of the documents hold needs no single task. What is to go
     comes back as one row per document.
     """
     spark = documents.sparkSession
-    runs = runs or LineRuns(spark)
-    hashes = line_hashes(documents, min_chars)
-    runs.add(hashes, batches)
-    often = written(runs.seen().where(F.col("docs") >= min_docs).select("h1", "h2", "last"), "frequent-lines")
+    runs = LineRuns(spark)
+    docs = rows_as(documents).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    hashes = line_hashes(docs, min_chars)
+    base = batched(runs, hashes, batches)
+    for k in range(batches):
+        runs.load(spark.table(base).where(F.col("batch") == k))
+    often = written(runs.counts(min_docs), "frequent-lines")
+    runs.close()
+    runs.drop(base)
     gone = hashes.join(often, ["h1", "h2"]).where(F.col("last").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.struct("h1", "h2").alias("k")).groupBy("_id", "_row").agg(F.collect_set("k").alias("_gone"))
-    docs = documents.withColumn("_key", F.xxhash64("text"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_row")), "left")
     lines = _lines()
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("_gone"), _hash(line_key(x))))))
-    return joined.withColumn("_kept", kept).select(
-        *documents.columns, F.array_join("_kept", "\n").alias("new_text"),
-        F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"))
+    kept = F.when(F.col("gone").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("gone"), _hash(line_key(x))))))
+    return joined.withColumn("kept", kept).select(
+        "doc.*", F.array_join("kept", "\n").alias("new_text"),
+        F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"))
