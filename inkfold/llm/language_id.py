@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from .common import held_out
 
 #: Places of a vector; letter classes (0 is what stands between words); seed of the letters' vectors.
-DIM, CLASSES, SEED = 512, 64, 17
+DIM, CLASSES, SEED = 2048, 64, 17
 SHARPNESS = 24.0
+#: Texts that are bundled together; vectors at hand (8 kB each); languages whose counts a task holds (2 MB each).
+TEXTS, VECTORS, LANGUAGES = 64, 8192, 32
 #: Below three times the noise of DIM places a cosine says nothing; a text that shares no trigram with a prototype seldom comes above it.
 LEAST_COSINE = 3 * DIM**-0.5
 
@@ -72,29 +74,46 @@ class Profiler:
         first, second, third = self.letters
         return first[codes // CLASSES**2] * second[codes // CLASSES % CLASSES] * third[codes % CLASSES]
 
+    def bundled(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A vector for each text's codes and counts: the counts by code times the codes' vectors, so many codes at a time."""
+        codes = np.unique(np.concatenate([c for c, _ in texts]))
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for at in range(0, len(codes), VECTORS):
+            some = codes[at : at + VECTORS]
+            counts = np.zeros((len(texts), len(some)), np.float32)
+            for k, (c, n) in enumerate(texts):
+                i, j = np.searchsorted(c, (some[0], some[-1] + 1))
+                counts[k, np.searchsorted(some, c[i:j])] = n[i:j]
+            out += counts @ self.vectors(some)
+        return out
+
 
 def learn(documents: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes by lang, from the rows whose lang is not null and that are not held out.
 
     Each task adds up its trigram counts by language and sends one vector for each; only those few
-    vectors, as many as there are languages, come to the driver. Every row counts.
+    vectors, as many as there are languages, come to the driver. A task holds the counts of LANGUAGES of them at most and
+    sends its sums when there are more. Every row counts.
     """
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(dim, seed), {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, counts in sums.items():
+                codes = np.nonzero(counts)[0]
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "vector": [profiler.bundled([(codes, counts[codes])])[0].astype(float).tolist()]})
+            sums.clear()
+
         for batch in rows:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes, counts = profiler.trigrams(text)
                 if len(codes):
                     if lang not in sums:
+                        if len(sums) == LANGUAGES:
+                            yield from sent()
                         sums[lang] = np.zeros(CLASSES**3, np.int64)
                     sums[lang][codes] += counts  # each code is there once
-        for lang, counts in sums.items():
-            codes = np.nonzero(counts)[0]
-            total = np.zeros(dim)
-            for at in range(0, len(codes), 4096):
-                some = codes[at : at + 4096]
-                total += counts[some].astype(np.float32) @ profiler.vectors(some)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "vector": [total.tolist()]})
+        yield from sent()
 
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
     parts = rows.mapInArrow(part, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x"))
@@ -115,30 +134,17 @@ def tag(documents: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
 
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(dim, seed)
-        table, known = np.empty((0, dim), np.float32), np.full(CLASSES**3, -1, np.int32)
         for batch in rows:
-            pred, score, cosine = [], [], []
-            for text in batch.column(0).field("text").to_pylist():
-                codes, counts = profiler.trigrams(text or "")
-                if not len(codes) or not names:
-                    pred.append("und")
-                    score.append(0.0)
-                    cosine.append(0.0)
-                    continue
-                new = codes[known[codes] < 0]
-                if len(new):
-                    if len(table) + len(new) > 24_000:  # the vectors at hand stay under 100 MB
-                        table, new = np.empty((0, dim), np.float32), codes
-                        known[:] = -1
-                    known[new] = np.arange(len(table), len(table) + len(new))
-                    table = np.concatenate([table, profiler.vectors(new)])
-                v = counts.astype(np.float32) @ table[known[codes]]
-                c = unit @ v / (np.linalg.norm(v) or 1)
-                e = np.exp(SHARPNESS * (c - c.max()))
-                k = int(np.argmax(c))
-                pred.append(names[k])
-                score.append(float(e[k] / e.sum()))
-                cosine.append(float(c[k]))
+            found = [profiler.trigrams(text or "") for text in batch.column(0).field("text").to_pylist()]
+            pred, score, cosine = ["und"] * len(found), [0.0] * len(found), [0.0] * len(found)
+            spoken = [k for k, (codes, _) in enumerate(found) if len(codes) and names]
+            for at in range(0, len(spoken), TEXTS):
+                some = spoken[at : at + TEXTS]
+                v = profiler.bundled([found[k] for k in some])
+                c = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                e = np.exp(SHARPNESS * (c - c.max(1, keepdims=True)))
+                for k, best, row, share in zip(some, c.argmax(1).tolist(), c, e / e.sum(1, keepdims=True), strict=True):
+                    pred[k], score[k], cosine[k] = names[best], float(share[best]), float(row[best])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64())], names=["doc", "lang_pred", "score", "cosine"])
 
     return rows.mapInArrow(part, T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("cosine", "double"))
