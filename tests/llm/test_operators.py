@@ -38,7 +38,7 @@ def test_odd_rows_get_a_result(spark, rows):
     assert line_dedup.dedup_lines(d).count() == n
     assert quality.rules(d, labels).count() == n
     found = decontam.overlaps(d, bench).collect()
-    assert {r.doc_id for r in found} == ({None, 5} if n else set())
+    assert {(r.doc_id, r.item_id) for r in found} == ({(None, 1), (5, 1)} if n else set())
     assert decontam.decontaminate(d, bench).columns == d.columns
     assert language_id.keep_identified(d).columns == d.columns
     assert ngram_join.keep_one(d).columns == d.columns
@@ -109,7 +109,7 @@ def missed_and_added(spark, rows):
     return len(expected), len(expected - got), len(got - expected)
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 33])
+@pytest.mark.parametrize("partitions", [1, 7, 40])
 def test_passages_of_a_text_that_repeats_itself(spark, partitions):
     rng = random.Random(7)
     shared = words(rng, 80)
@@ -262,12 +262,102 @@ def test_base_rules():
     assert (n, chars, symbols, dup, repeat) == (8, 10, 2, 1, 6)
 
 
-def test_line_runs_anti_join(spark):
+def test_lines_go_through_the_runs(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
-    line = "a line that is surely more than forty characters long"
-    one, two = line_dedup.line_hashes(docs(spark, [(1, line)])), line_dedup.line_hashes(docs(spark, [(2, line.upper() + " \n" + line + " too")]))
-    runs.add(one)
-    assert runs.unseen(two).count() == 1
-    runs.add(two)
-    assert runs.unseen(two).count() == 0 and [len(x) for x in runs.levels] == [0, 1]
-    assert sorted(r.docs for r in runs.seen().collect()) == [1, 2]
+    rng = random.Random(10)
+    held = {}
+    kinds = "h1 long, h2 long, docs long, last long"
+    for k in range(5):
+        batch = [(h, h, rng.randrange(1, 4), rng.randrange(100)) for h in rng.sample(range(40), 20)]
+        rows = spark.createDataFrame(batch, kinds)
+        assert {r.h1 for r in runs.unseen(rows).collect()} == {h for h, *_ in batch} - set(held)
+        runs.load(rows)
+        for h, _, n, last in batch:
+            held[h] = (held.get(h, (0, 0))[0] + n, max(held.get(h, (0, 0))[1], last))
+        own = [r.h1 for run in runs.runs() for r in run.collect()]
+        assert sorted(own) == sorted(held)  # each line is in one run
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {r.h1: (r.docs, r["last"]) for r in runs.counts().collect()} == held
+    assert {r.h1 for r in runs.counts(5).collect()} == {h for h, (n, _) in held.items() if n >= 5}
+    runs.close()
+    assert not runs.runs() and not runs.places
+
+
+def test_line_batches_meet_the_runs_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark)
+    rows = line_dedup.line_hashes(docs(spark, [(k, f"line number {j} that is surely more than forty characters long") for k in range(30) for j in (k, k // 3)]))
+    base = line_dedup.batched(runs, rows, 3)
+    batches_ = [spark.table(base).where(F.col("batch") == k) for k in range(3)]
+    runs.load(batches_[0])
+    plan = runs.unseen(batches_[1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
+    runs.drop(base)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    lines = [f"{words(rng, 9)} {k}" for k in range(30)] + ["short", ""]
+    rows = [(rng.randrange(200), "\n".join(rng.choice(lines) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(1, 6)))) for _ in range(120)]
+    rows = [*{i: (i, t) for i, t in rows}.values()]
+    holders = {}
+    for i, t in rows:
+        for x in {x.strip(" \t").lower() for x in t.split("\n")}:
+            holders.setdefault(x, set()).add(i)
+    gone = {x: max(h) for x, h in holders.items() if len(x) >= 40 and len(h) >= 5}
+    for batches in (1, 3, 9):
+        got = {r.doc_id: r.new_text for r in line_dedup.dedup_lines(docs(spark, rows), batches=batches).collect()}
+        assert got == {i: "\n".join(x for x in t.split("\n") if gone.get(x.strip(" \t").lower(), i) == i) for i, t in rows}
+
+
+@pytest.mark.parametrize("tokens", range(1, 14))
+def test_masks_lose_no_overlap(tokens):
+    assert decontam.complete(tokens, decontam.MASKS[tokens])
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, words(rng, n, 60)) for k, n in enumerate([1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 30, 45])]
+    rows = []
+    for k in range(150):
+        text = words(rng, rng.randrange(0, 60), 60).split()
+        if k % 2:
+            item = rng.choice(items)[1].split()
+            for at in rng.sample(range(len(item)), min(len(item), rng.randrange(0, 4))):
+                item[at] = "other"
+            cut = rng.randrange(0, max(1, len(item) - 12))
+            text[len(text) // 2 : len(text) // 2] = item[cut:]
+        rows.append((k, " ".join(text)))
+    expected = {}
+    for i, t in rows:
+        d = t.split()
+        for j, s in items:
+            w = s.split()
+            n = min(13, len(w))
+            best = max(sum(0 <= a + k < len(d) and d[a + k] == w[k] for k in range(b, b + n)) for a in range(-len(w), len(d) + 1) for b in range(len(w) - n + 1))
+            if 100 * best >= 80 * n:
+                expected[i, j] = best
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (0, 10**6):
+        got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.overlaps(docs(spark, rows), bench, broadcast_rows=bound).collect()}
+        assert got == expected
+    with pytest.raises(ValueError):
+        decontam.overlaps(docs(spark, rows), bench, masks={**decontam.MASKS, 8: ((0, 1, 3, 6, 7),)})
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_passages_behind_decoys(spark, partitions):
+    """Passages of 54 words, with other texts that share only their last 45 words and run on with one of the two."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(12):
+        shared, tail = words(rng, 54), [words(rng, 40) for _ in range(2)]
+        rows += [(100 * k + j, f"{words(rng, 30)} {shared} {tail[j]}") for j in range(2)]
+        rows += [(100 * k + 10 + j, f"{words(rng, 30)} {' '.join(shared.split()[9:])} {' '.join(tail[j % 2].split()[: 10 + 5 * j])} {words(rng, 30)}") for j in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        n, missed, added = missed_and_added(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n >= 24 * 54 and (missed, added) == (0, 0)
