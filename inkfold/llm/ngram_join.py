@@ -12,7 +12,8 @@ shingles that many documents hold last (their counts are estimated in a fixed nu
 only the order depends on them, never the result), and by hash otherwise.
 
 Groups of near copies would still make trees with quadratic results, so each signature first offers
-only the pairs of every set with its smallest one. What these link is one component already; trees
+only the pairs of every set with its smallest one: the partners of each such centre are an R-tree's points, whatever signatures
+they came by, and the centre is sought in it. What these link is one component already; the trees of signatures
 are searched only where a signature's sets lie in several components, and only for pairs across them.
 A pair would come from the tree of each signature that both sets have. So each set names OWNERS of its
 signatures, those with the smallest values, and where two sets name a common one, only the tree of the
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, utf8, windows, written
+from .common import WordHashes, mixed, removed, rows_as, small, utf8, windows, written
 from .graph import connected_components
 
 #: Upper nodes of a tree have COARSE groups, each of several of the GROUPS of a point; both are powers of two.
@@ -40,8 +41,6 @@ BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
 LEAF, TREE = 16, 512
 #: Signatures that a set names, so that a pair comes from one tree.
 OWNERS = 8
-#: Ids (8 bytes each) of documents in surviving pairs up to which they are broadcast to fetch the texts.
-BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -205,6 +204,32 @@ def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return sized.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "b", "na", "nb", "pa", "pb", "fa", "fb").mapInArrow(part, "a long, b long").distinct()
 
 
+def _starred(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the tree of a centre's partners allows: the b of each a are an R-tree's points, and a is what is sought in it.
+
+    Rows come sorted by a from the join; a centre that is dealt to several tasks or batches has a tree in each.
+    """
+    def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            if not len(a):
+                continue
+            pa_, fa, pb, fb = (batch.column(k).to_pylist() for k in range(4, 8))
+            ok = np.zeros(len(a), bool)
+            new = np.nonzero(np.diff(a))[0] + 1
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(a)], strict=True):
+                points = counts_of([pa_[i], *pb[i:j]])
+                for k in RTree(points[1:], nb[i:j]).search(points[0], int(na[i]), percent).tolist():
+                    ok[i + k] = fa[i] is None or fb[i + k] is None or bound(b"", b"", fa[i], fb[i + k]) >= least_overlap(int(na[i]), int(nb[i + k]), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("fine").alias("fa"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("fine").alias("fb"))
+    sized = pairs.join(one.drop("pa", "fa"), "a").join(two.drop("pb", "fb"), "b")
+    sized = sized.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
+    return sized.join(two, ["b", "nb"]).join(one, ["a", "na"]).select("a", "b", "na", "nb", "pa", "fa", "pb", "fb").mapInArrow(part, "a long, b long")
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by the sets themselves; only the pairs' texts are read again."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +242,12 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = written(ids, "pair-ids")
-    if ids.count() <= BROADCAST_IDS:  # beyond, the texts are shuffled; Spark puts a Bloom filter before that on its own
-        ids = F.broadcast(ids)
+    ids = small(ids, "pair-ids")  # if too many to be broadcast, the texts are shuffled
     sets = written(_full(documents.join(ids, "doc_id", "left_semi"), words), "full-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long").distinct(), "links")
+    found = written(both.select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long").distinct(), "links")
+    removed(sets)
+    return found
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -277,32 +302,43 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, components): doc_id, n, key, id of every row (id: the smallest doc_id with that set), and id, component."""
-    scanned = written(_sets(documents, words), "shingle-sets")
+    """(members, components): doc_id, n, key, id of every row (id: the smallest doc_id with that set, or its own where there is no set), and id, component."""
+    tables: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(written(df, name))
+        return tables[-1]
+
+    scanned = kept(_sets(documents, words), "shingle-sets")
     often = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "bucket").limit(FREQUENT)
     last = np.array([r[0] for r in often.select("bucket").collect()], np.int64)  # at most FREQUENT numbers, for the order only
     members = scanned.where("n IS NOT NULL").select("doc_id", "n", "key")
-    chosen = written(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.first("sigs").alias("sigs")), "signatures")
+    chosen = kept(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.first("sigs").alias("sigs")), "signatures")
     each = chosen.select("id", F.explode("sigs").alias("sig"))
-    shared = written(each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1"), "shared")
-    rows = written(each.join(shared, "sig").select("sig", "id", "least", "sets"), "shared-rows")
-    stars = written(rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    shared = kept(each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1"), "shared")
+    rows = kept(each.join(shared, "sig").select("sig", "id", "least", "sets"), "shared-rows")
+    stars = kept(rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     texts, known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("id", "n", "point", "fine")
-    edges = _verified(written(_bounded(stars, known, percent), "star-pairs"), texts, words, percent)
+    edges = _verified(kept(_starred(stars, known, percent), "star-pairs"), texts, words, percent)
+    members = written(members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")
+    several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
+    edges = written(edges.unionByName(members.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()), "links")
 
     # a signature of two sets has no pair but its star; of the others, those in one component are done
     comp = connected_components(edges).withColumnRenamed("id", "node")
     rows = rows.where("sets > 2").select("sig", "id").join(comp, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    rows = written(rows, "rows-components")
+    rows = kept(rows, "rows-components")
     open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    rest = rows.join(written(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
+    rest = rows.join(kept(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
     rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     # repeats go before the join; Spark would push it below them
-    more = written(written(_tree_pairs(rest, percent).distinct(), "tree-pairs").join(stars, ["a", "b"], "left_anti"), "new-pairs")
-    edges = edges.unionByName(_verified(written(_bounded(more, known, percent), "bounded-pairs"), texts, words, percent))
-    return members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", "id"), connected_components(edges)
+    more = kept(kept(_tree_pairs(rest, percent).distinct(), "tree-pairs").join(stars, ["a", "b"], "left_anti"), "new-pairs")
+    edges = edges.unionByName(_verified(kept(_bounded(more, known, percent), "bounded-pairs"), texts, words, percent))
+    found = connected_components(edges)
+    removed(*tables)
+    return members, found
 
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -316,7 +352,7 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     """
     members, comp = links(documents, words, percent)
     found = members.join(comp, "id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -326,5 +362,5 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rows with a null doc_id, all stay.
     """
     found = join(documents.select("doc_id", "text"), words, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = small(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    return rows_as(documents).join(gone, F.col("doc.doc_id") == F.col("doc_id"), "left_anti").select("doc.*")
