@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import before, written
 
 MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 1000
 
@@ -100,10 +100,9 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
 
     placed = pieces.withColumn("bucket", choose(list(range(len(bounds))))).withColumn("bucket_len", choose(bounds)).withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "piece"), choose(blocks).cast("long")))
-    before = placed.groupBy("bucket", "block").agg(F.count("*").alias("rows")).select(
-        "bucket", "block", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("block")) - F.col("rows")).alias("before"))
+    lower_blocks = before(placed.groupBy("bucket", "block").agg(F.count("*").alias("rows")), ["bucket"], "block").select("bucket", "block", "before")
     numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "piece", "n_tokens")))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
     at = F.col("before") + F.col("at") - 1
-    return numbered.join(before, ["bucket", "block"]).select(
+    return numbered.join(lower_blocks, ["bucket", "block"]).select(
         "doc_id", "piece", "start", "n_tokens", "bucket", "bucket_len", F.floor(at / fits).cast("long").alias("batch"), (at % fits).cast("int").alias("row"))

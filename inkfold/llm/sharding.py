@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import before
+
 #: Rows of one unit that are numbered in one task.
 BLOCK_ROWS = 1000
 
@@ -61,9 +63,11 @@ def shard(documents: DataFrame, shards: int = 40, block_rows: int = BLOCK_ROWS)
     counted = cut(docs, shards).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long"))
     docs = docs.join(F.broadcast(counted.select("unit", "shard", "capacity", "blocks")), "unit").withColumn(
         "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    before = docs.groupBy("shard", "unit", "block").agg(F.count("*").alias("rows")).select(
-        "unit", "block", (F.sum("rows").over(Window.partitionBy("shard").orderBy("unit", "block")) - F.col("rows")).alias("before"))
+    # slots go by unit and block; of a shard's blocks, those of lower units come first
+    counts = docs.groupBy("shard", "unit", "block").agg(F.count("*").alias("rows"))
+    units = before(counts.groupBy("shard", "unit").agg(F.sum("rows").alias("rows")), ["shard"], "unit").select("unit", F.col("before").alias("units_before"))
+    blocks = before(counts, ["unit"], "block").join(units, "unit").select("unit", "block", (F.col("units_before") + F.col("before")).alias("before"))
     numbered = docs.withColumn("at", F.row_number().over(Window.partitionBy("unit", "block").orderBy("doc_id", "size", "text_crc32")))
-    return numbered.join(before, ["unit", "block"]).select(
+    return numbered.join(blocks, ["unit", "block"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "capacity")
