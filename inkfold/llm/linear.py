@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import held_out
+from .common import held_out, utf8
 
 
-def sample(documents: DataFrame, labels: DataFrame, column: str, rows: int, seed: int) -> list[tuple[bytes, int]]:
-    """(text, label) of at most `rows` labelled ids of each label: those whose hash is smallest, at any partitioning.
+def sample(documents: DataFrame, labels: DataFrame, column: str, rows: int, seed: int, features: Callable[[], Callable[[bytes], tuple]], schema: str) -> list[Row]:
+    """(y, calibrate, and what features()(text) gives, by schema) of at most `rows` labelled ids of each label: those whose hash is smallest.
 
-    Held-out ids are never chosen. The ids are chosen from labels alone, 2 * rows of them at most, so they are
-    broadcast to the documents and no text is shuffled; only their texts come to the driver. The bound
-    is the classifiers' documented parameter. Rows with a null id or text teach nothing.
+    Held-out ids are never chosen. The ids are chosen from labels alone, 2 * rows of them at most, so they are broadcast to the
+    documents. An id has one text, the lowest of its rows' texts, and the features are made where the text is: what comes to the
+    driver is a bounded number of bounded rows, in an order that no partitioning changes. The bound
+    is the classifiers' documented parameter. Rows with a null id or text teach nothing. A quarter of the texts are for calibration.
     """
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = features()
+        for batch in batches:
+            made = []
+            for text, y in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                h = xxhash.xxh64_intdigest(text)
+                made.append((h - (1 << 63), y, h % 4 == 0, *make(text)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
+    kinds = T._parse_datatype_string(f"h long, y int, calibrate boolean, {schema}")
+    arrow = to_arrow_schema(kinds)
     marks = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(column).cast("int").alias("y")).distinct()
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    found = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id").collect()
-    return sorted((r["text"].encode("utf-8", "replace"), r["y"]) for r in found)
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = texts.select("text", "y").mapInArrow(part, kinds).collect()
+    return sorted(found, key=lambda r: (r["h"], r["y"]))
 
 
 def presence(rows: list[np.ndarray], dim: int) -> tuple[np.ndarray, np.ndarray]:

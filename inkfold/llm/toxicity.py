@@ -67,6 +67,10 @@ class Features:
         return np.unique(np.fromiter((i for w in words for i in self.word(w)), np.int64)) if words else np.empty(0, np.int64)
 
 
+def packed(indices: np.ndarray) -> bytes:
+    return indices.astype(np.int32).tobytes()
+
+
 def counterfactuals(words: set[str]) -> Iterator[set[str]]:
     """The word set with each group's name swapped for the next one of its kind."""
     for kind in IDENTITY:
@@ -76,19 +80,31 @@ def counterfactuals(words: set[str]) -> Iterator[set[str]]:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, dim: int = DIM, strength: float = STRENGTH, seed: int = SEED) -> Model:
-    """Learns from at most `rows` texts of each label, never from held-out ones; a quarter of them calibrates.
+    """Learns from at most `rows` texts of each label, never from held-out ones; a quarter of them calibrates. The driver gets the
+    features' numbers only, 4 bytes for each distinct one and `dim` of them a text at most, never a text.
 
     Without rows of both labels every text scores 0.
     """
-    some = sample(documents, labels, "toxic", rows, seed)
-    y = np.array([x[1] for x in some], np.float64)
+    def made():
+        features = Features(dim)
+
+        def one(text: bytes) -> tuple[bytes, list[bytes], list[bytes]]:
+            words = features.words(text)
+            own = features.of(words)
+            others = [features.of(x) for x in counterfactuals(words)]
+            return packed(own), [packed(np.setdiff1d(own, x)) for x in others], [packed(np.setdiff1d(x, own)) for x in others]
+
+        return one
+
+    some = sample(documents, labels, "toxic", rows, seed, made, "own binary, gone array<binary>, come array<binary>")
+    y = np.array([r["y"] for r in some], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0), 0.0, 0.0, -35.0)
-    features = Features(dim)
-    sets = [features.words(t) for t, _ in some]
-    found = [features.of(s) for s in sets]
-    calibrate = np.array([xxhash.xxh64_intdigest(t) % 4 == 0 for t, _ in some])
-    count = [np.bincount(np.concatenate([f for f, c, v in zip(found, calibrate, y, strict=True) if not c and v == x] or [np.empty(0, np.int64)]).astype(np.int64), minlength=dim) for x in (0, 1)]
+    found = [np.frombuffer(r["own"], np.int32) for r in some]
+    calibrate = np.array([r["calibrate"] for r in some])
+    if len(set(y[~calibrate].tolist())) < 2:
+        calibrate[:] = False
+    count = [np.bincount(np.concatenate([f for f, c, v in zip(found, calibrate, y, strict=True) if not c and v == x] or [np.empty(0, np.int32)]), minlength=dim) for x in (0, 1)]
     n0, n1 = (max(1, int(((y == x) & ~calibrate).sum())) for x in (0, 1))
     pooled = (count[0] + count[1]) / (n0 + n1)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n0 + 1 / n1))
@@ -96,11 +112,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, dim: int
     found = [f[useful[f]] for f in found]
     idx, starts = presence([f for f, c in zip(found, calibrate, strict=True) if not c], dim)
     deltas, values = [], []
-    for s, c in zip(sets, calibrate, strict=True):
+    for r, c in zip(some, calibrate, strict=True):
         if not c:
-            for other in counterfactuals(s):
-                a, b = features.of(s), features.of(other)
-                gone, come = np.setdiff1d(a, b), np.setdiff1d(b, a)
+            for less, more in zip(r["gone"], r["come"], strict=True):
+                gone, come = np.frombuffer(less, np.int32), np.frombuffer(more, np.int32)
                 deltas.append(np.concatenate([gone, come]))
                 values.append(np.concatenate([np.ones(len(gone)), -np.ones(len(come))]))
     pairs = None
