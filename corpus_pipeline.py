@@ -22,7 +22,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     out = out.where(~changed | (F.btrim("new_text") != ""))
-    return out.select(*[F.when(changed, F.col("new_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return out.select(*[F.when(changed, new[c]).otherwise(own).alias(c) if c in new else own.alias(c) for c in docs.columns for own in (F.col(f"doc.`{c}`"),)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, ascii_lower, folder, removed, rows_as, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 6, 4
+#: Lines (32 bytes each) of a bucket of a run.
+BUCKET_ROWS = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -36,28 +38,31 @@ class LineRuns:
 
     docs counts the rows that hold a line, last is the largest doc_id among them. A run is a table in the shared folder, bucketed
     and sorted by hash, so a batch dealt out the same way meets it bucket by bucket, by merging, and no run is ever shuffled for that.
+    Buckets are as many as keep them at BUCKET_ROWS rows each, or the cores if they are more.
     load() anti-joins a batch with every run: what none holds is its own run, on level 0; what some run holds is kept apart, as
     repeats. So each line is in one run, a compaction has nothing to add up, and only lines that came again are counted again.
     """
 
     KEY = ("h1", "h2")
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int = 0) -> None:
         self.spark, self.fanout = spark, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
         self.levels: list[list[str]] = [[]]
         self.repeats: list[DataFrame] = []
         self.places: dict[str, str] = {}
 
-    def table(self, rows: DataFrame, *by: str) -> str:
-        """rows as a table in buckets of sorted hashes, in folders by the columns `by`; its name."""
+    def table(self, rows: DataFrame) -> str:
+        """rows, which are dealt by hash, as a table in buckets of sorted hashes; its name."""
         path = folder(self.spark, "line-run")
         name = "inkfold_" + path.rpartition("-")[2]
-        out = rows.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", path)
-        (out.partitionBy(*by) if by else out).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", path).saveAsTable(name)
         self.places[name] = path
         return name
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, *self.KEY)
+
     def drop(self, *names: str) -> None:
         for name in names:
             gone = self.spark.table(name)
@@ -76,7 +81,7 @@ class LineRuns:
 
     def load(self, batch: DataFrame) -> None:
         """A batch (h1, h2, docs, last), each line once."""
-        before = bool(self.runs())
+        before, batch = bool(self.runs()), self.dealt(batch)
         own = self.table(self.unseen(batch).select("h1", "h2", "docs", "last"))
         if before:
             self.repeats.append(written(batch.join(self.spark.table(own).select(*self.KEY).hint("merge"), list(self.KEY), "left_anti").select("h1", "h2", "docs", "last"), "line-repeats"))
@@ -91,7 +96,7 @@ class LineRuns:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 rows = functools.reduce(DataFrame.unionByName, [self.spark.table(name) for name in old])
-                self.levels[level + 1].append(self.table(rows.repartition(self.buckets, *self.KEY)))
+                self.levels[level + 1].append(self.table(self.dealt(rows)))
                 self.drop(*old)
             level += 1
 
@@ -113,21 +118,24 @@ class LineRuns:
         self.levels, self.repeats = [[]], []
 
 
-def batched(runs: LineRuns, hashes: DataFrame, batches: int) -> str:
-    """(doc_id, row, h1, h2) as a table of so many batches (h1, h2, docs, last, batch), from one scan; its name."""
+def batched(hashes: DataFrame, batches: int) -> DataFrame:
+    """(doc_id, row, h1, h2) as a written table of so many batches (h1, h2, docs, last, batch), from one scan; a batch is a folder of it."""
+    spark, path = hashes.sparkSession, folder(hashes.sparkSession, "line-batches")
     rows = hashes.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-    return runs.table(rows.select("h1", "h2", "docs", "last", "batch").repartition(runs.buckets, *runs.KEY), "batch")
+    rows.write.partitionBy("batch").parquet(path)
+    out = spark.read.schema("h1 long, h2 long, docs long, last long, batch int").parquet(path)
+    out.written_at = path
+    return out
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """documents with its own columns and new_text, n_lines, n_dropped.
+    """(doc, new_text, n_lines, n_dropped) of every row; doc is a struct of the row's own columns, whatever their names.
 
     A line's key has `[\\x20\\x09-\\x0D]` stripped and A-Z lower-cased. A key of min_chars code
     points that min_docs documents hold loses its lines everywhere but in the largest doc_id that
     holds it. A document is a row: repeated rows count each, and all rows with that largest doc_id
     keep the line. A row without doc_id is never the largest; a key that only such rows hold stays.
-    A null or empty text is one empty line, and an empty text comes out. Tables without rows and
-    columns of any other name pass through.
+    A null or empty text is one empty line, and an empty text comes out. An empty table gives no rows.
 
     The documents are loaded into runs (see LineRuns) in so many batches, by the hash of the text. Frequent keys are a written
     table and meet the lines by hash, so both sides of that join are plain exchanges whose large partitions
@@ -135,15 +143,15 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     comes back as one row per document.
     """
     spark = documents.sparkSession
-    runs = LineRuns(spark)
     docs = rows_as(documents).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     hashes = line_hashes(docs, min_chars)
-    base = batched(runs, hashes, batches)
+    base = batched(hashes, batches)
+    runs = LineRuns(spark, rows=base.count())
     for k in range(batches):
-        runs.load(spark.table(base).where(F.col("batch") == k))
+        runs.load(base.where(F.col("batch") == k).drop("batch"))
     often = written(runs.counts(min_docs), "frequent-lines")
     runs.close()
-    runs.drop(base)
+    removed(base)
     gone = hashes.join(often, ["h1", "h2"]).where(F.col("last").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_row")), "left")
@@ -151,5 +159,5 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     kept = F.when(F.col("gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("gone"), _hash(line_key(x))))))
     return joined.withColumn("kept", kept).select(
-        "doc.*", F.array_join("kept", "\n").alias("new_text"),
+        "doc", F.array_join("kept", "\n").alias("new_text"),
         F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"))

@@ -45,7 +45,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("new_text", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("new_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
