@@ -68,7 +68,7 @@ def sanitize_url(url: Column) -> Column:
     plain = F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
     malformed = url.rlike("%(?![0-9A-Fa-f]{2})") | plain.isNull() | (plain.contains("\ufffd") & ~F.lower(url).contains("%ef%bf%bd") & ~url.contains("\ufffd"))
     coded = F.regexp_replace(plain, "[^A-Za-z0-9/:]", "").rlike(bad)
-    return F.when(url.rlike(bad), F.lit(None)).when(url.contains("%") & (malformed | coded), F.lit(None)).otherwise(url)
+    return F.when(url.rlike(bad) | F.regexp_replace(url, "[\\x00-\\x1f\\x7f]", "").rlike(bad), F.lit(None)).when(url.contains("%") & (malformed | coded), F.lit(None)).otherwise(url)
 
 
 def to_superscript(digits: Column) -> Column:

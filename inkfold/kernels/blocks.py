@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-import sys
 
 from . import inline as I
 from . import scalars as S
-from .model import Document, Node, Options, Ref
+from .model import Document, Node, Options, Ref, Refs, deep
 from .streaming import settle
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 12_000))
-
 #: Block elements that start an HTML block, from the public CommonMark specification.
 HTML_BLOCKS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split()
 MAX_DEPTH = 500
@@ -24,6 +21,11 @@ FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$")
 MARKER = re.compile(r"( {0,3})([-*+]|(\d{1,9})([.)]))(?=[ \t]|$)")
 DELIMITER_CELL = re.compile(r":?-+:?")
 FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
+LABEL = re.compile(r" {0,3}\[((?:\\.|[^\[\]\\]){1,999})\]:[ \t]*\n?[ \t]*")
+DESTINATION = re.compile(r"<((?:\\.|[^<>\\\n])*)>|([^\s<][^\s]*)")
+BEFORE_TITLE = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)([\"'(])")
+TITLE = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))[ \t]*(?=\n|$)")
+LINE_END = re.compile(r"[ \t]*(?=\n|$)")
 FRONT_KEY = re.compile(r"[ \t]*[A-Za-z0-9_][A-Za-z0-9_.-]*:(?:[ \t]|$)")
 ALERT = re.compile(r"\[!([A-Za-z]+)\][ \t]*$")
 TASK = re.compile(r"\[([ xX])\]")
@@ -53,11 +55,16 @@ def indent_of(line: str) -> int:
 
 
 def dedent(line: str, cols: int, at: int = 0) -> str:
-    """The line without its first cols columns of white space; what is left of a split tab becomes spaces. at: the column where it begins."""
+    """The line without its first cols columns of white space. at: the column where it begins. Tabs that no longer begin at a stop become spaces."""
     col, k = at, 0
     while k < len(line) and col < at + cols and line[k] in " \t":
         col += 1 if line[k] == " " else 4 - col % 4
         k += 1
+    if "\t" not in line[k:] or col == at + cols and col % 4 == 0:
+        return " " * max(0, col - at - cols) + line[k:]
+    while k < len(line) and line[k] in " \t":
+        col += 1 if line[k] == " " else 4 - col % 4
+        k += 1
     return " " * max(0, col - at - cols) + line[k:]
 
 
@@ -65,11 +72,28 @@ def blank(line: str) -> bool:
     return not line.strip(" \t")
 
 
+class Chunk:
+    """Lines up to the next blank one, as one text, with where each begins; made once for all definitions in it."""
+
+    def __init__(self, lines: list[str], first: int) -> None:
+        self.lines, self.first = lines, first
+        self.stop = next((k for k in range(first, len(lines)) if blank(lines[k])), len(lines))
+        self.text = "\n".join(lines[first : self.stop])
+        self.starts = [0]
+        for line in lines[first : self.stop]:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.last = {c: self.text.rfind(c) for c in ("'", '"', ")")}
+
+    def closes(self, opening: str, at: int) -> bool:
+        return self.last[")" if opening == "(" else opening] >= at
+
+
 class Parser:
     """One document's parse. Definitions are collected by the block pass, so inline content is parsed after it."""
 
     def __init__(self, options: Options | None = None) -> None:
-        self.options, self.refs = options or Options(), {}
+        self.options, self.refs = options or Options(), Refs()
+        self.chunk: Chunk | None = None
 
     def parse(self, text: str) -> Document:
         text = S.normalize_input(text[1:] if text[:1] == "\ufeff" else text)
@@ -87,7 +111,7 @@ class Parser:
             return [Node("text", text="\n".join(lines))]
         out: list[Node] = []
         i = 0
-        if not self.options.disable_frontmatter and lines and lines[0].rstrip(" \t") == "---" and lines[0][:3] == "---":
+        if top and not self.options.disable_frontmatter and lines and lines[0].rstrip(" \t") == "---" and lines[0][:3] == "---":
             end = next((k for k in range(1, len(lines) - 1) if lines[k].startswith("---")), None)
             if end and any(FRONT_KEY.match(x) for x in lines[1:end]):
                 out.append(Node("frontmatter", text="\n".join(lines[: end + 1])))
@@ -413,28 +437,29 @@ class Parser:
 
     def definition(self, lines: list[str], i: int) -> int | None:
         """Lines that are one link reference definition; the first of a label wins."""
-        stop = next((k for k in range(i, len(lines)) if blank(lines[k])), len(lines))
-        text = "\n".join(lines[i:stop])
-        m = re.match(r" {0,3}\[((?:\\.|[^\[\]\\]){1,999})\]:[ \t]*\n?[ \t]*", text)
+        if self.chunk is None or self.chunk.lines is not lines or not self.chunk.first <= i < self.chunk.stop:
+            self.chunk = Chunk(lines, i)
+        chunk, text = self.chunk, self.chunk.text
+        start = chunk.starts[i - chunk.first]
+        m = LABEL.match(text, start)
         if not m or not m[1].strip() or m[1].startswith("^"):
             return None
-        at = m.end()
-        d = re.compile(r"<((?:\\.|[^<>\\\n])*)>|([^\s<][^\s]*)").match(text, at)
+        d = DESTINATION.match(text, m.end())
         if not d:
             return None
         target = d[1] if d[1] is not None else d[2]
         title, end = None, None
-        t = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))[ \t]*(?=\n|$)").match(text, d.end())
-        if t:
+        q = BEFORE_TITLE.match(text, d.end())
+        if q and chunk.closes(q[1], q.end()) and (t := TITLE.match(text, d.end())):
             title, end = t[1][1:-1], t.end()
-        elif e := re.compile(r"[ \t]*(?=\n|$)").match(text, d.end()):
+        elif e := LINE_END.match(text, d.end()):
             end = e.end()
         if end is None:
             return None
         label = S.normalize_label(m[1])
         target = S.decode_entities(S.unescape(target))
         self.refs.setdefault(label, Ref(label, target, S.decode_entities(S.unescape(title)) if title is not None else None, len(self.refs), False))
-        return i + text[:end].count("\n") + 1
+        return i + text.count("\n", start, end) + 1
 
     def paragraph(self, lines: list[str], i: int, out: list[Node]) -> int:
         body = [lines[i]]
@@ -541,5 +566,6 @@ def cells(line: str) -> list[str]:
     return out
 
 
+@deep
 def parse(text: str | None, options: Options | None = None) -> Document:
     return Parser(options).parse(text or "")

@@ -8,14 +8,33 @@ from typing import Any
 from . import inline as I
 from . import scalars as S
 from .blocks import parse
-from .model import Document, Node, Options
+from .model import Document, Node, Options, deep
 
 TARGETS = ("react", "native", "solid", "vue")
 #: Tags that are containers in a native tree (fixed values).
-VIEWS = {"address", "article", "aside", "blockquote", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "li", "main", "nav", "ol", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+VIEWS = {
+    "address", "article", "aside", "blockquote", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "input",
+    "legend", "li", "main", "menu", "nav", "ol", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "pre", "script", "style", "textarea",
+}
 SUPERSCRIPT = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 #: Attribute names of HTML in the first framework (fixed values).
-PROPS = {"class": "className", "for": "htmlFor", "tabindex": "tabIndex", "readonly": "readOnly", "maxlength": "maxLength", "colspan": "colSpan", "rowspan": "rowSpan", "contenteditable": "contentEditable", "crossorigin": "crossOrigin", "srcset": "srcSet", "autoplay": "autoPlay", "autocomplete": "autoComplete", "autofocus": "autoFocus", "cellpadding": "cellPadding", "cellspacing": "cellSpacing", "charset": "charSet", "datetime": "dateTime", "enctype": "encType", "frameborder": "frameBorder", "usemap": "useMap", "spellcheck": "spellCheck", "srcdoc": "srcDoc", "srclang": "srcLang"}
+PROPS = {
+    "class": "className", "for": "htmlFor", "allowfullscreen": "allowFullScreen", "allowtransparency": "allowTransparency", "autocomplete": "autoComplete", "autofocus": "autoFocus", "autoplay": "autoPlay",
+    "cellpadding": "cellPadding", "cellspacing": "cellSpacing", "charset": "charSet", "classid": "classId", "colspan": "colSpan", "contenteditable": "contentEditable", "contextmenu": "contextMenu",
+    "crossorigin": "crossOrigin", "enctype": "encType", "formaction": "formAction", "formenctype": "formEncType", "formmethod": "formMethod", "formnovalidate": "formNoValidate", "formtarget": "formTarget",
+    "frameborder": "frameBorder", "hreflang": "hrefLang", "inputmode": "inputMode", "keyparams": "keyParams", "keytype": "keyType", "marginheight": "marginHeight", "marginwidth": "marginWidth",
+    "maxlength": "maxLength", "mediagroup": "mediaGroup", "minlength": "minLength", "novalidate": "noValidate", "radiogroup": "radioGroup", "readonly": "readOnly", "rowspan": "rowSpan", "spellcheck": "spellCheck",
+    "srcdoc": "srcDoc", "srclang": "srcLang", "srcset": "srcSet", "tabindex": "tabIndex", "usemap": "useMap", "viewbox": "viewBox",
+}
+
+
+def prop_name(name: str) -> str:
+    """An attribute's name as a prop: listed names in camel case, a:b as aB, others as they are."""
+    low = name.lower()
+    if low in PROPS:
+        return PROPS[low]
+    before, colon, after = name.partition(":")
+    return before + after[:1].upper() + after[1:] if colon else name
 
 
 class Tree:
@@ -37,7 +56,7 @@ class Tree:
         named = {}
         for k, v in (props or {}).items():
             if v is not None and v is not False:
-                k = PROPS.get(k, k) if self.target in ("react", "native") else k
+                k = prop_name(k) if self.target in ("react", "solid") else k
                 named[k] = v if isinstance(v, str) else json.dumps(v)
         self.rows.append((len(self.rows), parent, tag, named, text))
         return len(self.rows) - 1
@@ -133,6 +152,7 @@ class Tree:
         return self.rows
 
 
+@deep
 def to_elements(text: str | None, options: Options | None = None, target: str = "react") -> list[tuple]:
     options = options or Options()
     return [] if text is None else Tree(parse(text, options), options, target).document()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Mapping
 from typing import Any
 
 from . import inline as I
 from . import scalars as S
 from .blocks import parse
-from .model import Document, Node, Options
+from .model import Document, Node, Options, Refs, deep, truth
 
 
 class Compiler:
@@ -108,7 +110,7 @@ class Compiler:
         return self.wrap("pre", S.escape_html(x.text or "")) if self.front else ""
 
     def _htmlComment(self, x: Node) -> str:
-        return x.text or ""
+        return self._filtered(I.strip_dangerous(x.text or ""))
 
     def _filtered(self, text: str) -> str:
         return S.apply_tagfilter(text) if self.options.tagfilter else text
@@ -140,14 +142,17 @@ class Compiler:
             rows.append(self.wrap("div", f"{S.escape_html(name)}: {inner}", {"id": self.options.slug(name)}))
         return self.wrap("footer", "".join(rows))
 
-    def document(self, wrapper: str | None = "div") -> str:
-        """The document's HTML, in a wrapper element where it has several nodes."""
+    def document(self, wrapper: str | None = "div", props: dict[str, Any] | None = None, force_wrapper: bool = False, inline: bool = False) -> str:
+        """The document's HTML, in a wrapper element where it has several nodes or one is forced. inline: a lone paragraph gives its content alone."""
         shown = [x for x in self.doc.nodes if x.type not in ("footnote", "ref") and (x.type != "frontmatter" or self.front)]
-        inner = [self.one(x) for x in shown]
         foot = self.footer()
-        if wrapper is None or len(inner) + bool(foot) <= 1:
+        if len(shown) == 1 and shown[0].type == "paragraph" and inline:
+            inner = [self.all(shown[0].children)]
+        else:
+            inner = [self.one(x) for x in shown]
+        if not force_wrapper and (wrapper is None or len(inner) + bool(foot) <= 1 and not (inline and inner)):
             return "".join(inner) + foot
-        return f"<{wrapper}>{''.join(inner)}{foot}</{wrapper}>"
+        return self.wrap(wrapper or ("span" if inline else "div"), "".join(inner) + foot, props)
 
 
 def attrs_text(attrs: dict[str, Any]) -> str:
@@ -167,9 +172,31 @@ def attrs_text(attrs: dict[str, Any]) -> str:
     return "".join(out)
 
 
-def to_html(text: str | None, options: Options | None = None, wrapper: str | None = "div", **how: Any) -> str | None:
+def rendered(doc: Document, given: Mapping[str, Any] | None = None, options: Options | None = None) -> str:
+    """A document's HTML by options of both kinds: those of the parser (Options), and wrapper, wrapper_props, force_wrapper, force_inline,
+    overrides, rule and preserve_frontmatter. Overrides and props may be JSON, as SQL gives them."""
+    given = {k: truth(v) for k, v in (given or {}).items()}
+    for k in ("overrides", "wrapper_props"):
+        if isinstance(given.get(k), str):
+            given[k] = json.loads(given[k])
+    inline = bool(given.get("force_inline"))
+    made = Compiler(doc, options or Options.of(given), given.get("overrides"), given.get("rule"), bool(given.get("preserve_frontmatter")))
+    wrapper = given.get("wrapper", "span" if inline else "div")
+    return made.document(None if wrapper in (None, "") else wrapper, given.get("wrapper_props"), bool(given.get("force_wrapper")), inline)
+
+
+@deep
+def to_html(text: str | None, options: Options | None = None, **given: Any) -> str | None:
     """The HTML of a Markdown text; null stays null."""
     if text is None:
         return None
-    options = options or Options()
-    return Compiler(parse(text, options), options, **how).document(wrapper)
+    options = options or Options.of(given)
+    if truth(given.get("force_inline")):
+        nodes, refs = [Node("paragraph", children=inline_parse(text, options))], Refs()
+        return rendered(Document(nodes, refs), given, options)
+    return rendered(parse(text, options), given, options)
+
+
+def inline_parse(text: str, options: Options) -> list[Node]:
+    """A text's inline content, whatever blocks its lines would make."""
+    return I.parse(" ".join(S.normalize_input(text).split("\n")).strip(), Refs(), options)

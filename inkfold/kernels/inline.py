@@ -8,31 +8,33 @@ import unicodedata
 from typing import Any
 
 from . import scalars as S
+from . import tags as T
 from .model import Node
 
 ATTRIBUTE = r"""\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|[^\s"'=<>`{]+))?"""
-OPEN_TAG = rf"<[A-Za-z][\w:.-]*(?:{ATTRIBUTE})*\s*/?>"
-CLOSE_TAG = r"</[A-Za-z][\w:.-]*\s*>"
+OPEN_TAG = rf"<(?![A-Za-z]:)[A-Za-z][\w:.-]*(?:{ATTRIBUTE})*\s*/?>"
+CLOSE_TAG = r"</(?![A-Za-z]:)[A-Za-z][\w:.-]*\s*>"
 _OPEN, _CLOSE = re.compile(OPEN_TAG), re.compile(CLOSE_TAG)
 _ATTR = re.compile(r"""([A-Za-z_:@][\w:.@-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|\{((?:[^{}]|\{[^{}]*\})*)\}|([^\s"'=<>`{]+)))?""")
 _OTHER = re.compile(r"<!-->|<!--->|<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![A-Za-z][^>]*>", re.S)
 AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>")
 AUTOMAIL = re.compile(r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*)>")
 BARE_URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>]*")
-MAIL_LOCAL = re.compile(r"[A-Za-z0-9.+_-]{1,64}\Z")
-MAIL_DOMAIN = re.compile(r"[A-Za-z0-9_-]{1,63}(?:\.[A-Za-z0-9_-]{1,63})+")
+MAIL_DOMAIN = re.compile(r"@([A-Za-z0-9_-]{1,63}(?:\.[A-Za-z0-9_-]{1,63})+)")
+MAIL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.+_-")
+TICKS, STARS, BARS = re.compile(r"`+"), re.compile(r"\*+"), re.compile(r"_+")
+ANY_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)(?=[\s/>])[^<>]*>")
 FOOTNOTE_REF = re.compile(r"\[\^([^\]\s\[]+)\]")
 DEST = re.compile(r"<((?:\\.|[^<>\\\n])*)>")
 TITLE = re.compile(r"(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))", re.S)
 LABEL = re.compile(r"\[((?:\\.|[^\[\]\\]){0,999})\]", re.S)
 PLAIN = re.compile(r"[^\\`*_~=\[\]!<&\nhwf@]+")
-BOOLEAN_URL_ATTRS = {"href", "src", "action", "formaction", "poster", "cite", "data", "background", "xlink:href", "srcset", "longdesc", "manifest", "ping"}
 MAX_DEPTH = 200
 
 
 def close_ticks(s: str, at: int, run: int) -> int:
     """Where the run of exactly so many backticks ends that closes a code span, or -1."""
-    for m in re.compile(r"`+").finditer(s, at):
+    for m in TICKS.finditer(s, at):
         if len(m[0]) == run:
             return m.end()
     return -1
@@ -52,37 +54,13 @@ def attributes(open_tag: str) -> dict[str, Any] | None:
                     value = json.loads(value, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
                 except ValueError:
                     pass
-        if isinstance(value, str) and dangerous(name, value):
+        if T.dangerous(name, value) if isinstance(value, str) else name.lower().startswith("on") and open_tag[1:2].islower():
             continue
         out[name] = value
     return out or None
 
 
-def dangerous(name: str, value: str) -> bool:
-    low = name.lower()
-    if low.startswith("on") or low == "srcdoc":
-        return True
-    if low == "style":
-        return bool(re.search(r"url\s*\(\s*[\"']?\s*(?:javascript|vbscript|data(?!:image)):|expression\s*\(", value, re.I))
-    return low in BOOLEAN_URL_ATTRS and S.sanitize_url(S.decode_entities(value)) is None
-
-
-def strip_dangerous(text: str) -> str:
-    """Raw HTML without the attributes that could run code."""
-    def one(m: re.Match) -> str:
-        tag = m[0]
-        head = re.match(r"<[A-Za-z][\w:.-]*", tag)[0]
-        kept = [a[0] for a in re.finditer(ATTRIBUTE, tag[len(head):]) if not _bad(a[0])]
-        end = "/>" if tag.rstrip().endswith("/>") else ">"
-        return tag if len(kept) == len(re.findall(ATTRIBUTE, tag[len(head):])) else head + "".join(kept) + (" " if end == "/>" else "") + end
-
-    return _OPEN.sub(one, text)
-
-
-def _bad(attribute: str) -> bool:
-    m = _ATTR.match(attribute.strip())
-    value = next((g for g in m.groups()[1:] if g is not None), None) if m else None
-    return bool(m and dangerous(m[1], value or ""))
+strip_dangerous = T.stripped
 
 
 def flatten(nodes: list, alt: bool = True) -> str:
@@ -119,6 +97,7 @@ class Inline:
         self.s, self.refs, self.options, self.in_anchor, self.depth = text, refs, options, in_anchor, depth
         self.no_ticks: set[int] = set()
         self.brackets: dict[int, int] | None = None
+        self.closers: dict[int, tuple[int, int]] | None = None
 
     def node(self, kind: str, **what: Any) -> Node:
         return Node(kind, **what)
@@ -133,6 +112,9 @@ class Inline:
         out: list = []
         buf: list[str] = []
         marks: list[_Delimiter] = []
+        mails = self.mails() if "@" in s and not self.in_anchor and not self.options.disable_auto_link else []
+        mails.append((n + 1, 0, ""))
+        mail = 0
 
         def flush() -> None:
             if buf:
@@ -140,7 +122,14 @@ class Inline:
                 buf.clear()
 
         while k < n:
-            m = PLAIN.match(s, k)
+            while mails[mail][0] < k:
+                mail += 1
+            if mails[mail][0] == k:
+                _, k, address = mails[mail]
+                flush()
+                out.append(self.node("link", children=[self.node("text", text=address)], target="mailto:" + address))
+                continue
+            m = PLAIN.match(s, k, mails[mail][0])
             if m:
                 buf.append(m[0])
                 k = m.end()
@@ -159,12 +148,12 @@ class Inline:
             elif c == "`":
                 found, end = self.code(k)
                 if not found:
-                    run = re.compile(r"`+").match(s, k)
+                    run = TICKS.match(s, k)
                     buf.append(run[0])
                     k = run.end()
                     continue
             elif c in "*_":
-                m = re.compile(re.escape(c) + "+").match(s, k)
+                m = (STARS if c == "*" else BARS).match(s, k)
                 before, after = s[k - 1] if k else "", s[m.end()] if m.end() < n else ""
                 left = not _space(after) and (not _punct(after) or _space(before) or _punct(before))
                 right = not _space(before) and (not _punct(before) or _space(after) or _punct(after))
@@ -209,11 +198,6 @@ class Inline:
                 continue
             elif c in "hwf" and not self.options.disable_auto_link and not self.in_anchor:
                 found, end = self.bare(k)
-            elif c == "@" and not self.options.disable_auto_link and not self.in_anchor:
-                text = "".join(buf)
-                found, end, cut = self.mail(text, k)
-                if found:
-                    buf[:] = [text[: len(text) - cut]]
             if found:
                 if buf == [""]:
                     buf.clear()
@@ -227,7 +211,7 @@ class Inline:
         return self.emphasis(out, marks) if marks else [x for x in out if x.type != "text" or x.text]
 
     def code(self, k: int):
-        m = re.compile(r"`+").match(self.s, k)
+        m = TICKS.match(self.s, k)
         run = len(m[0])
         if run in self.no_ticks:
             return None, 0
@@ -269,7 +253,7 @@ class Inline:
                     continue
                 if c == "`":
                     span, end = self.code(k)
-                    k = end if span else k + len(re.compile(r"`+").match(s, k)[0])
+                    k = end if span else k + len(TICKS.match(s, k)[0])
                     continue
                 if c == "<":
                     m = AUTOLINK.match(s, k) or AUTOMAIL.match(s, k) or _OPEN.match(s, k) or _CLOSE.match(s, k)
@@ -291,30 +275,36 @@ class Inline:
         if close is None:
             return None, 0
         text, at = s[k + 1 : close], close + 1
-        target = title = None
+        target = title = label = None
         end = 0
         if s.startswith("(", at):
             target, title, end = self.destination(at)
         if not end:
             ref = None
             if (m := LABEL.match(s, at)) and m[1].strip():
-                ref, end = self.refs.get(S.normalize_label(m[1])), m.end()
+                label = S.normalize_label(m[1])
+                ref, end = self.refs.get(label), m.end()
+                self.refs.uses.append((label, image, ref is not None))
                 if ref is None:
                     return None, 0
             elif not re.search(r"(?<!\\)(?:\\\\)*[\[\]]", text) and text.strip() and len(text) < 1000:
-                ref = self.refs.get(S.normalize_label(text))
-                end = at + 2 if s.startswith("[]", at) else at
+                label = S.normalize_label(text)
+                ref = self.refs.get(label)
+                collapsed = s.startswith("[]", at)
+                end = at + 2 if collapsed else at
+                if ref or collapsed:
+                    self.refs.uses.append((label, image, ref is not None))
             if ref is None or ref.footnote:
                 return None, 0
             target, title = ref.target, ref.title
         if image:
             clean = self.options.clean(target, "img", "src")
-            return self.node("image", alt=flatten(self.sub(text)), target=target if clean is not None else None, rejected=clean is None, title=title), end
+            return self.node("image", alt=flatten(self.sub(text)), target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
         children = self.sub(text, True) if "[" not in text else self.sub(text)
         if _has_link(children):
             return None, 0
         clean = self.options.clean(target, "a", "href")
-        return self.node("link", children=children, target=target if clean is not None else None, rejected=clean is None, title=title), end
+        return self.node("link", children=children, target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
 
     def destination(self, at: int) -> tuple[str | None, str | None, int]:
         """(target, title, end) of an inline destination that begins with a parenthesis, end 0 if it is none."""
@@ -374,17 +364,30 @@ class Inline:
         attrs = attributes(m[0])
         if m[0].endswith("/>") or S.is_void(tag):
             return self.node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0]), m.end()
-        level = 1
-        for t in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(s, m.end()):
-            level += -1 if t[1] else 0 if t[0].endswith("/>") else 1
-            if not level:
-                inner = s[m.end() : t.start()]
+        if k in self.tag_ends():
+            close, end = self.tag_ends()[k]
+            if close >= m.end():
+                inner = s[m.end() : close]
                 node = self.node("htmlBlock", tag=tag, attrs=attrs, raw_open=m[0], text=inner)
                 if tag.lower() not in ("pre", "script", "style", "textarea"):
                     node.children = self.sub(inner, self.in_anchor or tag.lower() == "a")
-                return node, t.end()
+                return node, end
         return self.node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0], completed=True), m.end()
 
+    def tag_ends(self) -> dict[int, tuple[int, int]]:
+        """Where the closing tag of each opening one begins and ends, nested ones of a name counted; one pass for all."""
+        if self.closers is None:
+            opened: dict[str, list[int]] = {}
+            self.closers = {}
+            for t in ANY_TAG.finditer(self.s):
+                stack = opened.setdefault(t[2].lower(), [])
+                if not t[1]:
+                    if not t[0].endswith("/>"):
+                        stack.append(t.start())
+                elif stack:
+                    self.closers[stack.pop()] = t.span()
+        return self.closers
+
     def bare(self, k: int):
         s = self.s
         if k and s[k - 1] == "<":
@@ -412,16 +415,23 @@ class Inline:
         clean = self.options.clean(target, "a", "href")
         return self.node("link", children=[self.node("text", text=url)], target=target if clean is not None else None, rejected=clean is None), k + len(url)
 
-    def mail(self, before: str, k: int):
-        local = MAIL_LOCAL.search(before)
-        domain = MAIL_DOMAIN.match(self.s, k + 1)
-        if not local or not domain or re.search(r"[A-Za-z0-9.+_-]{65}\Z", before):
-            return None, 0, 0
-        host = domain[0].rstrip("-_")
-        if host != domain[0] or any("_" in x for x in host.split(".")[-2:]):
-            return None, 0, 0
-        text = f"{local[0]}@{host}"
-        return self.node("link", children=[self.node("text", text=text)], target="mailto:" + text), k + 1 + len(host), len(local[0])
+    def mails(self) -> list[tuple[int, int, str]]:
+        """(start, end, address) of the bare addresses, in order. Underscores before the first other character are not theirs."""
+        s, out, last = self.s, [], 0
+        for m in MAIL_DOMAIN.finditer(s):
+            k = m.start()
+            while k > last and k > m.start() - 65 and s[k - 1] in MAIL_CHARS:
+                k -= 1
+            if m.start() - k == 65:
+                continue
+            while k < m.start() and s[k] == "_":
+                k += 1
+            host = m[1].rstrip("-_")
+            if k == m.start() or host != m[1] or any("_" in x for x in host.split(".")[-2:]):
+                continue
+            last = m.start() + 1 + len(host)
+            out.append((k, last, f"{s[k : m.start()]}@{host}"))
+        return out
 
     def emphasis(self, out: list, marks: list[_Delimiter]) -> list:
         """Matches delimiter runs; what a failed search has ruled out is not searched again."""

@@ -6,7 +6,9 @@ import re
 from typing import Any
 
 from .blocks import parse
-from .model import Document, Node, Options
+from .model import Document, Node, Options, deep
+from .scalars import sanitize_url
+from .tags import stripped
 
 _SPECIAL = re.compile(r"([\\`*_\[\]<>~=|])")
 _START = re.compile(r"(?m)^([ \t]*)([-+#>])")
@@ -29,7 +31,8 @@ class Compiler:
         return "\n\n".join(parts)
 
     def definitions(self) -> str:
-        return "\n".join(f"[{r.label}]: {r.target}{self.title(r.title)}" for r in sorted(self.doc.refs.values(), key=lambda r: (not r.label.isdigit(), int(r.label) if r.label.isdigit() else r.ord)))
+        safe = [r for r in self.doc.refs.values() if r.footnote or sanitize_url(r.target) is not None]
+        return "\n".join(f"[{r.label}]: {r.target}{self.title(r.title)}" for r in sorted(safe, key=lambda r: (not r.label.isdigit(), int(r.label) if r.label.isdigit() else r.ord)))
 
     @staticmethod
     def title(title: str | None) -> str:
@@ -64,12 +67,12 @@ class Compiler:
             case "gfmTask":
                 return "[x]" if x.completed else "[ ]"
             case "htmlBlock":
-                inner = self.inline(x.children) if x.children else x.text or ""
-                return x.text or "" if x.loose else f"{x.raw_open}{inner}</{x.tag}>"
+                inner = self.inline(x.children) if x.children else stripped(x.text or "")
+                return inner if x.loose else f"{stripped(x.raw_open)}{inner}</{x.tag}>"
             case "htmlSelfClosing":
-                return x.raw_open or ""
+                return stripped(x.raw_open or "")
             case "htmlComment":
-                return x.text or ""
+                return stripped(x.text or "")
         return self.block(x)
 
     def block(self, x: Node) -> str:
@@ -107,10 +110,10 @@ class Compiler:
                 return x.text or ""
             case "htmlBlock" if not x.loose and x.raw_open != x.text:
                 blocks = any(c.type in ("paragraph", "heading", "orderedList", "unorderedList", "blockQuote", "table", "codeBlock") for c in x.children)
-                inner = "\n" + "\n\n".join(self.block(c) for c in x.children) + "\n" if blocks else self.inline(x.children) if x.children else x.text or ""
-                return f"{x.raw_open}{inner}</{x.tag}>"
+                inner = "\n" + "\n\n".join(self.block(c) for c in x.children) + "\n" if blocks else self.inline(x.children) if x.children else stripped(x.text or "")
+                return f"{stripped(x.raw_open)}{inner}</{x.tag}>"
             case "htmlBlock" | "htmlComment" | "htmlSelfClosing":
-                return x.text or x.raw_open or ""
+                return stripped(x.text or x.raw_open or "")
         return self.span(x)
 
     def item(self, nodes: list[Node]) -> str:
@@ -129,6 +132,7 @@ class Compiler:
         return ("\n\n" if paragraphs else "\n").join(out)
 
 
+@deep
 def to_markdown(text: str | None, options: Options | None = None, **how: Any) -> str | None:
     """A Markdown text in normal form; null stays null."""
     return None if text is None else Compiler(parse(text, options), **how).document()

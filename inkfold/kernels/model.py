@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+import sys
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from . import scalars as S
 
+#: Frames that the deepest tree which the parser makes needs.
+FRAMES = 12_000
+
+
+def deep(f: Callable) -> Callable:
+    """f with room for deep trees, while it runs; the process's own limit is as before afterwards."""
+    @functools.wraps(f)
+    def roomy(*args: Any, **how: Any) -> Any:
+        limit = sys.getrecursionlimit()
+        if limit >= FRAMES:
+            return f(*args, **how)
+        sys.setrecursionlimit(FRAMES)
+        try:
+            return f(*args, **how)
+        finally:
+            sys.setrecursionlimit(limit)
+
+    return roomy
+
+
+def truth(value: Any) -> Any:
+    return {"true": True, "false": False}.get(value.lower(), value) if isinstance(value, str) else value
+
 
 @dataclass
 class Options:
@@ -21,6 +47,12 @@ class Options:
     sanitizer: Any = None
     slugify: Any = None
 
+    @classmethod
+    def of(cls, given: Mapping[str, Any] | None) -> Options:
+        """Options from names and values, as SQL gives them: strings "true" and "false" are booleans; other names are left to the compilers."""
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: truth(v) for k, v in (given or {}).items() if k in names})
+
     def clean(self, url: str, tag: str, attr: str) -> str | None:
         return self.sanitizer(url, tag, attr) if self.sanitizer else S.sanitize_url(url)
 
@@ -53,6 +85,15 @@ class Node:
     attrs: dict[str, Any] | None = None
     raw_open: str | None = None
     loose: bool | None = None
+    label: str | None = None
+
+
+class Refs(dict):
+    """Definitions by label, and the references made by label: (label, image, resolved)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.uses: list[tuple[str, bool, bool]] = []
 
 
 @dataclass

@@ -14,6 +14,7 @@ TAGFILTER = ("title", "textarea", "style", "xmp", "iframe", "noembed", "noframes
 _FOLD = {ord(c): d for letters, d in (("ÀÁÂÃÄÅàáâãäåÆæ", "a"), ("Çç", "c"), ("Ðð", "d"), ("ÈÉÊËéèêë", "e"), ("ÏÎÍÌïîíì", "i"), ("Ññ", "n"), ("øØœŒõÕóÓòÒÔÖôö", "o"), ("ÜÛÚÙüûúù", "u"), ("ŸÿÝý", "y")) for c in letters}
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BAD_SCHEME = re.compile(r"(javascript|vbscript|data(?!:image)):", re.I)
+CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
 ENTITY = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));")
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
@@ -45,13 +46,25 @@ def decode_entities(text: str) -> str:
     return ENTITY.sub(one, text) if "&" in text else text
 
 
+_NUMERIC = re.compile(r"&#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?")
+
+
+def decode_numeric(text: str) -> str:
+    """Numeric references with or without their semicolon, as a browser resolves them in a URL; those of no character stay."""
+    def one(m: re.Match) -> str:
+        code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
+
+    return _NUMERIC.sub(one, text) if "&#" in text else text
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def sanitize_url(url: str) -> str | None:
     """The URL, or None where its scheme could run code or its percent escapes are malformed."""
-    if BAD_SCHEME.search(url):
+    if BAD_SCHEME.search(url) or CONTROL.search(url) and BAD_SCHEME.search(CONTROL.sub("", url)):
         return None
     if "%" in url:
         if re.search(r"%(?![0-9A-Fa-f]{2})", url):

@@ -18,14 +18,20 @@ def descendants(nodes: DataFrame, ancestors: DataFrame, key: str = "doc_id") ->
     return nodes.join(a, (F.col(key) == F.col("_key")) & (F.col("node_id") > F.col("ancestor_id")) & (F.col("node_id") <= F.col("_end"))).drop("_key", "_end")
 
 
-def with_overrides(nodes: DataFrame, overrides: DataFrame, key: str = "tag") -> DataFrame:
-    """Tags renamed by a small table (tag, new_tag), broadcast as such a table is."""
-    return nodes.join(F.broadcast(overrides.select(key, "new_tag").limit(10_000)), key, "left").withColumn(key, F.coalesce("new_tag", key)).drop("new_tag")
+def with_overrides(nodes: DataFrame, overrides: DataFrame, key: str = "tag", broadcast_rows: int = 100_000) -> DataFrame:
+    """Tags renamed by a table (tag, new_tag), which is counted and broadcast up to so many rows; a larger one is joined by shuffling."""
+    names = overrides.select(F.col(key).alias("its"), "new_tag").where("new_tag IS NOT NULL")
+    names = F.broadcast(names) if names.count() <= broadcast_rows else names
+    return nodes.join(names, F.col(key) == F.col("its"), "left").withColumn(key, F.coalesce("new_tag", key)).drop("its", "new_tag")
 
 
-def safe_attributes(attrs):
-    """A map of attributes without those that could run code."""
-    from ..functions.text import sanitize_url
+def runs(nodes: DataFrame, same: str, key: str = "doc_id", order: str = "node_id") -> DataFrame:
+    """key, run, first, last, n: the stretches of neighbouring rows that agree in a column (gaps and islands)."""
+    w = Window.partitionBy(key).orderBy(order)
+    held = nodes.withColumn("_island", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, same).orderBy(order)))
+    return held.groupBy(key, same, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_island")
 
-    urls = ["href", "src", "action", "formaction", "poster", "cite", "data", "background", "xlink:href"]
-    return F.map_filter(attrs, lambda k, v: ~F.lower(k).startswith("on") & (F.lower(k) != "srcdoc") & (~F.lower(k).isin(urls) | sanitize_url(v).isNotNull()))
+
+def unresolved(uses: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The references whose label their document does not define (left anti join)."""
+    return uses.join(refs.select(key, "label"), [key, "label"], "left_anti")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
+import html
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..kernels import blocks, elements, inline, rows
+from ..kernels import blocks, elements, rows, tags
 from ..kernels.model import Options
 
-NODES = "node_id int, parent_id int, subtree_end int, depth int, ord int, role string, item_no int, row_no int, col_no int, type string, tag string, level int, id string, text string, lang string, info string, target string, target_rejected boolean, title string, alt string, alert string, start int, completed boolean, align array<string>, attrs map<string,string>, raw_open string, content string"
+NODES = "node_id int, parent_id int, subtree_end int, depth int, ord int, role string, item_no int, row_no int, col_no int, type string, tag string, level int, id string, text string, lang string, info string, target string, target_rejected boolean, title string, alt string, alert string, start int, completed boolean, align array<string>, attrs map<string,string>, raw_open string, content string, label string, loose boolean, parts int, typed array<string>"
 REFS = "label string, target string, title string, ord int, is_footnote boolean"
+USES = "ord int, label string, is_image boolean, resolved boolean"
 CELLS = "table_no int, row_no int, col_no int, is_header boolean, align string, text string"
 ELEMENTS = "el_id int, parent_id int, tag string, props map<string,string>, text string"
 TAGS = "ord int, tag string, closing boolean, self_closing boolean, attrs map<string,string>"
@@ -40,7 +40,16 @@ def _exploded(df: DataFrame, key: str, column: str, ddl: str, make: Callable[[st
         if held:
             yield _batch(held, arrow)
 
-    return df.select(key, column).mapInArrow(part, schema)
+    return spread(df.select(key, column)).mapInArrow(part, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a scan would give it to fewer: a small file of many texts is one task, and parsing is what costs."""
+    if df.isStreaming:
+        return df
+    cores, session = df.sparkSession.sparkContext.defaultParallelism, df.sparkSession._jsparkSession.sessionState()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * session.conf().filesMaxPartitionBytes() else df
 
 
 def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -59,6 +68,11 @@ def refs(df: DataFrame, key: str = "doc_id", column: str = "md", options: Option
     return _exploded(df.where(F.col(column).contains("[")), key, column, REFS, lambda t: [(r.label, r.target, r.title, r.ord, r.footnote) for r in blocks.parse(t, options).refs.values()])
 
 
+def uses(df: DataFrame, key: str = "doc_id", column: str = "md", options: Options | None = None) -> DataFrame:
+    """Links and images made by label, in order; those whose label nothing defines are not resolved and stay text."""
+    return _exploded(df.where(F.col(column).contains("[")), key, column, USES, lambda t: [(k, *u) for k, u in enumerate(blocks.parse(t, options).refs.uses)])
+
+
 def table_cells(df: DataFrame, key: str = "doc_id", column: str = "md", options: Options | None = None) -> DataFrame:
     return _exploded(df.where(F.col(column).contains("|")), key, column, CELLS, lambda t: list(rows.cells(blocks.parse(t, options))))
 
@@ -69,16 +83,12 @@ def element_tree(df: DataFrame, target: str, key: str = "doc_id", column: str =
 
 
 def html_tags(df: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
-    """One row for each tag of raw HTML, with its safe attributes."""
-    token = re.compile(rf"{inline.OPEN_TAG}|{inline.CLOSE_TAG}")
-
+    """One row for each tag of raw HTML outside comments and raw elements' content, with its safe attributes."""
     def make(text: str) -> list[tuple]:
         out = []
-        for m in token.finditer(text):
-            raw = m[0]
-            closing = raw.startswith("</")
-            attrs = None if closing else inline.attributes(raw)
-            out.append((len(out), re.match(r"</?([\w:.-]+)", raw)[1].lower(), closing, raw.endswith("/>"), {k: v if isinstance(v, str) else json.dumps(v) for k, v in (attrs or {}).items()} or None))
+        for t in tags.tags(text):
+            attrs = {n: html.unescape(v) if v is not None else "true" for n, v, _ in t.attrs if not tags.dangerous(n, v)} if not t.closing else None
+            out.append((len(out), t.name.lower(), t.closing, t.slash, attrs or None))
         return out
 
     return _exploded(df, key, column, TAGS, make)
