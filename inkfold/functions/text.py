@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..kernels import scalars as S
+from ..kernels.elements import ALIGN_ITEMS, PROPS, VIEWS
 
 _FOLD_FROM = "".join(chr(c) for c in S._FOLD) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ "
 _FOLD_TO = "".join(S._FOLD.values()) + "abcdefghijklmnopqrstuvwxyz-"
@@ -91,3 +92,54 @@ def style_map(style: Column) -> Column:
 
 def renders_as_block(text: Column) -> Column:
     return text.rlike(r"(?s)\n|^ {0,3}(?:#{1,6}[ \t]|>|[-*+][ \t]|\d{1,9}[.)][ \t]|`{3}|~{3}|<|\|)")
+
+
+def is_punctuation(char: Column) -> Column:
+    """Whether a character is Unicode punctuation or a symbol, as delimiter runs see it."""
+    return char.rlike(r"^[\p{P}\p{S}]$")
+
+
+def is_whitespace(char: Column) -> Column:
+    """Whether a character is Unicode white space, as delimiter runs see it."""
+    return char.rlike(r"^[\p{Zs}\t\n\f\r]$")
+
+
+def is_type_1(tag: Column) -> Column:
+    """Whether a tag's block runs up to its closing tag, blank lines or not."""
+    return F.lower(tag).isin("pre", "script", "style", "textarea")
+
+
+def has_type_1_tag(text: Column) -> Column:
+    return text.rlike(r"(?i)</?(pre|script|style|textarea)\b")
+
+
+def reparse_text(text: Column) -> Column:
+    """Raw HTML on one line: no white space between tags, and spaces for line ends."""
+    return F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r">\s+<", "><"), r"\n+", " ")
+
+
+def jsx_props(attrs: Column) -> Column:
+    """A map of HTML attributes by the names they have as props: listed ones in camel case, a:b as aB, others as they are."""
+    named = F.create_map(*[F.lit(x) for pair in PROPS.items() for x in pair])
+    return F.transform_keys(attrs, lambda k, v: F.coalesce(named[F.lower(k)], F.when(k.contains(":"), F.concat(F.substring_index(k, ":", 1), F.upper(F.substr(F.regexp_replace(k, "^[^:]*:", ""), F.lit(1), F.lit(1))), F.regexp_replace(k, "^[^:]*:.?", ""))).otherwise(k)))
+
+
+def native_tag(tag: Column) -> Column:
+    """img is an Image, containers are Views, everything else is Text."""
+    return F.when(F.lower(tag) == "img", F.lit("Image")).when(F.lower(tag).isin(*sorted(VIEWS)), F.lit("View")).otherwise(F.lit("Text"))
+
+
+def align_items(align: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ALIGN_ITEMS.items() for x in pair])[align]
+
+
+def merged_styles(default: Column, own: Column) -> Column:
+    """A style map under one's own: one's own entries win."""
+    return F.map_concat(F.map_filter(default, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def attributes_text(attrs: Column) -> Column:
+    """A map of attributes as they stand in a tag, by name: className is class, "true" is bare, "false" goes."""
+    entries = F.filter(F.array_sort(F.map_entries(attrs)), lambda e: e.value != "false")
+    name = lambda e: F.when(e.key == "className", F.lit("class")).otherwise(e.key)
+    return F.array_join(F.transform(entries, lambda e: F.when(e.value == "true", F.concat(F.lit(" "), name(e))).otherwise(F.concat(F.lit(" "), name(e), F.lit('="'), F.replace(e.value, F.lit('"'), F.lit("&quot;")), F.lit('"')))), "")

@@ -56,6 +56,26 @@ sanitize_and_encode = _text_udf(lambda t: None if S.sanitize_url(t) is None else
 strip_html = _text_udf(lambda t: tags.stripped(t))
 
 
+@F.pandas_udf(T.StructType().add("columns", "integer").add("chars", "integer"))
+def indent(lines: pd.Series) -> pd.DataFrame:
+    """A line's leading white space: columns (tabs to stops of four) and characters."""
+    return pd.DataFrame([(None, None) if t is None else (blocks.indent_of(t), len(t) - len(t.lstrip(" \t"))) for t in lines], columns=["columns", "chars"])
+
+
+@F.pandas_udf(T.StructType().add("lang", "string").add("info", "string").add("text", "string"))
+def parse_code_fenced(texts: pd.Series) -> pd.DataFrame:
+    """The fenced code with which a text begins; nulls where it begins with none."""
+    found = [blocks.code_fenced(t) if t is not None else None for t in texts]
+    return pd.DataFrame([(x.lang, x.info, x.text) if x else (None, None, None) for x in found], columns=["lang", "info", "text"])
+
+
+@F.pandas_udf(T.StructType().add("label", "string").add("target", "string").add("title", "string"))
+def parse_definition(texts: pd.Series) -> pd.DataFrame:
+    """The link reference definition with which a text begins; nulls where it begins with none."""
+    found = [blocks.definition(t) if t is not None else None for t in texts]
+    return pd.DataFrame([(x.label, x.target, x.title) if x else (None, None, None) for x in found], columns=["label", "target", "title"])
+
+
 @F.udtf(returnType="node_id int, parent_id int, subtree_end int, type string, tag string, level int, id string, text string, target string, content string")
 class MdNodes:
     def eval(self, text: str) -> Iterator[tuple]:
@@ -94,7 +114,7 @@ class MdTableCells:
 
 def register(spark: SparkSession) -> None:
     """Names for SQL: SELECT md_to_html(text) ...; SELECT n.* FROM docs, LATERAL md_nodes(text) n."""
-    for f in ("md_to_html", "md_normalize", "md_stream_html", "decode_entities", "decode_numeric", "encode_url", "sanitize_and_encode", "strip_html", "safe_attributes"):
+    for f in ("md_to_html", "md_normalize", "md_stream_html", "decode_entities", "decode_numeric", "encode_url", "sanitize_and_encode", "strip_html", "safe_attributes", "indent", "parse_code_fenced", "parse_definition"):
         spark.udf.register(f, globals()[f])
     for name, f in (("md_nodes", MdNodes), ("md_refs", MdRefs), ("md_uses", MdUses), ("md_table_cells", MdTableCells), ("html_tags", HtmlTags)):
         spark.udtf.register(name, f)

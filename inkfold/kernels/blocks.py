@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 from . import inline as I
@@ -38,6 +40,9 @@ HTML_START = (
     (re.compile(rf" {{0,3}}</?(?:{'|'.join(HTML_BLOCKS)})(?:[\s>]|/>|$)", re.I), None),
     (re.compile(rf" {{0,3}}(?:{I.OPEN_TAG}|{I.CLOSE_TAG})[ \t]*$"), None),
 )
+OPENING = re.compile(rf"\s*({I.OPEN_TAG})")
+NAME = re.compile(r"\s*</?([A-Za-z][\w:.-]*)")
+BLOCKISH = re.compile(r"\s*(?:<|[-*+] |#|>|\d+[.)] |```)")
 ATTR_PAIR = re.compile(r"([\w-]+)=(?:\"([^\"]*)\"|'([^']*)')")
 
 
@@ -94,10 +99,12 @@ class Parser:
     def __init__(self, options: Options | None = None) -> None:
         self.options, self.refs = options or Options(), Refs()
         self.chunk: Chunk | None = None
+        self.closes: dict[tuple[int, str], tuple] = {}
 
     def parse(self, text: str) -> Document:
         text = S.normalize_input(text[1:] if text[:1] == "\ufeff" else text)
         if self.options.streaming:
+            self.refs.update(definitions(text))  # those behind the edge count too
             text = settle(text)
         nodes = self.blocks(text.split("\n"), 0, top=True)
         self.finish(nodes, False)
@@ -373,21 +380,27 @@ class Parser:
             body.append(lines[i])
             i += 1
         text = "\n".join(body)
-        m = re.match(rf"\s*({I.OPEN_TAG})", text)
-        tag = re.match(r"\s*</?([A-Za-z][\w:.-]*)", text)
-        name = tag[1] if tag else ""
+        m = OPENING.match(text)
+        name = NAME.match(text)
+        name = name[1] if name else ""
         if m and name:
             attrs = I.attributes(m[1])
             if m[1].endswith("/>") or name.lower() in S.VOID:
                 if not text[m.end():].strip():
                     out.append(Node("htmlSelfClosing", tag=name, attrs=attrs, raw_open=m[1], text=text))
                     return i
-            close = re.search(rf"</{re.escape(name)}\s*>", text, re.I)
-            inner = text[m.end(): close.start()] if close else None
-            if close and not text[close.end():].strip() and inner is not None and not re.search(rf"<{re.escape(name)}[\s>]", inner, re.I):
+            first = i - len(body)
+            close, blanks = self.own_close(lines, name, first, m.start(1)), False
+            if close and close[1] > len(text):
+                if kind == 5 or name[0].isupper():  # an element goes on over blank lines up to its own end
+                    text, i, blanks = "\n".join(lines[first : close[2] + 1]), close[2] + 1, True
+                else:
+                    close = None
+            if close and not text[close[1]:].strip():
+                inner = text[m.end(): close[0]]
                 node = Node("htmlBlock", tag=name, attrs=attrs, raw_open=m[1], text=inner)
                 if inner.strip():
-                    if name.lower() != "p" and (inner.startswith("\n") and re.match(r"\s*(?:<|[-*+] |#|>|\d+[.)] |```)", inner)):
+                    if name.lower() != "p" and inner.startswith("\n") and (blanks or BLOCKISH.match(inner)):
                         node.children = self.blocks(inner.strip("\n").split("\n"), depth + 1)
                     elif inner.startswith("\n") and "<" not in inner and name.lower() != "p":
                         node.children = [Node("text", text=inner.strip("\n"))]
@@ -398,6 +411,25 @@ class Parser:
         out.append(Node("htmlBlock", tag=name, attrs=I.attributes(m[1]) if m else None, raw_open=m[1] if m else text, text=text, loose=True))
         return i
 
+    def own_close(self, lines: list[str], name: str, first: int, at: int) -> tuple[int, int, int] | None:
+        """Where the closing tag of the element that opens at a place of a line is, from that line's begin, and on which line;
+        nested ones of its name are counted. One pass over the lines finds all elements of a name."""
+        key = (id(lines), name.lower())
+        if key not in self.closes:
+            starts = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
+            opened: list[int] = []
+            found: dict[int, tuple[int, int]] = {}
+            for t in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^<>]*>", re.I).finditer("\n".join(lines)):
+                if not t[1]:
+                    if not t[0].endswith("/>"):
+                        opened.append(t.start())
+                elif opened:
+                    found[opened.pop()] = t.span()
+            self.closes[key] = (lines, starts, found)
+        _, starts, found = self.closes[key]
+        close = found.get(starts[first] + at)
+        return (close[0] - starts[first], close[1] - starts[first], bisect.bisect_right(starts, close[1] - 1) - 1) if close else None
+
     def delimiter(self, line: str) -> list[str | None] | None:
         if "-" not in line or indent_of(line) >= 4 or not re.fullmatch(r"[\s|:-]+", line) or not ("|" in line or ":" in line or line.strip()):
             return None
@@ -566,6 +598,28 @@ def cells(line: str) -> list[str]:
     return out
 
 
+def definitions(text: str) -> dict[str, Ref]:
+    """The definitions of a text alone, by label."""
+    found = Parser()
+    found.blocks(S.normalize_input(text).split("\n"), 0, top=True)
+    return found.refs
+
+
+def code_fenced(text: str) -> Node | None:
+    """The fenced code with which a text begins, if it begins with one."""
+    lines = S.normalize_input(text).split("\n")
+    out: list[Node] = []
+    if m := FENCE.match(lines[0]):
+        Parser().fence(lines, 0, m, out)
+    return out[0] if out else None
+
+
+def definition(text: str) -> Ref | None:
+    """The link reference definition with which a text begins, if it begins with one."""
+    found = Parser()
+    return next(iter(found.refs.values())) if found.definition(S.normalize_input(text).split("\n"), 0) else None
+
+
 @deep
 def parse(text: str | None, options: Options | None = None) -> Document:
     return Parser(options).parse(text or "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Mapping
 from typing import Any
 
 from . import inline as I
@@ -37,13 +39,34 @@ def prop_name(name: str) -> str:
     return before + after[:1].upper() + after[1:] if colon else name
 
 
+ALIGN_ITEMS = {"center": "center", "right": "flex-end", "left": "flex-start"}
+
+
+def native_tag(tag: str) -> str:
+    """img is an Image, containers are Views, everything else is Text."""
+    low = tag.lower()
+    return "Image" if low == "img" else "View" if low in VIEWS else "Text"
+
+
+def inline_safe(x: Node) -> bool:
+    """Whether a node may stand in a native text: it and all in it are text."""
+    match x.type:
+        case "breakLine" | "codeInline" | "footnoteReference" | "htmlComment" | "text":
+            return True
+        case "link" | "textFormatted":
+            return all(map(inline_safe, x.children))
+        case "htmlSelfClosing" | "htmlBlock":
+            return native_tag(x.tag or "") == "Text" and all(map(inline_safe, x.children))
+    return False
+
+
 class Tree:
     """Rows (el_id, parent_id, tag, props, text) in page order; text rows have no tag."""
 
-    def __init__(self, doc: Document, options: Options, target: str) -> None:
+    def __init__(self, doc: Document, options: Options, target: str, overrides: Mapping[str, Any] | None = None) -> None:
         if target not in TARGETS:
             raise ValueError(f"target is one of {', '.join(TARGETS)}")
-        self.doc, self.options, self.target = doc, options, target
+        self.doc, self.options, self.target, self.overrides = doc, options, target, overrides or {}
         self.rows: list[tuple[int, int | None, str | None, dict[str, str], str | None]] = []
 
     def add(self, parent: int | None, tag: str | None, props: dict[str, Any] | None = None, text: str | None = None) -> int:
@@ -51,8 +74,12 @@ class Tree:
             k, p, _, _, before = self.rows[-1]
             self.rows[-1] = (k, p, None, {}, (before or "") + text)
             return k
-        if tag and self.target == "native":
-            tag = "Image" if tag == "img" else "View" if tag in VIEWS else "Text"
+        over = self.overrides.get(tag) if tag else None
+        if over:  # a name, or a name (or null) and props that the element's own win over
+            new, more = (over, {}) if isinstance(over, str) else (over[0] or tag, over[1] or {})
+            tag, props = new, {**more, **(props or {})}
+        elif tag and self.target == "native":
+            tag = native_tag(tag)
         named = {}
         for k, v in (props or {}).items():
             if v is not None and v is not False:
@@ -66,10 +93,19 @@ class Tree:
             self.one(x, parent)
 
     def holder(self, tag: str, nodes: list[Node], parent: int | None, props: dict[str, Any] | None = None) -> int:
+        if self.target == "native" and (tag in VIEWS or not all(map(inline_safe, nodes))):
+            at = self.add(parent, tag if tag in VIEWS else "div", props)  # a text can't hold a view
+            self.grouped(nodes, at)
+            return at
         at = self.add(parent, tag, props)
         self.all(nodes, at)
         return at
 
+    def grouped(self, nodes: list[Node], parent: int | None) -> None:
+        """A native view's children: each stretch of inline ones in a text of its own, since a view holds no bare strings."""
+        for inline, stretch in itertools.groupby(nodes, inline_safe):
+            self.all(list(stretch), self.add(parent, "span") if inline else parent)
+
     def one(self, x: Node, parent: int | None) -> None:
         native = self.target == "native"
         match x.type:
@@ -80,7 +116,10 @@ class Tree:
             case "heading":
                 self.holder(f"h{x.level}", x.children, parent, {"id": x.id or None})
             case "breakLine":
-                self.add(parent, "br")
+                if native:
+                    self.add(parent, None, text="\n")
+                else:
+                    self.add(parent, "br")
             case "breakThematic":
                 self.add(parent, "hr")
             case "blockQuote":
@@ -88,7 +127,10 @@ class Tree:
                 at = self.add(parent, "blockquote", {"class": f"markdown-alert-{self.options.slug(x.alert)}"} if alert else None)
                 if alert:
                     self.add(self.add(at, "header"), None, text=x.alert)
-                self.all(x.children, at)
+                if native:
+                    self.grouped(x.children, at)
+                else:
+                    self.all(x.children, at)
             case "codeBlock":
                 props = dict(x.attrs or {})
                 if x.lang:
@@ -110,7 +152,9 @@ class Tree:
                 self.add(self.add(self.add(parent, "a", {"href": x.target}), "sup"), None, text=text)
             case "gfmTask":
                 if native:
-                    self.add(self.add(parent, "span"), None, text="[x]" if x.completed else "[ ]")
+                    box = self.add(parent, "input")
+                    if x.completed:
+                        self.add(self.add(box, "span"), None, text="✓")
                 else:
                     self.add(parent, "input", {"checked": x.completed, "readOnly" if self.target == "react" else "readonly": True, "type": "checkbox"})
             case "orderedList" | "unorderedList":
@@ -120,7 +164,7 @@ class Tree:
             case "table":
                 at = self.add(parent, "table")
                 head = self.add(self.add(at, "thead"), "tr")
-                style = [{"style": {"textAlign": a}} if a else None for a in x.align]
+                style = [{"style": {"alignItems": ALIGN_ITEMS[a]} if native else {"textAlign": a}} if a else None for a in x.align]
                 for cell, s in zip(x.header, style, strict=True):
                     self.holder("th", cell, head, s)
                 body = self.add(at, "tbody") if x.rows else None
@@ -153,6 +197,6 @@ class Tree:
 
 
 @deep
-def to_elements(text: str | None, options: Options | None = None, target: str = "react") -> list[tuple]:
+def to_elements(text: str | None, options: Options | None = None, target: str = "react", overrides: Mapping[str, Any] | None = None) -> list[tuple]:
     options = options or Options()
-    return [] if text is None else Tree(parse(text, options), options, target).document()
+    return [] if text is None else Tree(parse(text, options), options, target, overrides).document()

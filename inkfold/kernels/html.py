@@ -9,7 +9,7 @@ from typing import Any
 
 from . import inline as I
 from . import scalars as S
-from .blocks import parse
+from .blocks import definitions, parse
 from .model import Document, Node, Options, Refs, deep, truth
 
 
@@ -192,11 +192,12 @@ def to_html(text: str | None, options: Options | None = None, **given: Any) -> s
         return None
     options = options or Options.of(given)
     if truth(given.get("force_inline")):
-        nodes, refs = [Node("paragraph", children=inline_parse(text, options))], Refs()
-        return rendered(Document(nodes, refs), given, options)
+        refs = Refs()
+        refs.update(definitions(text))
+        return rendered(Document([Node("paragraph", children=inline_parse(text, options, refs))], refs), given, options)
     return rendered(parse(text, options), given, options)
 
 
-def inline_parse(text: str, options: Options) -> list[Node]:
+def inline_parse(text: str, options: Options, refs: Refs) -> list[Node]:
     """A text's inline content, whatever blocks its lines would make."""
-    return I.parse(" ".join(S.normalize_input(text).split("\n")).strip(), Refs(), options)
+    return I.parse(" ".join(S.normalize_input(text).split("\n")).strip(), refs, options)

@@ -166,6 +166,9 @@ class Inline:
                 continue
             elif c in "~=" and s.startswith(c * 2, k):
                 found, end = self.pair(k, c)
+                if not found and self.options.streaming:
+                    k += 2
+                    continue
             elif c == "!" and s.startswith("![", k):
                 found, end = self.link(k + 1, True)
             elif c == "[":
@@ -465,7 +468,8 @@ class Inline:
                 for m in marks[o + 1 : c]:
                     m.active = False
             c += 1
-        left = {m.at: m.char * m.count for m in marks}
+        arriving = self.options.streaming  # what could still be matched is not shown as marks
+        left = {m.at: "" if arriving and (m.opens or m.closes) else m.char * m.count for m in marks}
         opened: dict[int, list] = {}
         closed: dict[int, int] = {}
         for a, b, tag in spans:

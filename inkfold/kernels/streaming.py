@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-_MARKS = ("**", "__", "~~", "*", "_")
-
-
 def _fence_open(text: str) -> bool:
     open_mark = None
     for line in text.split("\n"):
@@ -57,13 +54,4 @@ def _spans(text: str) -> str:
     link = re.search(r"\[([^\]\n]*)(?:\](?:\([^)\n]*)?)?\Z", text)
     if link and not re.search(r"\]\Z", link[0]):
         text = text[: link.start()] + link[1]
-    bare = re.sub(r"`[^`]*`", lambda m: " " * len(m[0]), text)
-    for mark in _MARKS:
-        found = [m.start() for m in re.finditer(re.escape(mark) if len(mark) == 2 else rf"(?<!{re.escape(mark)}){re.escape(mark)}(?!{re.escape(mark)})", bare)]
-        found = [k for k in found if k == 0 or bare[k - 1] != "\\"]
-        if mark in ("*", "_"):
-            found = [k for k in found if not (re.match(r"\s*\Z", bare[:k].rsplit("\n", 1)[-1]) and bare[k + 1 : k + 2] == " ") and not (mark == "_" and k and bare[k - 1].isalnum() and bare[k + 1 : k + 2].isalnum())]
-        if len(found) % 2:
-            text = text[: found[-1]] + text[found[-1] + len(mark) :]
-            bare = bare[: found[-1]] + bare[found[-1] + len(mark) :]
     return text

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ TAGS = "ord int, tag string, closing boolean, self_closing boolean, attrs map<st
 
 def _exploded(df: DataFrame, key: str, column: str, ddl: str, make: Callable[[str], list[tuple]]) -> DataFrame:
     """key and a row for each tuple that make gives for the text. Rows leave in small batches, so memory holds one document's."""
+    if df.schema[column].dataType.simpleString() != "string":
+        raise TypeError(f"{column} is {df.schema[column].dataType.simpleString()}; texts are strings")
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(ddl).fields])
     arrow = to_arrow_schema(schema)
     arrow = arrow if isinstance(arrow, pa.Schema) else pa.schema(arrow)
@@ -77,9 +80,11 @@ def table_cells(df: DataFrame, key: str = "doc_id", column: str = "md", options:
     return _exploded(df.where(F.col(column).contains("|")), key, column, CELLS, lambda t: list(rows.cells(blocks.parse(t, options))))
 
 
-def element_tree(df: DataFrame, target: str, key: str = "doc_id", column: str = "md", options: Options | None = None) -> DataFrame:
-    """Rows of the element tree for react, native, solid or vue."""
-    return _exploded(df, key, column, ELEMENTS, lambda t: elements.to_elements(t, options, target))
+def element_tree(df: DataFrame, target: str, key: str = "doc_id", column: str = "md", options: Options | None = None, overrides: Mapping[str, Any] | None = None) -> DataFrame:
+    """Rows of the element tree for react, native, solid or vue; overrides name other tags, or (tag, props), by tag."""
+    if target not in elements.TARGETS:
+        raise ValueError(f"target is one of {', '.join(elements.TARGETS)}")
+    return _exploded(df, key, column, ELEMENTS, lambda t: elements.to_elements(t, options, target, overrides))
 
 
 def html_tags(df: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:

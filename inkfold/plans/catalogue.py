@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..functions import udfs
 from ..operators import analysis, parse
 from ..operators import compile as compile_
+from ..streaming import windows
 from ..streaming.prefixes import prefixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,12 +264,19 @@ for _name, _target, _readonly in (("react_elements", "react", "readOnly"), ("sol
     _elements(_name, _target, "h2", _TAGS.format(task="'input', NULL,"), _PROPS.format(task=f"'checked=true {_readonly}=true type=checkbox', '',", align='style={"textAlign": "center"}'), _TEXT.format(task="NULL, ' ' || n_nationkey,"))
 _elements(
     "native_elements", "native", "h2",
-    "'View', 'Text', NULL, 'Text', NULL, 'Text', NULL, NULL, 'Text', NULL, 'View', 'View', 'Text', NULL, NULL, 'View', 'View', 'View', 'View', NULL, 'View', 'View', 'View', NULL, 'Text', 'Image'",
-    _PROPS.format(task="'', '', '',", align='style={"textAlign": "center"}'),
-    _TEXT.format(task="NULL, '[x]', ' ' || n_nationkey,"),
+    "'View', 'Text', NULL, 'Text', NULL, 'Text', NULL, NULL, 'Text', NULL, 'View', 'View', 'View', 'Text', NULL, 'Text', NULL, 'View', 'View', 'View', 'View', 'Text', NULL, 'View', 'View', 'View', 'Text', NULL, 'View', 'Image'",
+    "'', 'id=' || slug, '', '', '', '', '', '', 'href=/' || n_nationkey || ' title=t', '', '', '', '', '', '', '', '', '', '', '', 'style={\"alignItems\": \"center\"}', '', '', '', '', 'style={\"alignItems\": \"center\"}', '', '', '', 'alt=i src=/i' || n_nationkey",
+    "NULL, NULL, n_name, NULL, 'in ', NULL, n_regionkey::VARCHAR, ' ', NULL, 'x', NULL, NULL, NULL, NULL, '✓', NULL, ' ' || n_nationkey, NULL, NULL, NULL, NULL, NULL, 'a', NULL, NULL, NULL, NULL, n_regionkey::VARCHAR, NULL, NULL",
 )
 
 
+@query("SELECT n_nationkey AS doc_id, 'Box' AS tag, 'className=k id=' || lower(replace(n_name, '_', '')) AS props FROM nation")
+def element_overrides(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", r"concat('## ', n_name, '\n\nb')")
+    found = parse.element_tree(docs, "react", overrides={"h2": ("Box", {"class": "k"})}).where("tag = 'Box'")
+    return found.select("doc_id", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e.key, F.lit("="), e.value))), " ").alias("props"))
+
+
 @query("""SELECT conv_id, turn, '<div>' || string_agg('<p><strong>' || role || '</strong> turn ' || turn || '</p>', '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) || '<p>next open</p></div>' AS html FROM conversations""")
 def stream_prefix(spark, d):
     pieces = table(spark, d, "conversations").select("conv_id", "turn", F.expr(r"concat('**', role, '** turn ', turn, '\n\n')").alias("piece"))
@@ -744,3 +752,72 @@ def table_function(spark, d):
 def stored_nodes(spark, d):
     docs = md(table(spark, d, "customer"), "c_custkey", "concat('# ', c_name)")
     return parse.nodes(docs).agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "heading").alias("headings"))
+
+
+# ---- more scalars
+
+
+@query("SELECT p_partkey, [true, true, false, false] AS punctuation, [false, false, false, true] AS whitespace, p_size % 2 = 0 AS type_1, p_size % 2 = 0 AS has_type_1 FROM part")
+def character_classes(spark, d):
+    chars = F.array(*[F.lit(c) for c in ("!", "€", "a", "\u00a0")])
+    tag = F.expr("if(p_size % 2 = 0, 'PRE', 'div')")
+    return table(spark, d, "part").select(
+        "p_partkey", F.transform(chars, X.is_punctuation).alias("punctuation"), F.transform(chars, X.is_whitespace).alias("whitespace"), X.is_type_1(tag).alias("type_1"), X.has_type_1_tag(F.concat(F.lit("a <"), tag, F.lit(">"))).alias("has_type_1"))
+
+
+@query("SELECT p_partkey, map_from_entries([('className', p_brand), ('xmlLang', 'en'), ('tabIndex', '1'), ('data-k', 'v')]) AS props FROM part")
+def jsx_props(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.jsx_props(F.expr("map('CLASS', p_brand, 'xml:lang', 'en', 'tabindex', '1', 'data-k', 'v')")).alias("props"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Image' WHEN 1 THEN 'View' ELSE 'Text' END AS native, CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'flex-end' END AS items, map_from_entries([('a', '1'), ('b', p_brand)]) AS style FROM part")
+def native_scalars(spark, d):
+    return table(spark, d, "part").select(
+        "p_partkey", X.native_tag(F.expr("element_at(array('IMG', 'td', 'em'), p_size % 3 + 1)")).alias("native"), X.align_items(F.expr("element_at(array('center', 'right', 'none'), p_size % 3 + 1)")).alias("items"),
+        X.merged_styles(F.expr("map('a', '1', 'b', '2')"), F.expr("map('b', p_brand)")).alias("style"))
+
+
+@query("""SELECT p_partkey, ' class="' || p_brand || '" disabled title="a &quot;b&quot;"' AS attrs FROM part""")
+def attributes_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.attributes_text(F.expr("""map('className', p_brand, 'disabled', 'true', 'hidden', 'false', 'title', 'a "b"')""")).alias("attrs"))
+
+
+@query("SELECT p_partkey, '<b>' || p_brand || '</b><i>x y</i>' AS text FROM part")
+def reparse_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.reparse_text(F.expr(r"concat(' <b>', p_brand, '</b>\n  <i>x\ny</i>\n')")).alias("text"))
+
+
+@query("SELECT p_partkey, 4 + p_size % 4 AS columns, 2 + p_size % 4 AS chars FROM part")
+def indents(spark, d):
+    found = table(spark, d, "part").select("p_partkey", udfs.indent(F.expr(r"concat(' \t', repeat(' ', p_size % 4), 'x \t')")).alias("i"))
+    return found.select("p_partkey", "i.columns", "i.chars")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'sql' END AS lang, CASE WHEN p_size % 2 = 0 THEN 'sql k' END AS info, CASE WHEN p_size % 2 = 0 THEN p_name END AS text FROM part")
+def fenced_heads(spark, d):
+    found = table(spark, d, "part").select("p_partkey", udfs.parse_code_fenced(F.expr(r"concat(if(p_size % 2 = 0, '~~~ sql k\n', 'x\n'), p_name, '\n~~~\nrest')")).alias("c"))
+    return found.select("p_partkey", "c.lang", "c.info", "c.text")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'k' END AS label, CASE WHEN p_size % 2 = 0 THEN '/' || p_size END AS target, CASE WHEN p_size % 2 = 0 THEN p_name END AS title FROM part")
+def definition_heads(spark, d):
+    found = table(spark, d, "part").select("p_partkey", udfs.parse_definition(F.expr(r"""concat(if(p_size % 2 = 0, '[K]: /', '[K] /'), p_size, ' "', p_name, '"\nrest')""")).alias("c"))
+    return found.select("p_partkey", "c.label", "c.target", "c.title")
+
+
+@query("SELECT c_custkey AS doc_id, '<p><a href=\"/' || c_custkey || '\">a</a> b</p>' AS html FROM customer")
+def stream_definitions(spark, d):
+    """A definition behind the edge of an unfinished paragraph already counts."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.md_stream_html(F.expr(r"concat('[k]: /', c_custkey, '\n\n[a][k] **b')")).alias("html"))
+
+
+@query("SELECT date_trunc('hour', ts) AS begin, 'codeInline' AS type, count(*) AS n FROM events GROUP BY ALL")
+def node_windows(spark, d):
+    return windows.node_counts(table(spark, d, "events").select("ts", F.expr("concat('`', event_type, '`')").alias("md")), "md", "ts", kinds=["codeInline"])
+
+
+@query("""SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
+def text_sessions(spark, d):
+    return windows.sessions(table(spark, d, "events"), "user_id", "ts")
