@@ -14,6 +14,8 @@ from .streaming import settle
 #: Block elements that start an HTML block, from the public CommonMark specification.
 HTML_BLOCKS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split()
 MAX_DEPTH = 500
+#: Nodes that may hold headings.
+CONTAINERS = {"blockQuote", "orderedList", "unorderedList", "htmlBlock"}
 
 THEMATIC = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$", re.S)
@@ -528,8 +530,12 @@ class Parser:
                 x.raw = None
             elif x.children:
                 self.finish(x.children, in_anchor)
-            for part in [*(x.items or ()), *(x.header or ()), *(c for row in x.rows or () for c in row)]:
-                self.finish(part, in_anchor)
+            if x.items is not None:
+                for part in x.items:
+                    self.finish(part, in_anchor)
+            elif x.header is not None:
+                for part in itertools.chain(x.header, *x.rows):
+                    self.finish(part, in_anchor)
             k += 1
 
     def heading_ids(self, nodes: list[Node], taken: dict[str, int]) -> None:
@@ -547,9 +553,10 @@ class Parser:
                         taken[x.id] = 1
                     else:
                         taken[base] = 1
-            self.heading_ids(x.children, taken)
-            for item in x.items or ():
-                self.heading_ids(item, taken)
+            elif x.type in CONTAINERS:
+                self.heading_ids(x.children, taken)
+                for item in x.items or ():
+                    self.heading_ids(item, taken)
 
 
 def indent_of_rest(rest: str, col: int) -> int:

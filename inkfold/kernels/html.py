@@ -26,11 +26,13 @@ class Compiler:
         return new, attrs_text({**props, **(attrs or {})})
 
     def wrap(self, name: str, inner: str, attrs: dict[str, Any] | None = None) -> str:
+        if not self.overrides:
+            return f"<{name}{attrs_text(attrs)}>{inner}</{name}>" if attrs else f"<{name}>{inner}</{name}>"
         new, text = self.tag(name, attrs)
         return f"<{new}{text}>{inner}</{new}>"
 
     def all(self, nodes: list[Node]) -> str:
-        return "".join(self.one(x) for x in nodes)
+        return "".join(map(self.plain if self.rule is None else self.one, nodes))
 
     def one(self, x: Node) -> str:
         if self.rule and (own := self.rule(x, self.plain)) is not None:
@@ -38,6 +40,8 @@ class Compiler:
         return self.plain(x)
 
     def plain(self, x: Node) -> str:
+        if x.type == "text":
+            return S.escape_html(x.text or "")
         return getattr(self, "_" + x.type)(x)
 
     def _text(self, x: Node) -> str:
@@ -175,7 +179,9 @@ def attrs_text(attrs: dict[str, Any]) -> str:
 def rendered(doc: Document, given: Mapping[str, Any] | None = None, options: Options | None = None) -> str:
     """A document's HTML by options of both kinds: those of the parser (Options), and wrapper, wrapper_props, force_wrapper, force_inline,
     overrides, rule and preserve_frontmatter. Overrides and props may be JSON, as SQL gives them."""
-    given = {k: truth(v) for k, v in (given or {}).items()}
+    if not given:
+        return Compiler(doc, options or Options()).document()
+    given = {k: truth(v) for k, v in given.items()}
     for k in ("overrides", "wrapper_props"):
         if isinstance(given.get(k), str):
             given[k] = json.loads(given[k])

@@ -28,7 +28,8 @@ FOOTNOTE_REF = re.compile(r"\[\^([^\]\s\[]+)\]")
 DEST = re.compile(r"<((?:\\.|[^<>\\\n])*)>")
 TITLE = re.compile(r"(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))", re.S)
 LABEL = re.compile(r"\[((?:\\.|[^\[\]\\]){0,999})\]", re.S)
-PLAIN = re.compile(r"[^\\`*_~=\[\]!<&\nhwf@]+")
+PLAIN = re.compile(r"[^\\`*_~=\[\]!<&\n]+")
+URL_START = re.compile(r"https?://|ftp://|www\.")
 MAX_DEPTH = 200
 
 
@@ -99,26 +100,26 @@ class Inline:
         self.brackets: dict[int, int] | None = None
         self.closers: dict[int, tuple[int, int]] | None = None
 
-    def node(self, kind: str, **what: Any) -> Node:
-        return Node(kind, **what)
-
     def sub(self, text: str, in_anchor: bool | None = None) -> list:
         return Inline(text, self.refs, self.options, self.in_anchor if in_anchor is None else in_anchor, self.depth + 1).run()
 
     def run(self) -> list:
         s, n, k = self.s, len(self.s), 0
         if self.depth > MAX_DEPTH:
-            return [self.node("text", text=s)] if s else []
+            return [Node("text", text=s)] if s else []
         out: list = []
         buf: list[str] = []
         marks: list[_Delimiter] = []
-        mails = self.mails() if "@" in s and not self.in_anchor and not self.options.disable_auto_link else []
+        linking = not self.in_anchor and not self.options.disable_auto_link
+        mails = self.mails() if linking and "@" in s else []
+        urls = [m.start() for m in URL_START.finditer(s)] if linking and ("://" in s or "www." in s) else []
         mails.append((n + 1, 0, ""))
-        mail = 0
+        urls.append(n + 1)
+        mail = url = 0
 
         def flush() -> None:
             if buf:
-                out.append(self.node("text", text="".join(buf)))
+                out.append(Node("text", text="".join(buf)))
                 buf.clear()
 
         while k < n:
@@ -127,9 +128,19 @@ class Inline:
             if mails[mail][0] == k:
                 _, k, address = mails[mail]
                 flush()
-                out.append(self.node("link", children=[self.node("text", text=address)], target="mailto:" + address))
+                out.append(Node("link", children=[Node("text", text=address)], target="mailto:" + address))
                 continue
-            m = PLAIN.match(s, k, mails[mail][0])
+            while urls[url] < k:
+                url += 1
+            if urls[url] == k:
+                url += 1
+                found, end = self.bare(k)
+                if found:
+                    flush()
+                    out.append(found)
+                    k = end
+                    continue
+            m = PLAIN.match(s, k, min(urls[url], mails[mail][0]))
             if m:
                 buf.append(m[0])
                 k = m.end()
@@ -138,7 +149,7 @@ class Inline:
             found, end = None, 0
             if c == "\\":
                 if k + 1 < n and s[k + 1] == "\n":
-                    found, end = self.node("breakLine"), k + 2
+                    found, end = Node("breakLine"), k + 2
                     while end < n and s[end] in " \t":
                         end += 1
                 elif k + 1 < n and s[k + 1] in S.PUNCT:
@@ -161,7 +172,7 @@ class Inline:
                 closes = right and (c == "*" or not left or _punct(after))
                 flush()
                 marks.append(_Delimiter(len(out), c, len(m[0]), opens, closes))
-                out.append(self.node("text", text=m[0]))
+                out.append(Node("text", text=m[0]))
                 k = m.end()
                 continue
             elif c in "~=" and s.startswith(c * 2, k):
@@ -174,7 +185,7 @@ class Inline:
             elif c == "[":
                 m = FOOTNOTE_REF.match(s, k)
                 if m:
-                    found, end = self.node("footnoteReference", text=m[1], target="#" + self.options.slug(m[1])), m.end()
+                    found, end = Node("footnoteReference", text=m[1], target="#" + self.options.slug(m[1])), m.end()
                 else:
                     found, end = self.link(k, False)
             elif c == "<":
@@ -195,12 +206,10 @@ class Inline:
                     k += 1
                 if hard:
                     flush()
-                    out.append(self.node("breakLine"))
+                    out.append(Node("breakLine"))
                 else:
                     buf.append("\n")
                 continue
-            elif c in "hwf" and not self.options.disable_auto_link and not self.in_anchor:
-                found, end = self.bare(k)
             if found:
                 if buf == [""]:
                     buf.clear()
@@ -225,7 +234,7 @@ class Inline:
         text = self.s[m.end() : end - run].replace("\n", " ")
         if len(text) > 1 and text[0] == text[-1] == " " and text.strip(" "):
             text = text[1:-1]
-        return self.node("codeInline", text=text), end
+        return Node("codeInline", text=text), end
 
     def pair(self, k: int, c: str):
         """~~struck~~ or ==marked== text."""
@@ -240,7 +249,7 @@ class Inline:
                 inner = s[k + 2 : at]
                 if c == "=" and not inner:
                     return None, 0
-                return self.node("textFormatted", tag="del" if c == "~" else "mark", children=self.sub(inner)), at + 2
+                return Node("textFormatted", tag="del" if c == "~" else "mark", children=self.sub(inner)), at + 2
             else:
                 at += 1
         return None, 0
@@ -302,12 +311,12 @@ class Inline:
             target, title = ref.target, ref.title
         if image:
             clean = self.options.clean(target, "img", "src")
-            return self.node("image", alt=flatten(self.sub(text)), target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
+            return Node("image", alt=flatten(self.sub(text)), target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
         children = self.sub(text, True) if "[" not in text else self.sub(text)
         if _has_link(children):
             return None, 0
         clean = self.options.clean(target, "a", "href")
-        return self.node("link", children=children, target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
+        return Node("link", children=children, target=target if clean is not None else None, rejected=clean is None, title=title, label=label), end
 
     def destination(self, at: int) -> tuple[str | None, str | None, int]:
         """(target, title, end) of an inline destination that begins with a parenthesis, end 0 if it is none."""
@@ -351,31 +360,31 @@ class Inline:
         s = self.s
         if m := AUTOLINK.match(s, k):
             clean = self.options.clean(m[1], "a", "href")
-            return self.node("link", children=[self.node("text", text=m[1])], target=m[1] if clean is not None else None, rejected=clean is None), m.end()
+            return Node("link", children=[Node("text", text=m[1])], target=m[1] if clean is not None else None, rejected=clean is None), m.end()
         if m := AUTOMAIL.match(s, k):
-            return self.node("link", children=[self.node("text", text=m[1])], target="mailto:" + m[1]), m.end()
+            return Node("link", children=[Node("text", text=m[1])], target="mailto:" + m[1]), m.end()
         if self.options.disable_raw_html:
             return None, 0
         if m := _OTHER.match(s, k):
-            return self.node("htmlComment", text=m[0]), m.end()
+            return Node("htmlComment", text=m[0]), m.end()
         if m := _CLOSE.match(s, k):
-            return self.node("htmlSelfClosing", tag=re.match(r"</([\w:.-]+)", m[0])[1], raw_open=m[0], text=m[0], completed=True), m.end()
+            return Node("htmlSelfClosing", tag=re.match(r"</([\w:.-]+)", m[0])[1], raw_open=m[0], text=m[0], completed=True), m.end()
         m = _OPEN.match(s, k)
         if not m:
             return None, 0
         tag = re.match(r"<([A-Za-z][\w:.-]*)", m[0])[1]
         attrs = attributes(m[0])
         if m[0].endswith("/>") or S.is_void(tag):
-            return self.node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0]), m.end()
+            return Node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0]), m.end()
         if k in self.tag_ends():
             close, end = self.tag_ends()[k]
             if close >= m.end():
                 inner = s[m.end() : close]
-                node = self.node("htmlBlock", tag=tag, attrs=attrs, raw_open=m[0], text=inner)
+                node = Node("htmlBlock", tag=tag, attrs=attrs, raw_open=m[0], text=inner)
                 if tag.lower() not in ("pre", "script", "style", "textarea"):
                     node.children = self.sub(inner, self.in_anchor or tag.lower() == "a")
                 return node, end
-        return self.node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0], completed=True), m.end()
+        return Node("htmlSelfClosing", tag=tag, attrs=attrs, raw_open=m[0], text=m[0], completed=True), m.end()
 
     def tag_ends(self) -> dict[int, tuple[int, int]]:
         """Where the closing tag of each opening one begins and ends, nested ones of a name counted; one pass for all."""
@@ -416,7 +425,7 @@ class Inline:
             return None, 0
         target = ("http://" if www else "") + url
         clean = self.options.clean(target, "a", "href")
-        return self.node("link", children=[self.node("text", text=url)], target=target if clean is not None else None, rejected=clean is None), k + len(url)
+        return Node("link", children=[Node("text", text=url)], target=target if clean is not None else None, rejected=clean is None), k + len(url)
 
     def mails(self) -> list[tuple[int, int, str]]:
         """(start, end, address) of the bare addresses, in order. Underscores before the first other character are not theirs."""
@@ -489,8 +498,8 @@ class Inline:
             if k in left:
                 for _ in range(closed.get(k, 0)):
                     inner = stack.pop()
-                    put(self.node("textFormatted", tag=tags.pop(), children=inner))
-                put(self.node("text", text=left[k]))
+                    put(Node("textFormatted", tag=tags.pop(), children=inner))
+                put(Node("text", text=left[k]))
                 for tag in reversed(opened.get(k, [])):
                     stack.append([])
                     tags.append(tag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass
 from typing import Any
 
 from . import scalars as S
@@ -50,8 +50,7 @@ class Options:
     @classmethod
     def of(cls, given: Mapping[str, Any] | None) -> Options:
         """Options from names and values, as SQL gives them: strings "true" and "false" are booleans; other names are left to the compilers."""
-        names = {f.name for f in fields(cls)}
-        return cls(**{k: truth(v) for k, v in (given or {}).items() if k in names})
+        return cls(**{k: truth(v) for k, v in given.items() if k in cls.__dataclass_fields__}) if given else cls()
 
     def clean(self, url: str, tag: str, attr: str) -> str | None:
         return self.sanitizer(url, tag, attr) if self.sanitizer else S.sanitize_url(url)
@@ -60,10 +59,9 @@ class Options:
         return self.slugify(text, S.slugify) if self.slugify else S.slugify(text)
 
 
-@dataclass
 class Node:
-    type: str
-    children: list[Node] = field(default_factory=list)
+    """A syntax node: its type, and of the fields below those that its type has."""
+
     items: list[list[Node]] | None = None
     header: list[list[Node]] | None = None
     rows: list[list[list[Node]]] | None = None
@@ -87,6 +85,11 @@ class Node:
     loose: bool | None = None
     label: str | None = None
 
+    def __init__(self, type: str, children: list[Node] | None = None, **has: Any) -> None:
+        self.type, self.children = type, [] if children is None else children
+        if has:
+            self.__dict__.update(has)
+
 
 class Refs(dict):
     """Definitions by label, and the references made by label: (label, image, resolved)."""

@@ -12,6 +12,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 TAGFILTER = ("title", "textarea", "style", "xmp", "iframe", "noembed", "noframes", "script", "plaintext")
 #: Letters that a slug folds (fixed values).
 _FOLD = {ord(c): d for letters, d in (("ÀÁÂÃÄÅàáâãäåÆæ", "a"), ("Çç", "c"), ("Ðð", "d"), ("ÈÉÊËéèêë", "e"), ("ÏÎÍÌïîíì", "i"), ("Ññ", "n"), ("øØœŒõÕóÓòÒÔÖôö", "o"), ("ÜÛÚÙüûúù", "u"), ("ŸÿÝý", "y")) for c in letters}
+_SLUG = _FOLD | {k: chr(k + 32) for k in range(65, 91)} | {32: "-"}
+_NOT_SLUG = re.compile(r"[^a-z0-9-]")
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BAD_SCHEME = re.compile(r"(javascript|vbscript|data(?!:image)):", re.I)
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -28,7 +30,7 @@ def normalize_input(text: str) -> str:
 
 
 def slugify(text: str) -> str:
-    return re.sub(r"[^a-z0-9-]", "", "".join(c.lower() if "A" <= c <= "Z" else c for c in text.translate(_FOLD)).replace(" ", "-"))
+    return _NOT_SLUG.sub("", text.translate(_SLUG))
 
 
 def _char(code: int) -> str:
@@ -94,7 +96,12 @@ def encode_url(url: str) -> str:
     return "".join(out)
 
 
+_ESCAPABLE = re.compile('[&<>"]')
+
+
 def escape_html(text: str) -> str:
+    if not _ESCAPABLE.search(text):
+        return text
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
