@@ -30,31 +30,36 @@ def word_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or b"").lower().split())
 
 
+def lowest(grams: np.ndarray, window: int, chunk: int = 16_384) -> np.ndarray:
+    """The position of the lowest (leftmost of equals) of each window; so many windows at once, since each is copied out."""
+    n = len(grams) - window + 1
+    view = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.concatenate([view[k : k + chunk].argmin(1) + np.arange(k, min(n, k + chunk)) for k in range(0, n, chunk)])
+
+
 def minimisers(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions that are the lowest (leftmost of equals) of some window; of all positions, if they are fewer."""
-    n = len(grams)
-    if not n:
-        return np.empty(0, np.int64)
-    w = min(window, n)
-    view = np.lib.stride_tricks.sliding_window_view(grams, w)
-    return np.unique(view.argmin(1) + np.arange(n - w + 1))
+    """Positions that are the lowest of some window; of all positions, if they are fewer."""
+    return np.unique(lowest(grams, min(window, len(grams)))) if len(grams) else np.empty(0, np.int64)
 
 
 def _anchors(documents: DataFrame, least: int) -> DataFrame:
-    """id, key: each minimiser's hash once per document."""
+    """id, key, n: each minimiser's hash once per document, and a row without key that has its number of words."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
-            ids, keys, counts = batch.column(0).to_pylist(), [], []
+            ids, keys, counts, words = batch.column(0).to_numpy(), [], [], []
             for text in utf8(batch.column(1)):
                 h = word_hashes(text, hashes)
                 g = mixed(windows(h, GRAM)) if len(h) >= least else np.empty(0, np.uint64)
                 k = np.unique(g[minimisers(g)])
                 keys.append(k.view(np.int64))
                 counts.append(len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["id", "key"])
+                words.append(len(h))
+            none = pa.nulls(sum(counts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), none], names=["id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(ids), pa.int64()), pa.array(words, pa.int64())], names=["id", "key", "n"])
 
-    return documents.select("id", "text").mapInArrow(part, "id long, key long")
+    return documents.select("id", "text").mapInArrow(part, "id long, key long, n long")
 
 
 def _suffixes(documents: DataFrame, least: int) -> DataFrame:
@@ -70,15 +75,14 @@ def _suffixes(documents: DataFrame, least: int) -> DataFrame:
                 for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     h = word_hashes(text, hashes)
                     g = mixed(windows(h, GRAM))
-                    lowest = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1)
-                    named = np.concatenate([[0], np.cumsum(np.isin(g[lowest].view(np.int64), np.array(keys, np.int64)))])
+                    named = np.concatenate([[0], np.cumsum(np.isin(g[lowest(g, WINDOW)].view(np.int64), np.array(keys, np.int64)))])
                     at = np.nonzero(named[inner:] - named[:-inner] == inner)[0]
                     if not len(at):
                         continue
                     gram = np.zeros(len(at), np.uint64)
                     for k in (*range(0, least - GRAM, GRAM), least - GRAM):
                         gram = mixed(gram * np.uint64(0x9E3779B97F4A7C15) + g[at + k])
-                    anchor = (np.lib.stride_tricks.sliding_window_view(g, least - GRAM + 1).argmin(1) + np.arange(len(h) - least + 1))[at]
+                    anchor = lowest(g, least - GRAM + 1)[at]
                     cut = np.nonzero((np.diff(at) != 1) | (np.diff(anchor) != 0))[0] + 1
                     words = (h >> np.uint64(32)).astype(">u4").tobytes()
                     gram, g = gram.view(np.int64), g.view(np.int64)
@@ -165,13 +169,13 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     same = written(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct(), "texts")
     first = written(same.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other")), "first-texts")
     anchors = written(_anchors(docs.select(F.xxhash64("text").alias("id"), "text"), least), "anchors")
-    often = written(anchors.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "shared-keys")
+    often = written(anchors.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "shared-keys")
     wanted = anchors.join(often, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))  # one text's own anchors
     # the first row of each text stands for all of them, so each text is met once
     wanted = wanted.join(first.select(F.col("h1").alias("id"), F.col("id").alias("doc_id")), "id")
     texts = docs.withColumn("h1", F.xxhash64("text")).join(wanted.withColumnRenamed("id", "h1"), ["doc_id", "h1"])
     suffixes = written(_suffixes(texts.select(F.col("h1").alias("id"), "text", "keys"), least), "suffixes")
-    removed(anchors, often)
+    removed(often)
     ordered = suffixes.repartitionByRange(parts_for(suffixes, SORTED_ROWS), "key", "lead", "id", "at").sortWithinPartitions("key", "lead", "rest", "id", "at")
     compared = written(_compared(ordered, least), "compared")
     removed(suffixes)
@@ -186,8 +190,8 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     removed(compared, holders)
     whole = first.where("other <> id")
     copied = same.join(whole.select("h1", "h2", "id", "other"), ["h1", "h2"]).select("doc_id", "h1", "h2", F.when(F.col("doc_id") == F.col("id"), F.col("other")).otherwise(F.col("id")).alias("partner"))
-    sized = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("n")).where(F.col("n") >= least).distinct()
-    whole_rows = copied.join(sized, ["doc_id", "h1"]).select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), F.col("n").alias("n_words"), "partner")
+    sized = anchors.where(F.col("n") >= least).groupBy(F.col("id").alias("h1")).agg(F.max("n").alias("n"))
+    whole_rows = copied.join(sized, "h1").select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), F.col("n").alias("n_words"), "partner")
     single = same.join(first.where("other = id").select("h1", "h2"), ["h1", "h2"]).select("doc_id", F.col("h1").alias("id"))
     parts_rows = single.join(spans, "id").select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "partner")
     return whole_rows.unionByName(parts_rows)
