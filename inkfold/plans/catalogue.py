@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import udfs
+from ..kernels.model import Options
 from ..operators import analysis, parse
 from ..operators import compile as compile_
 from ..streaming import windows
@@ -748,12 +749,6 @@ def table_function(spark, d):
     return spark.sql("SELECT d.doc_id, n.type FROM inkfold_docs d, LATERAL md_nodes(d.md) n")
 
 
-@query("SELECT count(*) AS nodes, count(*) // 2 AS headings FROM (SELECT 1 FROM customer UNION ALL SELECT 1 FROM customer)")
-def stored_nodes(spark, d):
-    docs = md(table(spark, d, "customer"), "c_custkey", "concat('# ', c_name)")
-    return parse.nodes(docs).agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "heading").alias("headings"))
-
-
 # ---- more scalars
 
 
@@ -821,3 +816,73 @@ def node_windows(spark, d):
     SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
 def text_sessions(spark, d):
     return windows.sessions(table(spark, d, "events"), "user_id", "ts")
+
+
+# ---- hooks and switches
+
+
+def _short(text, default):
+    return "s-" + default(text)[:4]
+
+
+def _no_plain_http(url, tag, attr):
+    return None if url.startswith("http:") else url
+
+
+def _shout(node, render):
+    return f"<kbd>{node.text.upper()}</kbd>" if node.type == "codeInline" else None
+
+
+@query("SELECT n_nationkey AS doc_id, 's-' || lower(substr(replace(n_name, '_', ''), 1, 4)) AS id FROM nation")
+def custom_slugs(spark, d):
+    return parse.nodes(md(table(spark, d, "nation"), "n_nationkey", "concat('# ', n_name)"), kinds=["heading"], options=Options(slugify=_short)).select("doc_id", "id")
+
+
+@query("SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN 'https://x.test/' || n_nationkey END AS target, n_nationkey % 2 = 1 AS rejected FROM nation")
+def custom_sanitizer(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", "concat('[a](http', if(n_nationkey % 2 = 0, 's', ''), '://x.test/', n_nationkey, ')')")
+    return parse.nodes(docs, kinds=["link"], options=Options(sanitizer=_no_plain_http)).select("doc_id", "target", F.col("target_rejected").alias("rejected"))
+
+
+@query("SELECT n_nationkey AS doc_id, '<p>a <kbd>' || upper(n_name) || '</kbd></p>' AS html FROM nation")
+def render_rule(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", "concat('a `', lower(n_name), '`')")
+    return compile_.to_html(parse.nodes(docs), options={"rule": _shout})
+
+
+@query("""SELECT n_nationkey AS doc_id, '<style>' || n_name || '</style>' AS unfiltered, '<p>&lt;div&gt;' || n_name || '&lt;/div&gt;</p>' AS raw, '<div><hr /><h2 id="a">a:</h2><p>' || n_name || '</p></div>' AS front, '<p><a href="/x">http://a.b ' || n_name || '</a></p>' AS anchor,
+  '<p><b>' || n_name || '</b></p>' AS inline_kept FROM nation""")
+def more_switches(spark, d):
+    def given(source: str, options: str):
+        return udfs.md_to_html(F.expr(source), F.expr(options))
+
+    return table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("doc_id"),
+        given("concat('<style>', n_name, '</style>')", "map('tagfilter', 'false')").alias("unfiltered"),
+        given("concat('<div>', n_name, '</div>')", "map('disable_raw_html', 'true')").alias("raw"),
+        given(r"concat('---\na: \n---\n\n', n_name)", "map('disable_frontmatter', 'true')").alias("front"),
+        udfs.md_to_html(F.expr("concat('[http://a.b ', n_name, '](/x)')")).alias("anchor"),
+        given("concat('<b>', n_name, '</b>')", "map('ignore_html_blocks', 'true')").alias("inline_kept"))
+
+
+@query("SELECT n_nationkey AS doc_id, 1 AS texts, n_name || ' & <x> * y' AS text FROM nation")
+def merged_text(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", r"concat(n_name, ' &amp; &lt;x> \\* y')")
+    return parse.nodes(docs, kinds=["text"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("texts"), F.first("text").alias("text"))
+
+
+@query("SELECT n_nationkey AS doc_id, count(*) AS links, min(k) AS least, max(k) AS most FROM nation, range(3) t(k) GROUP BY n_nationkey")
+def brackets_skip_code(spark, d):
+    docs = md(table(spark, d, "nation"), "n_nationkey", r"concat('[a `]` b](/0) [', n_name, ' \\] c](/1) [<b title=\"]\">d</b>](/2)')")
+    found = parse.nodes(docs, kinds=["link"]).select("doc_id", F.substring("target", 2, 1).cast("long").alias("k"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("links"), F.min("k").alias("least"), F.max("k").alias("most"))
+
+
+@query("SELECT n_nationkey AS doc_id, false AS a, true AS b, false AS c, true AS d FROM nation")
+def flanking(spark, d):
+    """Emphasis by the classes of the characters around: white space, punctuation, letters."""
+    def opens(source: str):
+        return udfs.md_to_html(F.expr(source)).contains("<em>")
+
+    return table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("doc_id"), opens("concat('a*\"', n_name, '\"*b')").alias("a"), opens("concat('*\"', n_name, '\"*')").alias("b"), opens("concat('a * ', n_name, ' * b')").alias("c"), opens("concat('é*', n_nationkey, '*é')").alias("d"))
