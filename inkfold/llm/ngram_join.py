@@ -37,8 +37,11 @@ from .graph import connected_components
 WORDS, PERCENT, GROUPS, COARSE = 4, 85, 512, 128
 #: Buckets of the shingle counts, those that a task reports at most, and those that are put last.
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
-#: Points of a leaf; points of one tree (a larger signature is dealt out in pairs of blocks).
-LEAF, TREE = 16, 512
+#: Points of a leaf; points up to which a tree is one node, bounded at once; points of one tree (a larger signature has a tree for each
+#: second shingle, and what is larger still is dealt out in pairs of blocks).
+LEAF, NODE, TREE = 16, 64, 512
+#: Lowest shingles that are kept for each signature, since those that come last are not known yet.
+SPARE = 2
 #: Signatures that a set names, so that a pair comes from one tree.
 OWNERS = 8
 
@@ -49,6 +52,18 @@ def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.n
     return np.unique(windows(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
+def all_shingles(texts: list[bytes | None], hashes: WordHashes, words: int = WORDS, together: int = 256) -> Iterator[np.ndarray]:
+    """shingles() of each text; the windows of so many texts are hashed at once, and those across two texts are passed over."""
+    for at in range(0, len(texts), together):
+        split = [(t or b"").lower().split() for t in texts[at : at + together]]
+        h = hashes.of([w for x in split for w in x])
+        every, start = windows(h, words), 0
+        for x in split:
+            n = len(x)
+            yield np.unique(every[start : start + n - words + 1] if n >= words else windows(h[start : start + n], n)) if n else np.empty(0, np.uint64)
+            start += n
+
+
 def point(found: np.ndarray) -> bytes:
     """The counts by group, in one byte each, or two or four where one needs them."""
     counts = np.bincount((found >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
@@ -131,62 +146,82 @@ class RTree:
         return self.order[nodes]
 
 
-def _sets(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, key (128 bits of the set), and rows of kind bucket: counts of frequent shingles' buckets."""
+def within_node(points: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (k < m) of one node's points that wanted (a matrix) names, and that sizes and the bound allow: by coarse groups, then by all."""
+    k, m = np.nonzero(np.triu(wanted, 1))
+    ok = (sizes[k] * 100 >= sizes[m] * percent) & (sizes[m] * 100 >= sizes[k] * percent)
+    k, m = k[ok], m[ok]
+    for some in (RTree.coarser(points), points):
+        ok = np.minimum(some[k], some[m]).sum(1, dtype=np.int64) >= least_overlap(sizes[k], sizes[m], percent)
+        k, m = k[ok], m[ok]
+    return k, m
+
+
+def _taken(n: int, percent: int) -> int:
+    """The signatures of a set of n."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, key (128 bits of the set), point, fine, low (twice as many of the lowest shingles by hash as there are signatures, in that
+    order), and rows of kind bucket: counts of frequent shingles' buckets."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held, docs = WordHashes(), np.zeros(BUCKETS, np.int64), [], 0
+        hashes, counts, docs = WordHashes(), np.zeros(BUCKETS, np.int64), 0
         for batch in rows:
-            ids, sizes, keys = batch.column(0), [], []
-            for text in utf8(batch.column(1)):
-                s = shingles(text, hashes, words)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                held.append((s & np.uint64(BUCKETS - 1)).astype(np.int32))
-                docs += 1
-                if len(held) == 256:
-                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held = []
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names=names)
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            ids = batch.column(0)
+            for at in range(0, batch.num_rows, 256):
+                sets = list(all_shingles(utf8(batch.column(1).slice(at, 256)), hashes, words))
+                docs += len(sets)
+                counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                made = [(len(s), xxhash.xxh128_digest(s.tobytes()), point(s), fine_point(s), _lowest(s, SPARE * _taken(len(s), percent)).tobytes()) if len(s) else (0, None, None, None, None) for s in sets]
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)]
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), *columns, none, none], names=names)
         top = np.argpartition(counts, -REPORTED)[-REPORTED:]
         top = top[counts[top] >= max(4, docs // 500, 4 * counts.mean())]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.binary()), pa.array(top, pa.int64()), pa.array(counts[top], pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(top), t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 4)], pa.array(top, pa.int64()), pa.array(counts[top], pa.int64())], names=names)
+
+    names = ["doc_id", "n", "key", "point", "fine", "low", "bucket", "seen"]
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, n long, key binary, point binary, fine binary, low binary, bucket long, seen long")
 
-    names = ["doc_id", "n", "key", "bucket", "seen"]
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, n long, key binary, bucket long, seen long")
 
+def _lowest(s: np.ndarray, many: int) -> np.ndarray:
+    """So many of a set's shingles that are lowest by hash, in order."""
+    order = mixed(s) >> np.uint64(1)
+    some = np.argpartition(order, many - 1)[:many] if many < len(s) else np.arange(len(s))
+    return s[some[np.argsort(order[some])]]
 
-def _signatures(documents: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """key, doc_id, n, point, fine, sigs. last: buckets of the shingles that come last."""
+
+def _signatures(sets: DataFrame, last: np.ndarray, percent: int, column: str = "low") -> DataFrame:
+    """doc_id, key, sigs, beyond (the shingle that comes next, if there is one). last: buckets of the shingles that come last. sigs is
+    null where a set's lowest shingles are not enough, since too many of them come last; column items has all shingles, which are."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, late = WordHashes(), np.zeros(BUCKETS, bool)
+        late = np.zeros(BUCKETS, bool)
         late[last] = True
         for batch in rows:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingles(text, hashes, words)
-                if len(s) and doc_id is not None:
-                    take = len(s) - -(-percent * len(s) // 100) + 1
-                    order = (mixed(s) >> np.uint64(1)) | (late[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
-                    first = np.argpartition(order, take - 1)[:take] if take < len(s) else slice(None)
-                    out.append((xxhash.xxh128_digest(s.tobytes()), doc_id, len(s), point(s), fine_point(s), s[first].view(np.int64)))
-            if out:
-                key, ids, n, points, fine, sigs = zip(*out, strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))], names=["key", "doc_id", "n", "point", "fine", "sigs"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "key binary, doc_id long, n long, point binary, fine binary, sigs array<long>")
+            sigs, beyond = [], []
+            for low, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, take = np.frombuffer(low, np.uint64), _taken(n, percent)
+                behind = late[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                first = np.concatenate([s[~behind], s[behind]])[: take + 1].view(np.int64) if len(s) == n else s[~behind][: take + 1].view(np.int64)
+                enough = len(first) >= min(n, take + 1)
+                sigs.append(first[:take].tolist() if enough else None)
+                beyond.append(int(first[take]) if enough and take < len(first) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.list_(pa.int64())), pa.array(beyond, pa.int64())], names=["doc_id", "key", "sigs", "beyond"])
+
+    return sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", column, "n").mapInArrow(part, "doc_id long, key binary, sigs array<long>, beyond long")
 
 
 def _full(documents: DataFrame, words: int) -> DataFrame:
-    """id and items (the sorted set as bytes) of each document."""
+    """id, n, key and items (the whole set, lowest by hash first, as bytes) of each document."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["id", "items"])
+            for at in range(0, batch.num_rows, 256):
+                sets = list(all_shingles(utf8(batch.column(1).slice(at, 256)), hashes, words))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([_lowest(s, len(s)).tobytes() for s in sets], pa.binary())], names=["id", "n", "key", "items"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(part, "id long, items binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "id long, n long, key binary, items binary")
 
 
 def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -242,8 +277,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = small(ids, "pair-ids")  # if too many to be broadcast, the texts are shuffled
-    sets = written(_full(documents.join(ids, "doc_id", "left_semi"), words), "full-sets")
+    sets = written(_full(documents.join(small(ids, "pair-ids"), "doc_id", "left_semi"), words), "full-sets")  # too many ids to be broadcast shuffle the texts
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
     found = written(both.select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long").distinct(), "links")
     removed(sets)
@@ -251,27 +285,32 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (sig, i, j, id, n, component, point, owners, block), sorted by sig, i, j -> pairs that a tree's bound allows.
+    """rows (sig, part, i, j, id, n, component, point, owners, block), sorted by sig, part, i, j -> pairs that a tree's bound allows.
 
     A pair whose sets name a common owner is left to the tree of the smallest one: both are in it, and its bound is the
     same; where all of that signature's sets are one component or only these two, the pair needs no tree.
     """
     def pairs(sig: int, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, points: np.ndarray, owners: list[list[int]], one: bool) -> Iterator[tuple[int, int]]:
-        tree = RTree(points, n)
-        for k in range(len(ids)):
-            for m in tree.search(points[k], int(n[k]), percent):
-                if ids[k] < ids[m] and comp[k] != comp[m] and (one or block[k] != block[m]):
-                    if min(set(owners[k]).intersection(owners[m]), default=sig) == sig:
-                        yield int(ids[k]), int(ids[m])
+        if len(ids) <= NODE:
+            wanted = comp[:, None] != comp[None]
+            if not one:
+                wanted &= block[:, None] != block[None]
+            found = zip(*(x.tolist() for x in within_node(points, n, wanted, percent)), strict=True)
+        else:
+            tree = RTree(points, n)
+            found = ((k, int(m)) for k in range(len(ids)) for m in tree.search(points[k], int(n[k]), percent) if ids[k] < ids[m] and comp[k] != comp[m] and (one or block[k] != block[m]))
+        for k, m in found:
+            if min(set(owners[k]).intersection(owners[m]), default=sig) == sig:
+                yield int(min(ids[k], ids[m])), int(max(ids[k], ids[m]))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         found: set[tuple[int, int]] = set()
 
         def searched(table: pa.Table) -> None:
-            c = {x: table.column(x).to_numpy() for x in ("sig", "i", "j", "id", "n", "component", "block")}
+            c = {x: table.column(x).to_numpy() for x in ("sig", "part", "i", "j", "id", "n", "component", "block")}
             points, owners = counts_of(table.column("point").to_pylist()), table.column("owners").to_pylist()
-            new = np.nonzero((np.diff(c["sig"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0))[0] + 1
+            new = np.nonzero(np.any([np.diff(c[x]) != 0 for x in ("sig", "part", "i", "j")], axis=0))[0] + 1
             for a, b in zip([0, *new], [*new, len(points)], strict=True):
                 if b - a > 1:
                     s = slice(a, b)
@@ -286,8 +325,8 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            sig, i, j = (table.column(x).to_numpy() for x in ("sig", "i", "j"))
-            whole = np.nonzero((sig != sig[-1]) | (i != i[-1]) | (j != j[-1]))[0]
+            place = [table.column(x).to_numpy() for x in ("sig", "part", "i", "j")]
+            whole = np.nonzero(np.any([x != x[-1] for x in place], axis=0))[0]
             cut = int(whole[-1]) + 1 if len(whole) else 0
             if cut:
                 searched(table.slice(0, cut))
@@ -298,7 +337,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             searched(pa.Table.from_batches(held))
         yield out()
 
-    return rows.select("sig", "i", "j", "id", "n", "component", "point", "owners", "block").mapInArrow(part, "a long, b long")
+    return rows.select("sig", "part", "i", "j", "id", "n", "component", "point", "owners", "block").mapInArrow(part, "a long, b long")
 
 
 def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -309,16 +348,22 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
         tables.append(written(df, name))
         return tables[-1]
 
-    scanned = kept(_sets(documents, words), "shingle-sets")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scanned = kept(_sets(texts, words, percent), "shingle-sets")
     often = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "bucket").limit(FREQUENT)
     last = np.array([r[0] for r in often.select("bucket").collect()], np.int64)  # at most FREQUENT numbers, for the order only
     members = scanned.where("n IS NOT NULL").select("doc_id", "n", "key")
-    chosen = kept(_signatures(documents, last, words, percent).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.first("sigs").alias("sigs")), "signatures")
+    signed = kept(_signatures(scanned, last, percent), "signed")
+    short = small(signed.where("sigs IS NULL").select("doc_id").distinct(), "short")  # of many frequent shingles
+    whole = _signatures(_full(texts.join(short, "doc_id", "left_semi"), words).withColumnRenamed("id", "doc_id"), last, percent, "items")
+    named = signed.where("sigs IS NOT NULL").unionByName(whole).groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sigs", "beyond"), "doc_id").alias("s"))
+    points = scanned.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    chosen = kept(named.join(points, "key").select("key", "id", "n", "point", "fine", "s.sigs", "s.beyond"), "signatures")
     each = chosen.select("id", F.explode("sigs").alias("sig"))
     shared = kept(each.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1"), "shared")
     rows = kept(each.join(shared, "sig").select("sig", "id", "least", "sets"), "shared-rows")
     stars = kept(rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    texts, known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("id", "n", "point", "fine")
+    known = chosen.select("id", "n", "point", "fine")
     edges = _verified(kept(_starred(stars, known, percent), "star-pairs"), texts, words, percent)
     members = written(members.join(chosen.select("key", "id"), "key", "left").select("doc_id", "n", "key", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")
     several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
@@ -329,10 +374,18 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     rows = rows.where("sets > 2").select("sig", "id").join(comp, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     rows = kept(rows, "rows-components")
     open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    rest = rows.join(kept(open_.select("sig", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open"), "sig")
+    open_ = kept(open_.select("sig", "sets"), "open")
+    rest = rows.join(open_.where(F.col("sets") <= TREE).select("sig"), "sig").withColumn("part", F.col("sig"))
+    # of a larger signature, linked sets share another shingle too, of one more each: there is a tree for both
+    many = rows.join(open_.where(F.col("sets") > TREE).select("sig"), "sig").join(chosen.select("id", "sigs", "beyond"), "id")
+    other = F.array_except(F.array_compact(F.array_append("sigs", F.col("beyond"))), F.array("sig")) if percent > 50 else F.array("sig")
+    many = kept(many.select("sig", "id", "component", F.explode(other).alias("other")).select("sig", "id", "component", F.xxhash64("sig", "other").alias("part")), "two-shingle-rows")
+    parts = many.groupBy("sig", "part").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+    many = many.join(kept(parts.select("sig", "part", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open-parts"), ["sig", "part"])
+    rest = rest.withColumn("blocks", F.lit(1)).select("sig", "part", "id", "component", "blocks").unionByName(many.select("sig", "part", "id", "component", "blocks"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
-    rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rest = rest.select("sig", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
+    rest = rest.repartition("sig", "part", "i", "j").sortWithinPartitions("sig", "part", "i", "j")
     # repeats go before the join; Spark would push it below them
     more = kept(kept(_tree_pairs(rest, percent).distinct(), "tree-pairs").join(stars, ["a", "b"], "left_anti"), "new-pairs")
     edges = edges.unionByName(_verified(kept(_bounded(more, known, percent), "bounded-pairs"), texts, words, percent))
