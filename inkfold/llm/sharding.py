@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before
+from .common import before, written
 
 #: Rows of one unit that are numbered in one task.
 BLOCK_ROWS = 1000
@@ -60,11 +60,12 @@ def shard(documents: DataFrame, shards: int = 40, block_rows: int = BLOCK_ROWS)
         (F.octet_length("text") + F.lit(16)).cast("long").alias("size"),
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
         F.conv(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 4), 16, 10).cast("int").alias("unit"))
+    docs = written(docs, "sized")  # the texts are read once
     counted = cut(docs, shards).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long"))
     docs = docs.join(F.broadcast(counted.select("unit", "shard", "capacity", "blocks")), "unit").withColumn(
         "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     # slots go by unit and block; of a shard's blocks, those of lower units come first
-    counts = docs.groupBy("shard", "unit", "block").agg(F.count("*").alias("rows"))
+    counts = written(docs.groupBy("shard", "unit", "block").agg(F.count("*").alias("rows")), "blocks")
     units = before(counts.groupBy("shard", "unit").agg(F.sum("rows").alias("rows")), ["shard"], "unit").select("unit", F.col("before").alias("units_before"))
     blocks = before(counts, ["unit"], "block").join(units, "unit").select("unit", "block", (F.col("units_before") + F.col("before")).alias("before"))
     numbered = docs.withColumn("at", F.row_number().over(Window.partitionBy("unit", "block").orderBy("doc_id", "size", "text_crc32")))
