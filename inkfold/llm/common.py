@@ -36,11 +36,20 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def narrow(df: DataFrame) -> DataFrame:
+    """df without a shuffle in no more partitions than a scan of the tables it comes from would have (spark.sql.files.maxPartitionBytes
+    each), or two a core if that is more: a table of many tiny files costs more to write and list than its rows, and bytes a task stay bounded."""
+    session, leaves = df.sparkSession._jsparkSession.sessionState(), df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size()))
+    most = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // session.conf().filesMaxPartitionBytes()))
+    return df.coalesce(most) if most < 1 << 20 else df
+
+
+def written(df: DataFrame, name: str, narrowed: bool = True) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    (narrow(df) if narrowed else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -99,7 +108,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it holds too many, so its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -21,8 +21,8 @@ from .common import held_out
 #: Places of a vector; letter classes (0 is what stands between words); seed of the letters' vectors.
 DIM, CLASSES, SEED = 2048, 64, 17
 SHARPNESS = 24.0
-#: Texts that are bundled together; vectors at hand (8 kB each); languages whose counts a task holds (2 MB each).
-TEXTS, VECTORS, LANGUAGES = 64, 8192, 32
+#: Texts that are bundled together; vectors at hand (8 kB each, four times while they are made); languages whose counts a task holds (2 MB each).
+TEXTS, VECTORS, LANGUAGES = 64, 1024, 32
 #: Below three times the noise of DIM places a cosine says nothing; a text that shares no trigram with a prototype seldom comes above it.
 LEAST_COSINE = 3 * DIM**-0.5
 
@@ -135,16 +135,18 @@ def tag(documents: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(dim, seed)
         for batch in rows:
-            found = [profiler.trigrams(text or "") for text in batch.column(0).field("text").to_pylist()]
-            pred, score, cosine = ["und"] * len(found), [0.0] * len(found), [0.0] * len(found)
-            spoken = [k for k, (codes, _) in enumerate(found) if len(codes) and names]
-            for at in range(0, len(spoken), TEXTS):
-                some = spoken[at : at + TEXTS]
-                v = profiler.bundled([found[k] for k in some])
+            texts, n = batch.column(0).field("text"), batch.num_rows
+            pred, score, cosine = ["und"] * n, [0.0] * n, [0.0] * n
+            for at in range(0, n, TEXTS):  # so many texts' trigrams at once, however large the batch
+                found = [profiler.trigrams(text or "") for text in texts.slice(at, TEXTS).to_pylist()]
+                spoken = [k for k, (codes, _) in enumerate(found) if len(codes) and names]
+                if not spoken:
+                    continue
+                v = profiler.bundled([found[k] for k in spoken])
                 c = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 e = np.exp(SHARPNESS * (c - c.max(1, keepdims=True)))
-                for k, best, row, share in zip(some, c.argmax(1).tolist(), c, e / e.sum(1, keepdims=True), strict=True):
-                    pred[k], score[k], cosine[k] = names[best], float(share[best]), float(row[best])
+                for k, best, row, share in zip(spoken, c.argmax(1).tolist(), c, e / e.sum(1, keepdims=True), strict=True):
+                    pred[at + k], score[at + k], cosine[at + k] = names[best], float(share[best]), float(row[best])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64())], names=["doc", "lang_pred", "score", "cosine"])
 
     return rows.mapInArrow(part, T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("cosine", "double"))
@@ -157,6 +159,6 @@ def identify(documents: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFram
 
 
 def keep_identified(documents: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """The documents with a language, with all their columns: `und` goes, and what no prototype comes near."""
-    tagged = tag(documents, learn(documents))
-    return tagged.where((F.col("lang_pred") != "und") & (F.col("cosine") >= least_cosine)).select("doc.*")
+    """The documents with a language, with all their columns: `und` goes, and what no prototype comes near. A null lang becomes the predicted one."""
+    kept = tag(documents, learn(documents)).where((F.col("lang_pred") != "und") & (F.col("cosine") >= least_cosine))
+    return kept.select(*[F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in documents.columns])

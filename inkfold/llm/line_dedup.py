@@ -143,8 +143,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     comes back as one row per document.
     """
     spark = documents.sparkSession
-    docs = rows_as(documents).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
-    hashes = line_hashes(docs, min_chars)
+    docs = rows_as(documents)
+    hashes = line_hashes(docs.select("doc.doc_id", "doc.text"), min_chars)
     base = batched(hashes, batches)
     runs = LineRuns(spark, rows=base.count())
     for k in range(batches):
@@ -154,8 +154,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     removed(base)
     gone = hashes.join(often, ["h1", "h2"]).where(F.col("last").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_row")), "left")
-    lines = _lines()
+    joined = docs.join(gone, F.col("doc.doc_id").eqNullSafe(F.col("its_id")) & (F.xxhash64("doc.text") == F.col("its_row")), "left")
+    lines = _lines("doc.text")
     kept = F.when(F.col("gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("gone"), _hash(line_key(x))))))
     return joined.withColumn("kept", kept).select(

@@ -6,15 +6,13 @@ the least padding; batches of a token budget then form inside each bucket.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before, written
+from .common import before, parts_for, written
 
-MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 1000
+MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -26,7 +24,7 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     """The upper bounds of at most `buckets` buckets that pad least; ties go to fewer buckets.
 
     lengths ascend strictly. cost(i, j) = sum of counts[i..j] * lengths[j] meets the quadrangle
-    inequality, so each layer is solved by divide and conquer: O(buckets * n log n).
+    inequality, so each layer is solved by divide and conquer: O(buckets * n log n). Of equal costs the lower boundaries are taken.
     """
     n = len(lengths)
     if not n:
@@ -71,10 +69,10 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
     or has no token gives one piece of length 0, in bucket length 1 at least. bucket numbers the
     buckets by length from 0; batch numbers a bucket's batches from 0; each holds
     max(1, budget // bucket_len) rows, but the last of a bucket may hold fewer; row is the place in
-    the batch. Repeated rows are packed each by itself; null ids sort first; an empty table gives no rows.
+    the batch. A bucket is filled by doc_id and piece. Repeated rows are packed each by itself; null ids sort first; an empty table gives no rows.
 
-    The histogram has at most max_len + 1 rows. Rows are numbered in blocks of about block_rows
-    by hash, each in its own task, and the blocks' counts give the offsets, so a bucket that holds
+    The histogram has at most max_len + 1 rows. Rows are dealt by ranges of (bucket, doc_id, piece), at most about block_rows
+    each, and numbered there; the ranges' counts give the offsets, so a bucket that holds
     a third of all rows is dealt to as many tasks as its rows need.
     """
     length = word_count(F.col("text")) if length is None else length
@@ -87,10 +85,6 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
         hist[max(1, n)] = hist.get(max(1, n), 0) + count
     lengths = sorted(hist)
     bounds = optimal_boundaries(lengths, [hist[x] for x in lengths], buckets) or [1]
-    blocks, lower = [], 0
-    for upper in bounds:
-        blocks.append(max(1, math.ceil(sum(c for n, c in hist.items() if lower < n <= upper) / block_rows)))
-        lower = upper
 
     def choose(values: list[int]) -> Column:
         out = F.lit(values[-1])
@@ -98,8 +92,9 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
             out = F.when(F.col("n_tokens") <= bound, F.lit(value)).otherwise(out)
         return out
 
-    placed = pieces.withColumn("bucket", choose(list(range(len(bounds))))).withColumn("bucket_len", choose(bounds)).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "piece"), choose(blocks).cast("long")))
+    placed = pieces.withColumn("bucket", choose(list(range(len(bounds))))).withColumn("bucket_len", choose(bounds))
+    ranges = placed.repartitionByRange(parts_for(pieces, block_rows), "bucket", "doc_id", "piece", "n_tokens")
+    placed = written(ranges.withColumn("block", F.spark_partition_id()), "ranges", narrowed=False)
     lower_blocks = before(placed.groupBy("bucket", "block").agg(F.count("*").alias("rows")), ["bucket"], "block").select("bucket", "block", "before")
     numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "piece", "n_tokens")))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")

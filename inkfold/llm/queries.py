@@ -125,6 +125,50 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law,
 FROM docs JOIN walk ON docs.unit = walk.unit, capacity
 """
 
+# The dynamic programme over all pairs of boundaries, a layer for each number of buckets.
+ORACLE["op1_length_buckets"] = """
+WITH RECURSIVE counted AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::INT AS n FROM documents),
+cut AS (SELECT doc_id, n, unnest(range(greatest(1, (n + 4095) // 4096)))::INT AS piece FROM counted),
+pieces AS (SELECT doc_id, piece, piece * 4096 AS start, least(4096, n - piece * 4096) AS n_tokens FROM cut),
+hist AS (SELECT greatest(1, n_tokens) AS l, count(*) AS c FROM pieces GROUP BY 1),
+listed AS (SELECT count(*)::INT AS n, list(l ORDER BY l) AS l, list_concat([0], list(s ORDER BY l)) AS p FROM (SELECT l, sum(c) OVER (ORDER BY l)::BIGINT AS s FROM hist)),
+layers AS (
+  SELECT 0 AS k, list_transform(range(n + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE 1e15 END::DOUBLE) AS best, []::BIGINT[] AS back FROM listed
+  UNION ALL
+  SELECT k + 1, list_concat([1e15::DOUBLE], list_transform(range(1, n + 1), lambda j: list_min(list_transform(range(j), lambda i: best[i + 1] + (p[j + 1] - p[i + 1]) * l[j])))),
+    list_concat([0::BIGINT], list_transform(range(1, n + 1), lambda j: list_position(list_transform(range(j), lambda i: best[i + 1] + (p[j + 1] - p[i + 1]) * l[j]),
+      list_min(list_transform(range(j), lambda i: best[i + 1] + (p[j + 1] - p[i + 1]) * l[j]))) - 1))
+  FROM layers, listed WHERE k < least(16, n)),
+chosen AS (SELECT k, n FROM layers, listed WHERE k > 0 ORDER BY best[n + 1], k LIMIT 1),
+walk AS (
+  SELECT k, n::BIGINT AS j FROM chosen
+  UNION ALL
+  SELECT w.k - 1, y.back[w.j + 1] FROM walk w JOIN layers y ON y.k = w.k WHERE w.j > 0),
+bounds AS (SELECT l[j] AS bound, (row_number() OVER (ORDER BY j) - 1)::INT AS bucket FROM walk, listed WHERE j > 0),
+placed AS (SELECT p.*, (SELECT min(bound) FROM bounds WHERE bound >= p.n_tokens) AS bucket_len FROM pieces p),
+numbered AS (
+  SELECT placed.*, bucket, greatest(1, 65536 // bucket_len) AS fits, row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, piece, n_tokens) - 1 AS k
+  FROM placed JOIN bounds ON bound = bucket_len)
+SELECT doc_id, piece, start, n_tokens, bucket, bucket_len::INT AS bucket_len, k // fits AS batch, (k % fits)::INT AS row FROM numbered
+"""
+
+ORACLE["op2_suffix_dedup"] = """
+WITH docs AS (
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+texts AS (SELECT text, any_value(w) AS w, min(doc_id) AS id, max(doc_id) AS other FROM docs GROUP BY text),
+windows AS (SELECT id, pos, array_to_string(w[pos + 1 : pos + 50], ' ') AS gram FROM (SELECT id, w, unnest(range(len(w) - 49)) AS pos FROM texts WHERE len(w) >= 50)),
+holders AS (SELECT gram, min(id) AS low, max(id) AS high FROM windows GROUP BY gram HAVING min(id) <> max(id)),
+held AS (SELECT id, pos, CASE WHEN id = low THEN high ELSE low END AS partner FROM windows JOIN holders USING (gram)),
+marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM held),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS k FROM marked),
+passages AS (SELECT id, min(pos) AS b, max(pos) + 50 AS e, arg_min(partner, pos) AS partner FROM numbered GROUP BY id, k)
+SELECT id AS doc_id, b::BIGINT AS "begin", e::BIGINT AS "end", (e - b)::BIGINT AS n_words, partner FROM passages JOIN texts USING (id) WHERE other = id
+UNION ALL
+SELECT doc_id, 0, len(d.w), len(d.w), CASE WHEN doc_id = id THEN other ELSE id END FROM docs d JOIN texts USING (text) WHERE other <> id AND len(d.w) >= 50
+"""
+
 # Every alignment in which enough tokens are alike is tried; no seed and no mask.
 ORACLE["op10_decontamination"] = """
 WITH toks AS (

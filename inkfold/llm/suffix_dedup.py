@@ -63,7 +63,7 @@ def _anchors(documents: DataFrame, least: int) -> DataFrame:
 
 
 def _suffixes(documents: DataFrame, least: int) -> DataFrame:
-    """key, lead, rest, id, at, begin, grams: the suffix at word `at` (its first GRAM words' hash, and those that follow up to
+    """key, lead, rest, id, name, at, begin, grams: the suffix at word `at` (its first GRAM words' hash, and those that follow up to
     `least` as a number and as bytes that sort like them), and the hash of each window of least words from `begin` on whose lowest
     minimiser it is and whose minimisers are all named by keys; a window that two texts share always is one."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def _suffixes(documents: DataFrame, least: int) -> DataFrame:
 
         def every() -> Iterator[tuple]:
             for batch in rows:
-                for doc, text, keys in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for doc, text, keys, name in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     h = word_hashes(text, hashes)
                     g = mixed(windows(h, GRAM))
                     named = np.concatenate([[0], np.cumsum(np.isin(g[lowest(g, WINDOW)].view(np.int64), np.array(keys, np.int64)))])
@@ -89,72 +89,75 @@ def _suffixes(documents: DataFrame, least: int) -> DataFrame:
                     for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
                         a = int(anchor[i])
                         rest = words[4 * (a + GRAM) : 4 * (a + least)]
-                        yield int(g[a]), int.from_bytes(rest[:8].ljust(8, b"\0")) - (1 << 63), rest, doc, a, int(at[i]), gram[i:j]
+                        yield int(g[a]), int.from_bytes(rest[:8].ljust(8, b"\0")) - (1 << 63), rest, doc, name, a, int(at[i]), gram[i:j]
 
-        yield from batches(every(), pa.schema([("key", pa.int64()), ("lead", pa.int64()), ("rest", pa.binary()), ("id", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("grams", pa.list_(pa.int64()))]))
+        yield from batches(every(), pa.schema([("key", pa.int64()), ("lead", pa.int64()), ("rest", pa.binary()), ("id", pa.int64()), ("name", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
-    return documents.select("id", "text", "keys").mapInArrow(part, "key long, lead long, rest binary, id long, at long, begin long, grams array<long>")
+    return documents.select("id", "text", "keys", "name").mapInArrow(part, "key long, lead long, rest binary, id long, name long, at long, begin long, grams array<long>")
 
 
 def _compared(suffixes: DataFrame, least: int) -> DataFrame:
-    """gram, id, begin, end, partner, by sorted suffixes, of three kinds: with end, what a suffix shares with one of another text
+    """gram, id, begin, end, name, partner, by sorted suffixes, of three kinds: with end, what a suffix shares with one of another document
     that stands near it (gram: its first window); with begin alone, a window that no neighbour shares; with
-    partner, the lowest and highest id of neighbours that share a window.
+    partner, the lowest and highest names of neighbours that share a window.
     """
+    names = ["gram", "id", "begin", "end", "name", "partner"]
+
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(gram: np.ndarray, doc: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None, partner: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (gram, doc, begin, end, partner)], names=["gram", "id", "begin", "end", "partner"])
+        def made(*columns: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], names=names)
 
         for batch in rows:
-            grams = batch.column(2)
+            grams = batch.column(3)
             many = np.diff(grams.offsets.to_numpy())
             gram = grams.flatten().to_numpy()
             if not len(gram):
                 continue
             row = np.repeat(np.arange(len(many)), many)
-            doc = batch.column(0).to_numpy()[row]
-            begin = batch.column(1).to_numpy()[row] + np.arange(len(gram)) - np.repeat(np.cumsum(many) - many, many)
+            doc, name = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            begin = batch.column(2).to_numpy()[row] + np.arange(len(gram)) - np.repeat(np.cumsum(many) - many, many)
             order = np.argsort(gram, kind="stable")  # what agrees to the left and right stands together
             starts = np.concatenate([[0], np.nonzero(np.diff(gram[order]))[0] + 1])
-            low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
-            yield made(gram[order][starts][low != high], low[low != high], None, None, high[low != high])
+            low, high = np.minimum.reduceat(name[order], starts), np.maximum.reduceat(name[order], starts)
+            yield made(gram[order][starts][low != high], None, None, None, low[low != high], high[low != high])
             shared = np.empty(len(gram), bool)
             shared[order] = np.repeat(low != high, np.diff(np.append(starts, len(gram))))
-            yield made(gram[~shared], doc[~shared], begin[~shared], None, None)
+            yield made(gram[~shared], doc[~shared], begin[~shared], None, name[~shared], None)
             k = np.nonzero(shared)[0]
             if len(k):
                 new = np.concatenate([[0], np.nonzero((np.diff(k) != 1) | (np.diff(row[k]) != 0))[0] + 1])
                 last = np.append(new[1:], len(k)) - 1
-                yield made(gram[k[new]], doc[k[new]], begin[k[new]], begin[k[last]] + least, None)
+                yield made(gram[k[new]], doc[k[new]], begin[k[new]], begin[k[last]] + least, name[k[new]], None)
 
-    return suffixes.select("id", "begin", "grams").mapInArrow(part, "gram long, id long, begin long, end long, partner long")
+    return suffixes.select("id", "name", "begin", "grams").mapInArrow(part, ", ".join(f"{n} long" for n in names))
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """id, begin, end, gram: what meets or overlaps as one, with its first window; rows (id, begin, end, gram) are sorted by id and begin."""
+    """id, begin, end, name, gram: what meets or overlaps as one, with its first window; rows of these columns are sorted by id and begin."""
     def part(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[tuple]:
-            doc, begin, end, gram = None, 0, 0, 0
+            doc, begin, end, name, gram = None, 0, 0, 0, 0
             for batch in rows:
-                for i, b, e, g in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                for i, b, e, n, g in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                     if i != doc or b > end:
                         if doc is not None:
-                            yield doc, begin, end, gram
-                        doc, begin, end, gram = i, b, e, g
+                            yield doc, begin, end, name, gram
+                        doc, begin, end, name, gram = i, b, e, n, g
                     end = max(end, e)
             if doc is not None:
-                yield doc, begin, end, gram
+                yield doc, begin, end, name, gram
 
-        yield from batches(every(), pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())]))
+        yield from batches(every(), pa.schema([(c, pa.int64()) for c in ("id", "begin", "end", "name", "gram")]))
 
-    return found.mapInArrow(part, "id long, begin long, end long, gram long")
+    return found.mapInArrow(part, "id long, begin long, end long, name long, gram long")
 
 
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, begin, end, n_words, partner): the passages of at least `least` words that another document holds too.
 
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; begin and end count them in the whole text. partner is one
-    document that holds the passage's first `least` words. Passages that meet or overlap are one.
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; begin and end count them in the whole text. partner
+    holds the passage's first `least` words: of the documents that do (of each text, its smallest), the smallest, or the largest if that is the document itself; of a whole text's
+    copies, the smallest and largest likewise. Passages that meet or overlap are one.
     A text of at least `least` words that other rows repeat whole is one passage. Repeats within one text are not
     reported. Rows that share doc_id and text are one document; rows with one doc_id and other texts are searched each by itself.
     Null or empty texts, texts under `least` words, and rows with a null doc_id give none; so does an empty table.
@@ -174,19 +177,17 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     # the first row of each text stands for all of them, so each text is met once
     wanted = wanted.join(first.select(F.col("h1").alias("id"), F.col("id").alias("doc_id")), "id")
     texts = docs.withColumn("h1", F.xxhash64("text")).join(wanted.withColumnRenamed("id", "h1"), ["doc_id", "h1"])
-    suffixes = written(_suffixes(texts.select(F.col("h1").alias("id"), "text", "keys"), least), "suffixes")
+    suffixes = written(_suffixes(texts.select(F.col("h1").alias("id"), "text", "keys", F.col("doc_id").alias("name")), least), "suffixes")
     removed(often)
     ordered = suffixes.repartitionByRange(parts_for(suffixes, SORTED_ROWS), "key", "lead", "id", "at").sortWithinPartitions("key", "lead", "rest", "id", "at")
     compared = written(_compared(ordered, least), "compared")
     removed(suffixes)
-    holders = compared.where("end IS NULL").groupBy("gram").agg(F.min("id").alias("low"), F.max(F.coalesce("partner", "id")).alias("high"))
+    holders = compared.where("end IS NULL").groupBy("gram").agg(F.min("name").alias("low"), F.max(F.coalesce("partner", "name")).alias("high"))
     holders = written(holders.where("low <> high"), "holders")
-    left = compared.where("end IS NULL AND begin IS NOT NULL").join(holders.select("gram"), "gram").select("id", "begin", (F.col("begin") + least).alias("end"), "gram")
-    found = compared.where("end IS NOT NULL").select("id", "begin", "end", "gram").unionByName(left)
+    left = compared.where("end IS NULL AND begin IS NOT NULL").join(holders.select("gram"), "gram").select("id", "begin", (F.col("begin") + least).alias("end"), "name", "gram")
+    found = compared.where("end IS NOT NULL").select("id", "begin", "end", "name", "gram").unionByName(left)
     found = _merged(found.repartition("id").sortWithinPartitions("id", "begin", "end"))  # one text's own windows
-    found = found.join(holders, "gram").select("id", "begin", "end", F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner"))
-    names = first.groupBy(F.col("h1").alias("partner")).agg(F.min("id").alias("partner_id"))
-    spans = written(found.join(names, "partner").select("id", "begin", "end", F.col("partner_id").alias("partner")), "spans")
+    spans = written(found.join(holders, "gram").select("id", "begin", "end", F.when(F.col("name") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner")), "spans")
     removed(compared, holders)
     whole = first.where("other <> id")
     copied = same.join(whole.select("h1", "h2", "id", "other"), ["h1", "h2"]).select("doc_id", "h1", "h2", F.when(F.col("doc_id") == F.col("id"), F.col("other")).otherwise(F.col("id")).alias("partner"))

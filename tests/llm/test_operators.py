@@ -154,6 +154,30 @@ def test_join_equals_brute_force(spark):
     assert got == comp
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_join_with_large_open_signatures(spark, monkeypatch, most):
+    """Sets that share frequent shingles but are not near copies, with trees so small that second shingles and blocks are needed."""
+    monkeypatch.setattr(ngram_join, "TREE", most)
+    rng = random.Random(17)
+    common = [words(rng, 12) for _ in range(4)]
+    rows = []
+    for _ in range(40):
+        base = " ".join([*rng.sample(common, 3), words(rng, rng.randrange(1, 9))]).split()
+        for _ in range(rng.randrange(1, 4)):
+            copy = list(base)
+            if rng.randrange(2):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, rows)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    comp = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == comp
+
+
 def test_tree_search_loses_no_partner():
     rng = np.random.default_rng(5)
     points = rng.poisson(6, (300, ngram_join.GROUPS))
@@ -164,6 +188,16 @@ def test_tree_search_loses_no_partner():
         assert set(np.nonzero(ok)[0]) <= set(tree.search(points[k], int(sizes[k]), 85).tolist())
 
 
+def test_one_node_loses_no_partner():
+    rng = np.random.default_rng(6)
+    points = rng.poisson(2, (60, ngram_join.GROUPS))
+    sizes = points.sum(1)
+    wanted = np.ones((60, 60), bool)
+    k, m = ngram_join.within_node(points, sizes, wanted, 85)
+    ok = {(a, b) for a in range(60) for b in range(a + 1, 60) if 85 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]) and np.minimum(points[a], points[b]).sum() >= ngram_join.least_overlap(int(sizes[a]), int(sizes[b]), 85)}
+    assert set(zip(k.tolist(), m.tolist(), strict=True)) == ok
+
+
 def test_shards_are_minimax_and_gapless(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, rng.randrange(0, 60))) for i in range(400)] + [(900 + i, "copy") for i in range(150)]
