@@ -37,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def flat(entries):
+    """A map as text, by name: name=value, with spaces between."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(entries), lambda e: F.concat(e.key, F.lit("="), e.value))), " ")
+
+
+def clock(time):
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+
+
 def md(df: DataFrame, key: str, template: str) -> DataFrame:
     """doc_id and md, built by a SQL expression."""
     return df.select(F.col(key).alias("doc_id"), F.expr(template).alias("md"))
@@ -250,8 +259,7 @@ def _elements(name: str, target: str, heading: str, tags: str, props: str, texts
     """Registers the element tree of one document a nation, as (doc_id, tag, props as name=value, text), for a target."""
     def run(spark, d):
         found = parse.element_tree(md(table(spark, d, "nation"), "n_nationkey", ELEMENT_MD), target)
-        flat = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e.key, F.lit("="), e.value))), " ")
-        return found.select("doc_id", "tag", flat.alias("props"), "text")
+        return found.select("doc_id", "tag", flat("props").alias("props"), "text")
 
     run.__name__ = name
     query(ELEMENT_SQL.format(tags=tags, props=props, texts=texts))(run)
@@ -275,7 +283,7 @@ _elements(
 def element_overrides(spark, d):
     docs = md(table(spark, d, "nation"), "n_nationkey", r"concat('## ', n_name, '\n\nb')")
     found = parse.element_tree(docs, "react", overrides={"h2": ("Box", {"class": "k"})}).where("tag = 'Box'")
-    return found.select("doc_id", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e.key, F.lit("="), e.value))), " ").alias("props"))
+    return found.select("doc_id", "tag", flat("props").alias("props"))
 
 
 @query("""SELECT conv_id, turn, '<div>' || string_agg('<p><strong>' || role || '</strong> turn ' || turn || '</p>', '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) || '<p>next open</p></div>' AS html FROM conversations""")
@@ -417,10 +425,10 @@ def safe_markdown_html(spark, d):
     return docs.select(F.col("doc_id").alias("page_id"), udfs.md_to_html("md").alias("html"))
 
 
-@query("SELECT page_id, map_from_entries([('href', url), ('title', 'a')]) AS attrs FROM pages")
+@query("SELECT page_id, 'href=' || url || ' title=a' AS attrs FROM pages")
 def safe_attributes(spark, d):
     raw = F.expr("map('href', url, 'onclick', 'x()', 'title', 'a', 'src', 'vb&#115;cript:x', 'style', 'background:url( javascript:x)')")
-    return table(spark, d, "pages").select("page_id", udfs.safe_attributes(raw).alias("attrs"))
+    return table(spark, d, "pages").select("page_id", flat(udfs.safe_attributes(raw)).alias("attrs"))
 
 
 @query("SELECT tag, count(*) AS n, bool_or(tag IN ('meta', 'link', 'br', 'hr', 'img', 'input', 'area', 'base', 'col', 'embed', 'param', 'source', 'track', 'wbr')) AS void FROM (SELECT lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!.*?>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY tag")
@@ -470,9 +478,9 @@ def small_scalars(spark, d):
     return table(spark, d, "part").select("p_partkey", X.to_superscript(F.col("p_size").cast("string")).alias("sup"), X.renders_as_block(text).alias("block"))
 
 
-@query("SELECT p_partkey, map_from_entries([('color', 'red'), ('width', p_size || 'px')]) AS style FROM part")
+@query("SELECT p_partkey, 'color=red width=' || p_size || 'px' AS style FROM part")
 def style_map(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.style_map(F.expr("concat('color: red; width :', p_size, 'px;')")).alias("style"))
+    return table(spark, d, "part").select("p_partkey", flat(X.style_map(F.expr("concat('color: red; width :', p_size, 'px;')"))).alias("style"))
 
 
 @query("SELECT page_id, html ILIKE '%<script%' OR html ILIKE '%<style%' OR html ILIKE '%<title%' AS filtered, 2 AS tags FROM pages")
@@ -705,11 +713,11 @@ def aggregates_of_items(spark, d):
     return found.groupBy("doc_id").agg(F.count_distinct(F.when(F.col("type") == "codeInline", F.col("text"))).alias("kinds"), F.max(F.when(F.col("type") == "codeInline", F.length("text"))).cast("long").alias("longest"), F.min(F.when(F.col("type") == "text", F.trim("text").cast("long"))).alias("first"))
 
 
-@query("SELECT o_orderkey AS doc_id, year(o_orderdate) AS year, (o_orderdate + INTERVAL 1 MONTH)::DATE AS due FROM orders")
+@query("SELECT o_orderkey AS doc_id, year(o_orderdate) AS year, ((o_orderdate + INTERVAL 1 MONTH)::DATE)::VARCHAR AS due FROM orders")
 def dates_in_front_matter(spark, d):
     docs = md(table(spark, d, "orders"), "o_orderkey", r"concat('---\ndate: ', date_format(o_orderdate, 'yyyy-MM-dd'), '\n---\n')")
     day = F.to_date(F.regexp_extract("text", r"(?m)^date: (.*)$", 1))
-    return parse.nodes(docs.withColumn("md", F.concat("md", F.lit("\nx"))), kinds=["frontmatter"]).select("doc_id", F.year(day).cast("long").alias("year"), F.add_months(day, 1).alias("due"))
+    return parse.nodes(docs.withColumn("md", F.concat("md", F.lit("\nx"))), kinds=["frontmatter"]).select("doc_id", F.year(day).cast("long").alias("year"), F.add_months(day, 1).cast("string").alias("due"))
 
 
 @query("SELECT event_id AS doc_id, (props->>'$.k')::BIGINT AS k, sqrt(((props->>'$.k')::BIGINT) * ((props->>'$.k')::BIGINT))::BIGINT AS root FROM events")
@@ -734,12 +742,12 @@ def above_the_mean(spark, d):
     return found.crossJoin(F.broadcast(found.agg(F.avg("chars").alias("mean")))).where("chars > mean").select("doc_id", "chars")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type AS alert, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type AS alert, count(*) AS n FROM events GROUP BY ALL")
 def alerts_by_hour(spark, d):
     events = table(spark, d, "events")
     found = parse.nodes(md(events, "event_id", r"concat('`', event_type, '`')"), kinds=["codeInline"]).select(F.col("doc_id").alias("event_id"), F.col("text").alias("alert"))
     both = events.select("event_id", "ts").join(found, "event_id")
-    return both.groupBy(F.window("ts", "1 hour").alias("w"), "alert").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "alert", "n")
+    return both.groupBy(F.window("ts", "1 hour").alias("w"), "alert").agg(F.count("*").alias("n")).select(clock("w.start").alias("hour"), "alert", "n")
 
 
 @query("SELECT c_custkey AS doc_id, 'heading' AS type FROM customer UNION ALL SELECT c_custkey, 'text' FROM customer")
@@ -760,16 +768,16 @@ def character_classes(spark, d):
         "p_partkey", F.transform(chars, X.is_punctuation).alias("punctuation"), F.transform(chars, X.is_whitespace).alias("whitespace"), X.is_type_1(tag).alias("type_1"), X.has_type_1_tag(F.concat(F.lit("a <"), tag, F.lit(">"))).alias("has_type_1"))
 
 
-@query("SELECT p_partkey, map_from_entries([('className', p_brand), ('xmlLang', 'en'), ('tabIndex', '1'), ('data-k', 'v')]) AS props FROM part")
+@query("SELECT p_partkey, 'className=' || p_brand || ' data-k=v tabIndex=1 xmlLang=en' AS props FROM part")
 def jsx_props(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.jsx_props(F.expr("map('CLASS', p_brand, 'xml:lang', 'en', 'tabindex', '1', 'data-k', 'v')")).alias("props"))
+    return table(spark, d, "part").select("p_partkey", flat(X.jsx_props(F.expr("map('CLASS', p_brand, 'xml:lang', 'en', 'tabindex', '1', 'data-k', 'v')"))).alias("props"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Image' WHEN 1 THEN 'View' ELSE 'Text' END AS native, CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'flex-end' END AS items, map_from_entries([('a', '1'), ('b', p_brand)]) AS style FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Image' WHEN 1 THEN 'View' ELSE 'Text' END AS native, CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'flex-end' END AS items, 'a=1 b=' || p_brand AS style FROM part")
 def native_scalars(spark, d):
     return table(spark, d, "part").select(
         "p_partkey", X.native_tag(F.expr("element_at(array('IMG', 'td', 'em'), p_size % 3 + 1)")).alias("native"), X.align_items(F.expr("element_at(array('center', 'right', 'none'), p_size % 3 + 1)")).alias("items"),
-        X.merged_styles(F.expr("map('a', '1', 'b', '2')"), F.expr("map('b', p_brand)")).alias("style"))
+        flat(X.merged_styles(F.expr("map('a', '1', 'b', '2')"), F.expr("map('b', p_brand)"))).alias("style"))
 
 
 @query("""SELECT p_partkey, ' class="' || p_brand || '" disabled title="a &quot;b&quot;"' AS attrs FROM part""")
@@ -806,16 +814,16 @@ def stream_definitions(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.md_stream_html(F.expr(r"concat('[k]: /', c_custkey, '\n\n[a][k] **b')")).alias("html"))
 
 
-@query("SELECT date_trunc('hour', ts) AS begin, 'codeInline' AS type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, 'codeInline' AS type, count(*) AS n FROM events GROUP BY ALL")
 def node_windows(spark, d):
-    return windows.node_counts(table(spark, d, "events").select("ts", F.expr("concat('`', event_type, '`')").alias("md")), "md", "ts", kinds=["codeInline"])
+    return windows.node_counts(table(spark, d, "events").select("ts", F.expr("concat('`', event_type, '`')").alias("md")), "md", "ts", kinds=["codeInline"]).withColumn("begin", clock("begin"))
 
 
-@query("""SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begin, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
     SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
 def text_sessions(spark, d):
-    return windows.sessions(table(spark, d, "events"), "user_id", "ts")
+    return windows.sessions(table(spark, d, "events"), "user_id", "ts").withColumn("begin", clock("begin")).withColumn("end", clock("end"))
 
 
 # ---- hooks and switches
