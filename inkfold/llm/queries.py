@@ -169,6 +169,16 @@ UNION ALL
 SELECT doc_id, 0, len(d.w), len(d.w), CASE WHEN doc_id = id THEN other ELSE id END FROM docs d JOIN texts USING (text) WHERE other <> id AND len(d.w) >= 50
 """
 
+# The table's pages keep their text in an article element, in h1 and p elements with b and br inside; no tree and no score.
+ORACLE["op5_html_text"] = """
+WITH parts AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS blocks
+  FROM pages),
+joined AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM parts)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
 # Every alignment in which enough tokens are alike is tried; no seed and no mask.
 ORACLE["op10_decontamination"] = """
 WITH toks AS (

@@ -302,3 +302,50 @@ def test_shards_reach_the_smallest_capacity(spark):
         assert needed(c) <= shards and (c == max(sizes) or needed(c - 1) > shards)
         most = max(sum(r.size for r in got if r.shard == s) for s in {r.shard for r in got})
         assert most <= c
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    import math
+    import re
+
+    import xxhash
+
+    rng = random.Random(26)
+    rows = [(k, prose(rng, rng.randrange(1, 25), EN + (["vile", "awful"] if k % 3 == 0 else [])) + rng.choice(["", " É9 x_y", "\nGay men"])) for k in range(400)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, labels)
+    assert np.abs(model.weights).max() > 0
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(d, model).select("doc.doc_id", "score", "predicted").collect()}
+    for i, t in rows:
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            for feature in (f"={w}", *(f"{w[:n]}-" for n in (4, 5, 6) if len(w) >= n)):
+                found.add(xxhash.xxh64_intdigest(feature) % len(model.weights))
+        z = model.slope * (sum(float(model.weights[k]) for k in found) + model.bias) + model.offset
+        score = 1 / (1 + math.exp(-max(-35, min(35, z))))
+        assert abs(got[i][0] - score) < 1e-4 and got[i][1] == (got[i][0] >= 0.3)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import math
+
+    from inkfold.llm.common import WordHashes, mixed, windows
+
+    rng = random.Random(27)
+    rows = [(k, prose(rng, rng.randrange(50, 90), EN if k % 2 else FR) + rng.choice(["", " éß", "\n#$"])) for k in range(200)] + [(900, "ab"), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(d, labels)
+    got = {r.doc_id: r for r in quality.judge(d, model).select("doc.doc_id", "quality", "kept", "base_failed").collect()}
+    dim, hashes = len(model.weights) // 2, WordHashes()
+    for i, t in rows:
+        z, raw, h = model.bias, t.encode(), hashes.of(t.encode().split())
+        kinds = [[int(mixed(h[k : k + 1])[0]) % dim for k in range(len(h))], [int(windows(h[k : k + 2], 2)[0]) % dim for k in range(len(h) - 1)]]
+        for n in (3, 4):
+            grams = [int.from_bytes(raw[k : k + n], "little") + (1 << (37 + n)) for k in range(len(raw) - n + 1)]
+            kinds.append([int(mixed(np.array([g], np.uint64))[0]) % dim + dim for g in grams])
+        z += sum(float(model.weights[k]) / len(kind) for kind in kinds for k in kind) if t else 0.0
+        p = 1 / (1 + math.exp(-max(-35, min(35, model.slope * z + model.offset))))
+        assert abs(got[i].quality - p) < 1e-3, i
+        assert got[i].kept == (not got[i].base_failed and got[i].quality >= quality.KEEP)
