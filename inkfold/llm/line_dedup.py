@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, ascii_lower, folder, removed, rows_as, written
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 6, 4
+MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 3, 2
 #: Lines (32 bytes each) of a bucket of a run.
 BUCKET_ROWS = 1_000_000
 
