@@ -37,9 +37,9 @@ from .graph import connected_components
 WORDS, PERCENT, GROUPS, COARSE = 4, 85, 512, 128
 #: Buckets of the shingle counts, those that a task reports at most, and those that are put last.
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4096, 1 << 16
-#: Points of a leaf; points up to which a tree is one node, bounded at once; points of one tree (a larger signature has a tree for each
-#: second shingle, and what is larger still is dealt out in pairs of blocks).
-LEAF, NODE, TREE = 16, 64, 512
+#: Points of a leaf; points up to which a tree is one node, bounded at once; points of one tree. A larger signature is dealt out in pairs of
+#: blocks of so many; beyond BLOCKS of them, which would copy a row more often than it has other signatures, it has trees for two shingles.
+LEAF, NODE, TREE, BLOCKS = 16, 64, 512, 64
 #: Lowest shingles that are kept for each signature, since those that come last are not known yet.
 SPARE = 2
 #: Signatures that a set names, so that a pair comes from one tree.
@@ -285,12 +285,13 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (sig, part, i, j, id, n, component, point, owners, block), sorted by sig, part, i, j -> pairs that a tree's bound allows.
+    """rows (sig, part, i, j, id, n, component, point, owners, block, firsts), sorted by sig, part, i, j -> pairs that a tree's bound allows.
 
     A pair whose sets name a common owner is left to the tree of the smallest one: both are in it, and its bound is the
-    same; where all of that signature's sets are one component or only these two, the pair needs no tree.
+    same; where all of that signature's sets are one component or only these two, the pair needs no tree. Of the trees for a second
+    shingle, likewise, the smallest that both name gives it.
     """
-    def pairs(sig: int, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, points: np.ndarray, owners: list[list[int]], one: bool) -> Iterator[tuple[int, int]]:
+    def pairs(sig: int, part: int, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, points: np.ndarray, owners: list[list[int]], firsts: list[list[int]], one: bool) -> Iterator[tuple[int, int]]:
         if len(ids) <= NODE:
             wanted = comp[:, None] != comp[None]
             if not one:
@@ -300,7 +301,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             tree = RTree(points, n)
             found = ((k, int(m)) for k in range(len(ids)) for m in tree.search(points[k], int(n[k]), percent) if ids[k] < ids[m] and comp[k] != comp[m] and (one or block[k] != block[m]))
         for k, m in found:
-            if min(set(owners[k]).intersection(owners[m]), default=sig) == sig:
+            if min(set(owners[k]).intersection(owners[m]), default=sig) == sig and min(set(firsts[k]).intersection(firsts[m]), default=part) == part:
                 yield int(min(ids[k], ids[m])), int(max(ids[k], ids[m]))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +310,12 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         def searched(table: pa.Table) -> None:
             c = {x: table.column(x).to_numpy() for x in ("sig", "part", "i", "j", "id", "n", "component", "block")}
-            points, owners = counts_of(table.column("point").to_pylist()), table.column("owners").to_pylist()
+            points, owners, firsts = counts_of(table.column("point").to_pylist()), table.column("owners").to_pylist(), table.column("firsts").to_pylist()
             new = np.nonzero(np.any([np.diff(c[x]) != 0 for x in ("sig", "part", "i", "j")], axis=0))[0] + 1
             for a, b in zip([0, *new], [*new, len(points)], strict=True):
                 if b - a > 1:
                     s = slice(a, b)
-                    found.update(pairs(int(c["sig"][a]), c["id"][s], c["n"][s], c["component"][s], c["block"][s], points[s], owners[s], c["i"][a] == c["j"][a]))
+                    found.update(pairs(int(c["sig"][a]), int(c["part"][a]), c["id"][s], c["n"][s], c["component"][s], c["block"][s], points[s], owners[s], firsts[s], c["i"][a] == c["j"][a]))
 
         def out() -> pa.RecordBatch:
             x = np.array(sorted(found), np.int64).reshape(-1, 2)
@@ -337,7 +338,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             searched(pa.Table.from_batches(held))
         yield out()
 
-    return rows.select("sig", "part", "i", "j", "id", "n", "component", "point", "owners", "block").mapInArrow(part, "a long, b long")
+    return rows.select("sig", "part", "i", "j", "id", "n", "component", "point", "owners", "block", "firsts").mapInArrow(part, "a long, b long")
 
 
 def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -355,7 +356,8 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     members = scanned.where("n IS NOT NULL").select("doc_id", "n", "key")
     signed = kept(_signatures(scanned, last, percent), "signed")
     short = small(signed.where("sigs IS NULL").select("doc_id").distinct(), "short")  # of many frequent shingles
-    whole = _signatures(_full(texts.join(short, "doc_id", "left_semi"), words).withColumnRenamed("id", "doc_id"), last, percent, "items")
+    whole = kept(_full(texts.join(short, "doc_id", "left_semi"), words).withColumnRenamed("id", "doc_id"), "short-sets")  # written, since two kernels in one stage are two workers a core
+    whole = _signatures(whole, last, percent, "items")
     named = signed.where("sigs IS NOT NULL").unionByName(whole).groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sigs", "beyond"), "doc_id").alias("s"))
     points = scanned.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
     chosen = kept(named.join(points, "key").select("key", "id", "n", "point", "fine", "s.sigs", "s.beyond"), "signatures")
@@ -375,16 +377,18 @@ def links(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     rows = kept(rows, "rows-components")
     open_ = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
     open_ = kept(open_.select("sig", "sets"), "open")
-    rest = rows.join(open_.where(F.col("sets") <= TREE).select("sig"), "sig").withColumn("part", F.col("sig"))
-    # of a larger signature, linked sets share another shingle too, of one more each: there is a tree for both
-    many = rows.join(open_.where(F.col("sets") > TREE).select("sig"), "sig").join(chosen.select("id", "sigs", "beyond"), "id")
+    open_ = open_.withColumn("blocks", F.ceil(F.col("sets") / TREE).cast("int"))
+    rest = rows.join(open_.where(F.col("blocks") <= BLOCKS).select("sig", "blocks"), "sig").withColumn("part", F.col("sig"))
+    # of a much larger signature, linked sets share another shingle too, of one more each: there is a tree for both
+    many = rows.join(open_.where(F.col("blocks") > BLOCKS).select("sig"), "sig").join(chosen.select("id", "sigs", "beyond"), "id")
     other = F.array_except(F.array_compact(F.array_append("sigs", F.col("beyond"))), F.array("sig")) if percent > 50 else F.array("sig")
-    many = kept(many.select("sig", "id", "component", F.explode(other).alias("other")).select("sig", "id", "component", F.xxhash64("sig", "other").alias("part")), "two-shingle-rows")
+    many = many.select("sig", "id", "component", F.transform(other, lambda x: F.xxhash64("sig", x)).alias("parts"))
+    many = kept(many.select("sig", "id", "component", F.slice(F.array_sort("parts"), 1, OWNERS).alias("firsts"), F.explode("parts").alias("part")), "two-shingle-rows")
     parts = many.groupBy("sig", "part").agg(F.count("*").alias("sets"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
     many = many.join(kept(parts.select("sig", "part", F.ceil(F.col("sets") / TREE).cast("int").alias("blocks")), "open-parts"), ["sig", "part"])
-    rest = rest.withColumn("blocks", F.lit(1)).select("sig", "part", "id", "component", "blocks").unionByName(many.select("sig", "part", "id", "component", "blocks"))
+    rest = rest.select("sig", "part", "id", "component", "blocks", F.array("sig").alias("firsts")).unionByName(many.select("sig", "part", "id", "component", "blocks", "firsts"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
+    rest = rest.select("sig", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "firsts").join(chosen.select("id", "n", "point", F.slice(F.array_sort("sigs"), 1, OWNERS).alias("owners")), "id")
     rest = rest.repartition("sig", "part", "i", "j").sortWithinPartitions("sig", "part", "i", "j")
     # repeats go before the join; Spark would push it below them
     more = kept(kept(_tree_pairs(rest, percent).distinct(), "tree-pairs").join(stars, ["a", "b"], "left_anti"), "new-pairs")

@@ -154,10 +154,11 @@ def test_join_equals_brute_force(spark):
     assert got == comp
 
 
-@pytest.mark.parametrize("most", [2, 5])
-def test_join_with_large_open_signatures(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "blocks"), [(2, 1), (5, 1), (2, 1000)])
+def test_join_with_large_open_signatures(spark, monkeypatch, most, blocks):
     """Sets that share frequent shingles but are not near copies, with trees so small that second shingles and blocks are needed."""
     monkeypatch.setattr(ngram_join, "TREE", most)
+    monkeypatch.setattr(ngram_join, "BLOCKS", blocks)
     rng = random.Random(17)
     common = [words(rng, 12) for _ in range(4)]
     rows = []
