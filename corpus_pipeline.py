@@ -12,8 +12,19 @@ from inkfold.llm.common import written
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at once; Spark's 10,000 whole documents would be most of a worker's memory.
+ARROW_ROWS = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has smaller ones already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, min(ARROW_ROWS, int(spark.conf.get(key))))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (operator 6)."""
+    _lean(spark)
     return language_id.keep_identified(docs)
 
 
@@ -28,6 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles stays (operator 3)."""
+    _lean(spark)
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 

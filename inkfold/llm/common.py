@@ -37,11 +37,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """df without a shuffle in no more partitions than a scan of the tables it comes from would have (spark.sql.files.maxPartitionBytes
-    each), or two a core if that is more: a table of many tiny files costs more to write and list than its rows, and bytes a task stay bounded."""
+    """df without a shuffle in no more partitions than half of what a scan of the tables it comes from would have (twice
+    spark.sql.files.maxPartitionBytes each), or one a core if that is more: a table of many tiny files costs more to write and list than its
+    rows, and bytes a task stay bounded."""
     session, leaves = df.sparkSession._jsparkSession.sessionState(), df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size()))
-    most = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // session.conf().filesMaxPartitionBytes()))
+    most = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * session.conf().filesMaxPartitionBytes())))
     return df.coalesce(most) if most < 1 << 20 else df
 
 
@@ -108,7 +109,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it holds too many, so its memory is bounded."""
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
