@@ -294,7 +294,7 @@ def test_lines_go_through_the_runs(spark):
 def test_line_batches_meet_the_runs_without_shuffling_them(spark):
     rows = line_dedup.line_hashes(docs(spark, [(k, f"line number {j} that is surely more than forty characters long") for k in range(30) for j in (k, k // 3)]))
     base = line_dedup.batched(rows, 3)
-    runs = line_dedup.LineRuns(spark, rows=base.count())
+    runs = line_dedup.LineRuns(spark, fanout=4, rows=base.count())
     for k in range(2):
         runs.load(base.where(F.col("batch") == k).drop("batch"))
     plan = runs.unseen(runs.dealt(base.where("batch = 2")))._jdf.queryExecution().executedPlan().toString()
