@@ -12,6 +12,8 @@ from .common import ASCII_SPACE, ascii_lower, folder, removed, rows_as, written
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 3, 2
 #: Lines (32 bytes each) of a bucket of a run.
 BUCKET_ROWS = 1_000_000
+#: Lines that make another bucket worth its files, until each core has one.
+LEAST_ROWS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -38,7 +40,8 @@ class LineRuns:
 
     docs counts the rows that hold a line, last is the largest doc_id among them. A run is a table in the shared folder, bucketed
     and sorted by hash, so a batch dealt out the same way meets it bucket by bucket, by merging, and no run is ever shuffled for that.
-    Buckets are as many as keep them at BUCKET_ROWS rows each, or the cores if they are more.
+    Buckets are as many as keep them at BUCKET_ROWS rows each, or the cores if they are more and get LEAST_ROWS rows each; two
+    at least, since Spark deals a batch to a single one only after the joins.
     load() anti-joins a batch with every run: what none holds is its own run, on level 0; what some run holds is kept apart, as
     repeats. So each line is in one run, a compaction has nothing to add up, and only lines that came again are counted again.
     """
@@ -47,7 +50,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int = 0) -> None:
         self.spark, self.fanout = spark, fanout
-        self.buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+        self.buckets = max(2, min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)), -(-rows // BUCKET_ROWS))
         self.levels: list[list[str]] = [[]]
         self.repeats: list[DataFrame] = []
         self.places: dict[str, str] = {}
@@ -95,11 +98,16 @@ class LineRuns:
                 old, self.levels[level] = self.levels[level], []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                rows = functools.reduce(DataFrame.unionByName, [self.spark.table(name) for name in old])
-                self.levels[level + 1].append(self.table(self.dealt(rows)))
+                self.levels[level + 1].append(self.table(functools.reduce(self.merged, [self.spark.table(name) for name in old])))
                 self.drop(*old)
             level += 1
 
+    def merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs, which have no line in common, bucket by bucket. Of a union that is dealt out Spark drops the dealing and then the
+        buckets, so each task would write files of many buckets."""
+        b = b.select(*self.KEY, F.col("docs").alias("docs_b"), F.col("last").alias("last_b"))
+        return a.join(b.hint("merge"), list(self.KEY), "full").select(*self.KEY, F.coalesce("docs", "docs_b").alias("docs"), F.coalesce("last", "last_b").alias("last"))
+
     def counts(self, least: int = 1) -> DataFrame:
         """h1, h2, docs, last of the lines that at least so many rows hold."""
         if not self.runs():
@@ -119,13 +127,10 @@ class LineRuns:
 
 
 def batched(hashes: DataFrame, batches: int) -> DataFrame:
-    """(doc_id, row, h1, h2) as a written table of so many batches (h1, h2, docs, last, batch), from one scan; a batch is a folder of it."""
-    spark, path = hashes.sparkSession, folder(hashes.sparkSession, "line-batches")
+    """(doc_id, row, h1, h2) as a written table of so many batches (h1, h2, docs, last, batch), from one scan; a task's batches stand
+    one after another in one file, so that a reader may skip the pages of the others."""
     rows = hashes.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-    rows.write.partitionBy("batch").parquet(path)
-    out = spark.read.schema("h1 long, h2 long, docs long, last long, batch int").parquet(path)
-    out.written_at = path
-    return out
+    return written(rows.select("h1", "h2", "docs", "last", "batch").sortWithinPartitions("batch"), "line-batches", narrowed=False)
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:

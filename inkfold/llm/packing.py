@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before, parts_for, written
+from .common import before, written
 
 MAX_LEN, BUCKETS, BUDGET, BLOCK_ROWS = 4096, 16, 65_536, 1_000_000
 
@@ -72,7 +72,7 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
     the batch. A bucket is filled by doc_id and piece. Repeated rows are packed each by itself; null ids sort first; an empty table gives no rows.
 
     The histogram has at most max_len + 1 rows. Rows are dealt by ranges of (bucket, doc_id, piece), at most about block_rows
-    each, and numbered there; the ranges' counts give the offsets, so a bucket that holds
+    each (and one range a core at least), and numbered there; the ranges' counts give the offsets, so a bucket that holds
     a third of all rows is dealt to as many tasks as its rows need.
     """
     length = word_count(F.col("text")) if length is None else length
@@ -93,7 +93,8 @@ def pack(documents: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, b
         return out
 
     placed = pieces.withColumn("bucket", choose(list(range(len(bounds))))).withColumn("bucket_len", choose(bounds))
-    ranges = placed.repartitionByRange(parts_for(pieces, block_rows), "bucket", "doc_id", "piece", "n_tokens")
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, -(-sum(hist.values()) // block_rows))
+    ranges = placed.repartitionByRange(parts, "bucket", "doc_id", "piece", "n_tokens")
     placed = written(ranges.withColumn("block", F.spark_partition_id()), "ranges", narrowed=False)
     lower_blocks = before(placed.groupBy("bucket", "block").agg(F.count("*").alias("rows")), ["bucket"], "block").select("bucket", "block", "before")
     numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "piece", "n_tokens")))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -302,6 +303,37 @@ def test_line_batches_meet_the_runs_without_shuffling_them(spark):
     runs.close()
 
 
+def files(path):
+    return list(Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_lines_are_written_in_few_files(spark):
+    rows = line_dedup.line_hashes(docs(spark, [(k, f"line number {j} that is surely more than forty characters long") for k in range(400) for j in (k, k // 3)]))
+    base = line_dedup.batched(rows, 3)
+    assert len(files(base.written_at)) == 1  # a task's batches share a file
+    runs = line_dedup.LineRuns(spark, fanout=2, rows=500_000)
+    assert runs.buckets == 3
+    for k in range(2):
+        runs.load(base.where(F.col("batch") == k).drop("batch"))
+    (name,) = runs.levels[1]
+    assert len(files(runs.places[name])) == 3  # two runs of three buckets made one
+    assert spark.table(name).count() == base.where("batch < 2").select("h1", "h2").distinct().count()
+    runs.close()
+
+
+def test_packing_writes_no_more_ranges_than_cores_or_rows_ask_for(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(packing, "written", lambda df, name, **how: tables.setdefault(name, common.written(df, name, **how)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        out = packing.pack(docs(spark, [(k, "w " * (k % 60)) for k in range(3000)])).collect()
+        assert len(files(tables["ranges"].written_at)) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.doc_id for r in out) == list(range(3000)) and sum(r.n_tokens for r in out) == sum(k % 60 for k in range(3000))
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(11)
     lines = [f"{words(rng, 9)} {k}" for k in range(30)] + ["short", ""]
