@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows a kernel's scalar functions read: over all cores, as operators/parse.py does for its own, since one small file is one task."""
+    return parse.spread(table(spark, sf_dir, name))
+
+
 def flat(entries):
     """A map as text, by name: name=value, with spaces between."""
     return F.array_join(F.array_sort(F.transform(F.map_entries(entries), lambda e: F.concat(e.key, F.lit("="), e.value))), " ")
@@ -240,13 +245,13 @@ def normalize_crlf(spark, d):
 
 @query("SELECT c_custkey AS doc_id, '<div><h1 id=\"customer' || lpad(c_custkey::VARCHAR, 9, '0') || '\">' || c_name || '</h1><p>in <strong>' || c_mktsegment || '</strong></p></div>' AS html FROM customer")
 def md_to_html(spark, d):
-    docs = md(table(spark, d, "customer"), "c_custkey", r"concat('# ', c_name, '\n\nin **', c_mktsegment, '**')")
+    docs = md(texts(spark, d, "customer"), "c_custkey", r"concat('# ', c_name, '\n\nin **', c_mktsegment, '**')")
     return docs.select("doc_id", udfs.md_to_html("md").alias("html"))
 
 
 @query("SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || chr(10) || '- **' || c_mktsegment || '**' || chr(10) || '- ' || c_nationkey AS md FROM customer")
 def md_normalize(spark, d):
-    docs = md(table(spark, d, "customer"), "c_custkey", r"concat(c_name, '\n====\n\n* __', c_mktsegment, '__\n* ', c_nationkey)")
+    docs = md(texts(spark, d, "customer"), "c_custkey", r"concat(c_name, '\n====\n\n* __', c_mktsegment, '__\n* ', c_nationkey)")
     return docs.select("doc_id", udfs.md_normalize("md").alias("md"))
 
 
@@ -416,19 +421,19 @@ def normal_labels(spark, d):
 def strip_html(spark, d):
     raw = F.expr("""CASE page_id % 5 WHEN 0 THEN '<img/onerror="alert(1)" src=x>' WHEN 1 THEN '<img src="x"onerror="alert(1)">' WHEN 2 THEN concat('<a href="&#106avascript:alert(', page_id, ')">', page_id, '</a>')
       WHEN 3 THEN concat('<a href="', url, '" class=k>', page_id, '</a>') ELSE '<img src=x' END""")
-    return table(spark, d, "pages").select("page_id", udfs.strip_html(raw).alias("html"))
+    return texts(spark, d, "pages").select("page_id", udfs.strip_html(raw).alias("html"))
 
 
 @query("""SELECT page_id, '<div>' || CASE page_id % 4 WHEN 0 THEN '<p>a</p>' WHEN 1 THEN '<a>b</a>' WHEN 2 THEN '<em>c</em>' ELSE '&lt;script>d&lt;/script>' END || '</div>' AS html FROM pages""")
 def safe_markdown_html(spark, d):
-    docs = md(table(spark, d, "pages"), "page_id", """concat('<div>', CASE page_id % 4 WHEN 0 THEN '<p onclick="x()">a</p>' WHEN 1 THEN '<a href="java&#9;script:x()">b</a>' WHEN 2 THEN '<em style="background: url(javascript:x())">c</em>' ELSE '<script>d</script>' END, '</div>')""")
+    docs = md(texts(spark, d, "pages"), "page_id", """concat('<div>', CASE page_id % 4 WHEN 0 THEN '<p onclick="x()">a</p>' WHEN 1 THEN '<a href="java&#9;script:x()">b</a>' WHEN 2 THEN '<em style="background: url(javascript:x())">c</em>' ELSE '<script>d</script>' END, '</div>')""")
     return docs.select(F.col("doc_id").alias("page_id"), udfs.md_to_html("md").alias("html"))
 
 
 @query("SELECT page_id, 'href=' || url || ' title=a' AS attrs FROM pages")
 def safe_attributes(spark, d):
     raw = F.expr("map('href', url, 'onclick', 'x()', 'title', 'a', 'src', 'vb&#115;cript:x', 'style', 'background:url( javascript:x)')")
-    return table(spark, d, "pages").select("page_id", flat(udfs.safe_attributes(raw)).alias("attrs"))
+    return texts(spark, d, "pages").select("page_id", flat(udfs.safe_attributes(raw)).alias("attrs"))
 
 
 @query("SELECT tag, count(*) AS n, bool_or(tag IN ('meta', 'link', 'br', 'hr', 'img', 'input', 'area', 'base', 'col', 'embed', 'param', 'source', 'track', 'wbr')) AS void FROM (SELECT lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!.*?>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY tag")
@@ -444,12 +449,12 @@ def tag_attributes(spark, d):
 
 @query("SELECT p_partkey, lower(p_brand) || '-c%C3%A9_' || p_size || '%20%3Cx%3E?a=%25' AS url FROM part")
 def encode_url(spark, d):
-    return table(spark, d, "part").select("p_partkey", udfs.encode_url(F.expr("concat(lower(p_brand), '-cé_', p_size, '%20<x>?a=%25')")).alias("url"))
+    return texts(spark, d, "part").select("p_partkey", udfs.encode_url(F.expr("concat(lower(p_brand), '-cé_', p_size, '%20<x>?a=%25')")).alias("url"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '/a%20' || p_size END AS url FROM part")
 def sanitize_and_encode(spark, d):
-    return table(spark, d, "part").select("p_partkey", udfs.sanitize_and_encode(F.expr("concat(if(p_size % 2 = 0, '/a ', 'data:text/html,'), p_size)")).alias("url"))
+    return texts(spark, d, "part").select("p_partkey", udfs.sanitize_and_encode(F.expr("concat(if(p_size % 2 = 0, '/a ', 'data:text/html,'), p_size)")).alias("url"))
 
 
 @query("SELECT p_partkey, '&copy; ' || p_size || '&lt;&quot;&gt; &amp; &amp;x' AS attr FROM part")
@@ -459,7 +464,7 @@ def escape_attr(spark, d):
 
 @query("SELECT p_partkey, chr(169) || 'A' || p_size || chr(228) || '&nope;' AS text, 'j-' || p_size || 'A' AS numeric_text FROM part")
 def decode_entities(spark, d):
-    return table(spark, d, "part").select("p_partkey", udfs.decode_entities(F.expr("concat('&copy;&#65;', p_size, '&auml;&nope;')")).alias("text"), udfs.decode_numeric(F.expr("concat('&#106-', p_size, '&#x41;')")).alias("numeric_text"))
+    return texts(spark, d, "part").select("p_partkey", udfs.decode_entities(F.expr("concat('&copy;&#65;', p_size, '&auml;&nope;')")).alias("text"), udfs.decode_numeric(F.expr("concat('&#106-', p_size, '&#x41;')")).alias("numeric_text"))
 
 
 @query("SELECT p_partkey, p_brand || '*' AS text FROM part")
@@ -521,18 +526,18 @@ NODES_MD = {
 
 def _compiled(name: str, source: str, html: str, text: str) -> None:
     """Registers three queries for a construct: its HTML, the same from the stored node table, and its normal form."""
-    def docs(spark, d):
-        return md(table(spark, d, "customer"), "c_custkey", source)
+    def docs(customers):
+        return md(customers, "c_custkey", source)
 
     def to_html(spark, d):
-        return docs(spark, d).select("doc_id", udfs.md_to_html("md").alias("html"))
+        return docs(texts(spark, d, "customer")).select("doc_id", udfs.md_to_html("md").alias("html"))
 
     def from_nodes(spark, d):
-        found = docs(spark, d)
+        found = docs(table(spark, d, "customer"))
         return compile_.to_html(parse.nodes(found), parse.refs(found)).select("doc_id", "html")
 
     def to_markdown(spark, d):
-        return docs(spark, d).select("doc_id", udfs.md_normalize("md").alias("md"))
+        return docs(texts(spark, d, "customer")).select("doc_id", udfs.md_normalize("md").alias("md"))
 
     for run, what, sql in ((to_html, "html", html), (from_nodes, "ast_html", html), (to_markdown, "markdown", text)):
         run.__name__ = f"{what}_{name}"
@@ -546,7 +551,7 @@ for _name, (_source, _html, _text) in NODES_MD.items():
 
 @query("SELECT c_custkey AS doc_id, '<h1 id=\"customer' || lpad(c_custkey::VARCHAR, 9, '0') || '\">' || c_name || '</h1>' AS first, '<h1 id=\"customer' || lpad(c_custkey::VARCHAR, 9, '0') || '\">' || c_name || '</h1>' AS again FROM customer")
 def md_roundtrip(spark, d):
-    docs = md(table(spark, d, "customer"), "c_custkey", r"concat(c_name, '\n===')")
+    docs = md(texts(spark, d, "customer"), "c_custkey", r"concat(c_name, '\n===')")
     return docs.select("doc_id", udfs.md_to_html("md").alias("first"), udfs.md_to_html(udfs.md_normalize("md")).alias("again"))
 
 
@@ -568,7 +573,7 @@ def html_options(spark, d):
     def given(source: str, options: str):
         return udfs.md_to_html(F.expr(source), F.expr(options))
 
-    return table(spark, d, "customer").select(
+    return texts(spark, d, "customer").select(
         F.col("c_custkey").alias("doc_id"),
         given("concat('# *', c_custkey, '*')", "map('force_inline', 'true')").alias("inline_html"),
         given("concat(c_custkey, '')", "map('wrapper', 'section', 'force_wrapper', 'true')").alias("wrapped"),
@@ -581,7 +586,7 @@ def html_options(spark, d):
 
 @query("SELECT c_custkey AS doc_id, '[a][ref1]' || chr(10) || chr(10) || '[ref1]: /' || c_custkey || ' \"t\"' AS refs, c_name || chr(10) || repeat('=', length(c_name)) AS setext FROM customer")
 def markdown_options(spark, d):
-    return table(spark, d, "customer").select(
+    return texts(spark, d, "customer").select(
         F.col("c_custkey").alias("doc_id"),
         udfs.md_normalize(F.expr("concat('[a](/', c_custkey, ' \"t\")')"), F.expr("map('reference_links', 'true')")).alias("refs"),
         udfs.md_normalize(F.expr("concat('# ', c_name)"), F.expr("map('setext', 'true')")).alias("setext"))
@@ -589,7 +594,7 @@ def markdown_options(spark, d):
 
 @query("SELECT c_custkey AS doc_id, '<p>&lt;div&gt;' || c_custkey || '&lt;/div&gt;</p>' AS raw FROM customer")
 def parse_switches(spark, d):
-    return table(spark, d, "customer").select(
+    return texts(spark, d, "customer").select(
         F.col("c_custkey").alias("doc_id"),
         udfs.md_to_html(F.expr("concat('<div>', c_custkey, '</div>')"), F.expr("map('disable_raw_html', 'true')")).alias("raw"))
 
@@ -753,7 +758,7 @@ def alerts_by_hour(spark, d):
 @query("SELECT c_custkey AS doc_id, 'heading' AS type FROM customer UNION ALL SELECT c_custkey, 'text' FROM customer")
 def table_function(spark, d):
     udfs.register(spark)
-    md(table(spark, d, "customer"), "c_custkey", "concat('# ', c_name)").createOrReplaceTempView("inkfold_docs")
+    md(texts(spark, d, "customer"), "c_custkey", "concat('# ', c_name)").createOrReplaceTempView("inkfold_docs")
     return spark.sql("SELECT d.doc_id, n.type FROM inkfold_docs d, LATERAL md_nodes(d.md) n")
 
 
@@ -792,19 +797,19 @@ def reparse_text(spark, d):
 
 @query("SELECT p_partkey, 4 + p_size % 4 AS columns, 2 + p_size % 4 AS chars FROM part")
 def indents(spark, d):
-    found = table(spark, d, "part").select("p_partkey", udfs.indent(F.expr(r"concat(' \t', repeat(' ', p_size % 4), 'x \t')")).alias("i"))
+    found = texts(spark, d, "part").select("p_partkey", udfs.indent(F.expr(r"concat(' \t', repeat(' ', p_size % 4), 'x \t')")).alias("i"))
     return found.select("p_partkey", "i.columns", "i.chars")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'sql' END AS lang, CASE WHEN p_size % 2 = 0 THEN 'sql k' END AS info, CASE WHEN p_size % 2 = 0 THEN p_name END AS text FROM part")
 def fenced_heads(spark, d):
-    found = table(spark, d, "part").select("p_partkey", udfs.parse_code_fenced(F.expr(r"concat(if(p_size % 2 = 0, '~~~ sql k\n', 'x\n'), p_name, '\n~~~\nrest')")).alias("c"))
+    found = texts(spark, d, "part").select("p_partkey", udfs.parse_code_fenced(F.expr(r"concat(if(p_size % 2 = 0, '~~~ sql k\n', 'x\n'), p_name, '\n~~~\nrest')")).alias("c"))
     return found.select("p_partkey", "c.lang", "c.info", "c.text")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'k' END AS label, CASE WHEN p_size % 2 = 0 THEN '/' || p_size END AS target, CASE WHEN p_size % 2 = 0 THEN p_name END AS title FROM part")
 def definition_heads(spark, d):
-    found = table(spark, d, "part").select("p_partkey", udfs.parse_definition(F.expr(r"""concat(if(p_size % 2 = 0, '[K]: /', '[K] /'), p_size, ' "', p_name, '"\nrest')""")).alias("c"))
+    found = texts(spark, d, "part").select("p_partkey", udfs.parse_definition(F.expr(r"""concat(if(p_size % 2 = 0, '[K]: /', '[K] /'), p_size, ' "', p_name, '"\nrest')""")).alias("c"))
     return found.select("p_partkey", "c.label", "c.target", "c.title")
 
 
