@@ -816,7 +816,7 @@ def definition_heads(spark, d):
 @query("SELECT c_custkey AS doc_id, '<p><a href=\"/' || c_custkey || '\">a</a> b</p>' AS html FROM customer")
 def stream_definitions(spark, d):
     """A definition behind the edge of an unfinished paragraph already counts."""
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.md_stream_html(F.expr(r"concat('[k]: /', c_custkey, '\n\n[a][k] **b')")).alias("html"))
+    return texts(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.md_stream_html(F.expr(r"concat('[k]: /', c_custkey, '\n\n[a][k] **b')")).alias("html"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, 'codeInline' AS type, count(*) AS n FROM events GROUP BY ALL")

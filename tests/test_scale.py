@@ -5,7 +5,7 @@ import pytest
 from inkfold.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SCALARS = ["md_to_html", "md_normalize", "strip_html", "safe_markdown_html", "safe_attributes", "encode_url", "sanitize_and_encode", "decode_entities", "md_roundtrip", "html_options", "markdown_options", "parse_switches", "indents", "fenced_heads", "definition_heads", "table_function", "html_table", "markdown_table", "stream_holds_back"]
+SCALARS = ["md_to_html", "md_normalize", "strip_html", "safe_markdown_html", "safe_attributes", "encode_url", "sanitize_and_encode", "decode_entities", "md_roundtrip", "html_options", "markdown_options", "parse_switches", "indents", "fenced_heads", "definition_heads", "table_function", "html_table", "markdown_table", "stream_holds_back", "stream_definitions"]
 
 
 @pytest.mark.parametrize("name", SCALARS)
