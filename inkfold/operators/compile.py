@@ -14,6 +14,9 @@ from ..kernels import elements, html, markdown, rows
 from ..kernels.model import Document, Options
 from .parse import ELEMENTS
 
+#: Characters of texts that leave together, at least one text.
+HELD = 4_000_000
+
 
 def _documents(nodes: DataFrame, refs: DataFrame | None, key: str) -> DataFrame:
     """key, nodes, refs: a document's rows as arrays, in any order. A document's rows are one text's, so an array is bounded by it."""
@@ -24,14 +27,25 @@ def _documents(nodes: DataFrame, refs: DataFrame | None, key: str) -> DataFrame:
     return held.join(defined, F.col(key).eqNullSafe(F.col("its")), "left").drop("its")
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[Document]:
+    """The documents of (key, nodes, refs), one after the other: the nodes of a whole batch as Python objects would take many times its size."""
+    for nodes, refs in zip(batch.column(1), batch.column(2), strict=True):
+        yield rows.document(nodes.as_py(), refs.as_py() or ())
+
+
 def _rendered(nodes: DataFrame, refs: DataFrame | None, key: str, name: str, one: Callable[[Document], str]) -> DataFrame:
     held = _documents(nodes, refs, key)
     schema = T.StructType([held.schema[key], T.StructField(name, T.StringType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [one(rows.document(n, r or ())) for n, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, name])
+            texts, begin, size = [], 0, 0
+            for n, doc in enumerate(_each(batch), 1):
+                texts.append(one(doc))
+                size += len(texts[-1])
+                if size >= HELD or n == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(texts, pa.string())], names=[key, name])
+                    texts, begin, size = [], n, 0
 
     return held.select(key, "nodes", "refs").mapInArrow(part, schema)
 
