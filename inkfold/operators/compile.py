@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..kernels import elements, html, markdown, rows
 from ..kernels.model import Document, Options
-from .parse import ELEMENTS
+from .parse import ELEMENTS, record_batch
 
 #: Characters of texts that leave together, at least one text.
 HELD = 4_000_000
@@ -65,11 +65,18 @@ def to_elements(nodes: DataFrame, target: str, refs: DataFrame | None = None, ke
     held = _documents(nodes, refs, key)
     schema = T.StructType([held.schema[key], *T._parse_datatype_string(ELEMENTS).fields])
     arrow = to_arrow_schema(schema)
+    arrow = arrow if isinstance(arrow, pa.Schema) else pa.schema(arrow)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out = [(k, *r) for k, n, f in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True) for r in elements.Tree(rows.document(n, f or ()), options or Options(), target).document()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            for k, doc in zip(batch.column(0), _each(batch), strict=True):
+                at = k.as_py()
+                out += [(at, *r) for r in elements.Tree(doc, options or Options(), target).document()]
+                while len(out) >= 8192:
+                    yield record_batch(out[:8192], arrow)
+                    out = out[8192:]
+        if out:
+            yield record_batch(out, arrow)
 
     return held.select(key, "nodes", "refs").mapInArrow(part, schema)

@@ -38,10 +38,10 @@ def _exploded(df: DataFrame, key: str, column: str, ddl: str, make: Callable[[st
                 if text is not None:
                     held += [(k, *r) for r in make(text)]
                 while len(held) >= 8192:
-                    yield _batch(held[:8192], arrow)
+                    yield record_batch(held[:8192], arrow)
                     held = held[8192:]
         if held:
-            yield _batch(held, arrow)
+            yield record_batch(held, arrow)
 
     return spread(df.select(key, column)).mapInArrow(part, schema)
 
@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(size) < cores * session.conf().filesMaxPartitionBytes() else df
 
 
-def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def record_batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 

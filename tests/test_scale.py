@@ -5,6 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from inkfold.kernels.model import Options
 from inkfold.operators import compile as compile_
 from inkfold.operators import parse
 from inkfold.plans import catalogue
@@ -32,8 +33,27 @@ def documents(spark, n: int, source: str):
     return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(source), F.lit("\n\n`x`")).alias("md"))
 
 
+def measured_elements(nodes) -> int:
+    """The same of element trees: what it was at each link."""
+    def sanitizer(url, tag, attr):
+        return f"/{sys.getallocatedblocks()}"
+
+    found = compile_.to_elements(nodes.coalesce(1), "react", options=Options(sanitizer=sanitizer)).where("tag = 'a'")
+    return found.agg(F.max(F.substring(F.col("props")["href"], 2, 20).cast("long"))).first()[0]
+
+
 def test_rendered_tables_are_read_one_at_a_time(spark):
     """Python holds the nodes of one document, not of a whole batch."""
     table = "|a|b|\n|:-|-:|\n|c|d|"
     few, many = (measured(parse.nodes(documents(spark, n, table))) for n in (100, 4000))
     assert many - few < 100_000
+
+
+def test_rendered_void_tags_are_read_one_at_a_time(spark):
+    few, many = (measured(parse.nodes(documents(spark, n, "a <br> b <br> c <br> d"))) for n in (100, 4000))
+    assert many - few < 100_000
+
+
+def test_element_trees_are_read_one_at_a_time(spark):
+    few, many = (measured_elements(parse.nodes(documents(spark, n, "a <br> b <br> c <br> [d](/e)"))) for n in (100, 4000))
+    assert many - few < 100_000
